@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from marlstone.llm import chat, line_dedup, mixing, quality
+from marlstone.llm import chat, decontam, line_dedup, mixing, quality, repeats
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat.op1_chat_format,
+        "op4_suffix_dedup": repeats.op4_suffix_dedup,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_mix_sources": mixing.op8_mix_sources,
+        "op9_decontaminate": decontam.op9_decontaminate,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_chat_format": chat.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op7_quality_rules": quality.ORACLE}
+    return {"op1_chat_format": chat.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op7_quality_rules": quality.ORACLE, "op9_decontaminate": decontam.ORACLE}
