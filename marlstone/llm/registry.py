@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from marlstone.llm import chat, decontam, line_dedup, mixing, quality, repeats
+from marlstone.llm import chat, decontam, jaccard, line_dedup, mixing, quality, repeats
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat.op1_chat_format,
+        "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_suffix_dedup": repeats.op4_suffix_dedup,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_quality_rules": quality.op7_quality_rules,
