@@ -27,7 +27,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/marlstone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._marlstone_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables made by ``written`` that nothing will read again."""
+    for t in tables:
+        _delete(t.sparkSession, t._marlstone_path)
+        _written.remove((t.sparkSession, t._marlstone_path))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def drop_tables() -> None:
@@ -35,10 +50,8 @@ def drop_tables() -> None:
     while _written:
         spark, path = _written.pop()
         sc = spark.sparkContext
-        if sc._jsc is None or sc._jsc.sc().isStopped():
-            continue
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        if sc._jsc is not None and not sc._jsc.sc().isStopped():
+            _delete(spark, path)
 
 
 def free_shuffles(spark: SparkSession) -> None:

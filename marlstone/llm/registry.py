@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import chat, decontam, jaccard, line_dedup, mixing, quality, repeats
+from marlstone.llm import chat, class_lm, decontam, jaccard, line_dedup, mixing, quality, repeats, token_counts
 
 
 def queries() -> dict:
@@ -10,10 +10,12 @@ def queries() -> dict:
         "op1_chat_format": chat.op1_chat_format,
         "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_suffix_dedup": repeats.op4_suffix_dedup,
+        "op5_class_lm": class_lm.op5_class_lm,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_decontaminate": decontam.op9_decontaminate,
+        "op10_token_counts": token_counts.op10_token_counts,
     }
 
 
