@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from marlstone.llm import chat, class_lm, decontam, jaccard, line_dedup, mixing, quality, repeats, token_counts
+from marlstone.llm import chat, class_lm, decontam, html_text, jaccard, line_dedup, mixing, quality, repeats, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat.op1_chat_format,
+        "op2_html_text": html_text.op2_html_text,
         "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_suffix_dedup": repeats.op4_suffix_dedup,
         "op5_class_lm": class_lm.op5_class_lm,
