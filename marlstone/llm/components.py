@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm._shared import written
+from marlstone.llm._shared import drop, written
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -24,8 +24,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = written(large, name)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        last = e
         small = small.unionByName(least.select("a", F.col("m").alias("b")))
         e = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+        drop(last, large)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             break

@@ -8,14 +8,15 @@ all of them, be of fitting length and position, and are then verified exactly.
 
 * Frequencies come from a count sketch of fixed size over all documents. An
   order need only be the same everywhere, so the sketch costs no exactness.
-* A token that up to ``FEW`` classes have in their prefix gives pairs.
-* Classes that share a more frequent token go to a group (a component of the
-  "shares such a token" graph). A group is verified in blocks of bounded size,
-  by matrix products over the blocks' common tokens; a block gives a spanning
-  forest of its links, never its pairs. In groups of several blocks, the sets
-  are first measured against one leader: what lies near enough to the leader's
-  nearest set is linked to it by the triangle inequality of set differences,
-  and only the others meet all blocks.
+* A token that up to ``FEW`` classes have in their prefix gives pairs, a more
+  frequent one a star. Components of both are groups, and no link leaves one.
+* A group that fits a block of bounded size is verified there, by matrix
+  products over its sets' common tokens, and gives a spanning forest of its
+  links, never its pairs. Each set is sent once.
+* In a larger group, pairs are verified one by one, and the stars' components
+  in blocks against blocks. Sets are first measured against one leader: what
+  lies near enough to the leader's nearest set is linked to it by the triangle
+  inequality of set differences, and only the others meet all blocks.
 
 Components come from the links by star contraction.
 
@@ -33,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import _words as W
-from marlstone.llm._shared import free_shuffles, table, written
+from marlstone.llm._shared import drop, free_shuffles, table, written
+from marlstone.llm._tally import tally
 from marlstone.llm.components import components
 
 U = np.uint64
-CELL_BITS, CHUNK = 20, 4096
+CELL_BITS = 20
 FEW, BLOCK_SETS, BLOCK_TOKENS, COLUMNS = 16, 384, 400_000, 8192
 NO_ID = -(1 << 63)
 SALT = [U(0), U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25)]
@@ -76,6 +78,19 @@ class Sets:
         self.first = np.searchsorted(self.r, np.arange(self.rows + 1))
         self.n = np.diff(self.first)
 
+    @classmethod
+    def of(cls, lists: list) -> Sets:
+        """Sets whose tokens are there already."""
+        s = cls.__new__(cls)
+        s.rows, s.n = len(lists), np.array([len(x) for x in lists], np.int64)
+        s.h = np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.int64).view(np.uint64)
+        s.r, s.first = np.repeat(np.arange(s.rows), s.n), np.concatenate([[0], np.cumsum(s.n)])
+        return s
+
+    def prefix_lists(self, order: int, levels: np.ndarray, num: int, den: int) -> list:
+        at, row, _ = self.prefixes(order, levels, num, den)
+        return np.split(self.h[at], np.searchsorted(row, np.arange(1, self.rows))) if self.rows else []
+
     def keys(self) -> pa.Array:
         """16 bytes for each row that stand for its set."""
         out = np.zeros((self.rows, 2), ">u8")
@@ -113,34 +128,8 @@ def _i64(x: np.ndarray) -> pa.Array:
 
 
 def cells(df: DataFrame, values, bits: int) -> np.ndarray:
-    """Counts of hashed values by leading bits, over all rows: one array of fixed size, merged in chunks.
-
-    ``values`` maps an Arrow batch to uint64 arrays.
-    """
-
-    def count(batches):
-        total = np.zeros(1 << bits, np.int64)
-        for b in batches:
-            for v in values(b):
-                total += np.bincount((v >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
-        full = [c for c in range(0, 1 << bits, CHUNK) if total[c : c + CHUNK].any()]
-        for c in full:
-            yield pa.RecordBatch.from_arrays([pa.array([c // CHUNK], pa.int32()), pa.array([total[c : c + CHUNK].tobytes()], pa.binary())], ["chunk", "n"])
-
-    def add(batches):
-        sums: dict = {}
-        for b in batches:
-            for c, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.frombuffer(n, np.int64)
-                sums[c] = sums[c] + x if c in sums else x
-        for c, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["chunk", "n"])
-
-    merged = df.mapInArrow(count, "chunk int, n binary").repartition("chunk").mapInArrow(add, "chunk int, n binary")
-    out = np.zeros(1 << bits, np.int64)
-    for r in merged.toLocalIterator():
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["n"], np.int64)
-    return out
+    """Counts of uint64 values by their leading bits, over all rows."""
+    return tally(df, lambda b: [v >> U(64 - bits) for v in values(b)], 1 << bits)
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
@@ -156,7 +145,7 @@ def _signatures(size):
                 s = Sets(data, off, i, j, size)
                 keys = s.keys()
                 ids = _ids(b.column(0).slice(i, j - i))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), keys, _i64(s.n), _i64(_tag(keys, ids))], ["id", "key", "n", "tag"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), b.column(2).slice(i, j - i), keys, _i64(s.n), _i64(_tag(keys, ids))], ["id", "hash", "key", "n", "tag"])
 
     return run
 
@@ -178,8 +167,8 @@ def _postings(size, num, den, levels):
     return run
 
 
-def _held(size, num, den, levels, wanted, bits):
-    """Whole sets with their prefixes, of the rows whose tag may be wanted."""
+def _held(size, wanted, bits):
+    """Whole sets of the rows whose tag may be wanted."""
 
     def run(batches):
         for b in batches:
@@ -189,15 +178,10 @@ def _held(size, num, den, levels, wanted, bits):
                 keys = s.keys()
                 tags = _tag(keys, _ids(b.column(0).slice(i, j - i)))
                 rows = np.flatnonzero(wanted.value[(W.mix(tags) >> U(64 - bits)).astype(np.int64)] & (s.n > 0))
-                if not len(rows):
-                    continue
-                pre = [s.prefixes(o, levels.value, num, den) for o in range(3)]
-                for r in np.array_split(rows, max(1, len(rows) // 200)):
-                    cols = [keys.take(pa.array(r)), _i64(tags[r]), pa.array(s.n[r].astype(np.int32)), _lists([s.h[s.first[x] : s.first[x + 1]] for x in r])]
-                    for at, row, _ in pre:
-                        f = np.searchsorted(row, [r, r + 1])
-                        cols.append(_lists([s.h[at[a:z]] for a, z in f.T]))
-                    yield pa.RecordBatch.from_arrays(cols, ["key", "tag", "n", "tokens", "p0", "p1", "p2"])
+                if len(rows):
+                    for r in np.array_split(rows, len(rows) // 200 + 1):
+                        if len(r):
+                            yield pa.RecordBatch.from_arrays([keys.take(pa.array(r)), _i64(tags[r]), pa.array(s.n[r].astype(np.int32)), _lists([s.h[s.first[x] : s.first[x + 1]] for x in r])], ["key", "tag", "n", "tokens"])
 
     return run
 
@@ -235,7 +219,7 @@ def common(a: list, b: list) -> np.ndarray:
     return out
 
 
-def _block(num, den):
+def _block(num, den, levels):
     """Labels of one pair of blocks: every set with the least key it is linked to through links between the blocks."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -243,17 +227,18 @@ def _block(num, den):
         right = group.column("right").to_numpy(zero_copy_only=False).astype(bool)
         key = group.column("key").to_pylist()
         n = group.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
-        sets = {c: [np.asarray(x.values) for x in group.column(c)] for c in ("tokens", "p0", "p1", "p2")}
+        tokens = [np.asarray(x.values) for x in group.column("tokens")]
+        orders = [Sets.of(tokens).prefix_lists(o, levels.value, num, den) for o in range(3)]
         a, b = np.flatnonzero(left), np.flatnonzero(right)
-        pick = lambda c, at: [sets[c][x] for x in at]
+        pick = lambda lists, at: [lists[x] for x in at]
         small, large = np.minimum.outer(n[a], n[b]), np.maximum.outer(n[a], n[b])
         ok = den * small >= num * large
-        for c in ("p0", "p1", "p2"):
-            ok &= common(pick(c, a), pick(c, b)) > 0
+        for prefix in orders:
+            ok &= common(pick(prefix, a), pick(prefix, b)) > 0
         link = np.zeros(ok.shape, bool)
         ra, rb = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
         if len(ra):
-            both = np.rint(common(pick("tokens", a[ra]), pick("tokens", b[rb]))).astype(np.int64)
+            both = np.rint(common(pick(tokens, a[ra]), pick(tokens, b[rb]))).astype(np.int64)
             link[np.ix_(ra, rb)] = den * both >= num * (n[a[ra]][:, None] + n[b[rb]][None, :] - both)
         link &= ok
         rank = np.empty(len(key), np.int64)
@@ -289,46 +274,79 @@ def links(docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) ->
     free_shuffles(spark)
     shared = counts.groupBy("token").agg(F.count(F.lit(1)).alias("classes"), F.min("key").alias("least")).where("classes > 1")
     shared = written(counts.join(shared, "token"), "shared")
+    drop(counts)
     free_shuffles(spark)
 
     few = shared.where(F.col("classes") <= FEW)
     a, b = few.select("token", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "pos")]), few.select("token", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "pos")])
     room = F.least("pos_a", "pos_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     fits = (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")) & ((den + num) * room >= num * (F.col("n_a") + F.col("n_b")))
-    pairs = written(a.join(b, "token").where((F.col("key_a") < F.col("key_b")) & fits).select("key_a", "key_b").distinct(), "pairs")
-    many = shared.where(F.col("classes") > FEW)
-    groups = written(components(many.select(F.col("key").alias("a"), F.col("least").alias("b")).distinct(), "groups"), "groups")
-
-    # the sets of the classes that are in a pair or a group, read again from the texts
-    asked = pairs.select(F.col("key_a").alias("key")).unionByName(pairs.select(F.col("key_b").alias("key"))).unionByName(groups.select(F.col("node").alias("key"))).distinct()
-    asked = written(classes.join(asked, "key", "left_semi").select("key", "tag"), "asked")
+    pairs = written(a.join(b, "token").where((F.col("key_a") < F.col("key_b")) & fits).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct(), "pairs")
+    stars = written(shared.where(F.col("classes") > FEW).select(F.col("key").alias("a"), F.col("least").alias("b")).distinct(), "stars")
+    drop(shared)
+    groups = components(pairs.unionByName(stars), "groups")
+    sized = groups.withColumnRenamed("node", "key").join(classes.select("key", "tag", "n"), "key")
+    sizes = sized.groupBy("label").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("held"))
+    groups = written(sized.join(sizes.select("label", _blocks("sets", "held").alias("blocks")), "label"), "groups")
+
+    # the sets of the classes that are in a group, read again from the texts
     bits = 22
-    wanted = cells(asked.select("tag"), lambda batch: [W.mix(batch.column(0).to_numpy().view(np.uint64))], bits) > 0
-    held = docs.select("doc_id", "text").mapInArrow(
-        _held(size, num, den, levels, sc.broadcast(wanted), bits), "key binary, tag long, n int, tokens array<long>, p0 array<long>, p1 array<long>, p2 array<long>"
-    )
-    held = written(held.join(asked, ["key", "tag"], "left_semi").dropDuplicates(["key"]), "sets")
+    wanted = cells(groups.select("tag"), lambda batch: [W.mix(batch.column(0).to_numpy().view(np.uint64))], bits) > 0
+    held = docs.select("doc_id", "text").mapInArrow(_held(size, sc.broadcast(wanted), bits), "key binary, tag long, n int, tokens array<long>")
+    mine = groups.select("key", F.col("tag").alias("__tag"), "label", "blocks")
+    held = written(held.join(mine, "key").where("tag = __tag").drop("tag", "__tag").dropDuplicates(["key"]), "sets")
     free_shuffles(spark)
-
-    # pairs: the other orders' filters, then the whole sets
-    side = lambda s, *cols: held.select(F.col("key").alias(f"key_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in cols])
-    left = pairs.join(side("a", "p1", "p2"), "key_a").join(side("b", "p1", "p2"), "key_b")
-    left = written(left.where(F.arrays_overlap("p1_a", "p1_b") & F.arrays_overlap("p2_a", "p2_b")).select("key_a", "key_b"), "candidates")
-    left = left.join(side("a", "tokens"), "key_a").join(side("b", "tokens"), "key_b")
-    left = left.withColumn("both", F.size(F.array_intersect("tokens_a", "tokens_b")))
-    verified = left.where(den * F.col("both") >= num * (F.size("tokens_a") + F.size("tokens_b") - F.col("both"))).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    shape = ("g", "i", "j", "left", "right", "key", "n", "tokens")
+    whole = held.where("blocks = 1").select(F.col("label").alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("left"), F.lit(True).alias("right"), "key", "n", "tokens")
+    block = _block(num, den, levels)
+    found = written(whole.groupBy("g", "i", "j").applyInArrow(block, "a binary, b binary"), "links")
+    if groups.where("blocks > 1").isEmpty():
+        return found
+
+    # larger groups: stars in blocks, other pairs one by one
+    large = groups.where("blocks > 1").select("key")
+    held = held.where("blocks > 1").drop("label", "blocks")
+    inner = components(stars.join(large.withColumnRenamed("key", "a"), "a", "left_semi"), "stars")
+    name = lambda c: inner.select(F.col("node").alias(c), F.col("label").alias(f"g_{c}"))
+    pairs = pairs.join(large.withColumnRenamed("key", "a"), "a", "left_semi").join(name("a"), "a", "left").join(name("b"), "b", "left")
+    pairs = written(pairs.where("g_a IS NULL OR g_b IS NULL OR g_a <> g_b").select("a", "b"), "pairs")
+    side = lambda s: held.select(F.col("key").alias(s), F.col("tokens").alias(f"tokens_{s}"))
+    verified = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(num, den, levels), "a binary, b binary")
     verified = written(verified, "verified")
     free_shuffles(spark)
-    return verified.unionByName(_group_links(held, groups, num, den))
+    return found.unionByName(verified).unionByName(_star_links(held, inner, num, den, block, shape))
+
 
+def _blocks(sets: str, tokens: str):
+    return F.greatest(F.ceil(F.col(sets) / BLOCK_SETS), F.ceil(F.col(tokens) / BLOCK_TOKENS)).cast("int")
 
-def _group_links(held: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
-    sets = held.join(groups.select(F.col("node").alias("key"), F.col("label").alias("g")), "key")
-    sizes = written(sets.groupBy("g").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens_in"), F.min(F.struct("n", "key")).alias("lead")), "group-sizes")
-    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("tokens_in") / BLOCK_TOKENS)).cast("int")
-    sizes = sizes.select("g", "sets", F.col("lead.key").alias("lead"), blocks.alias("blocks"))
+
+def _verify(num, den, levels):
+    """Of pairs with their sets, those that pass the filters of all orders and are similar."""
+
+    def run(batches):
+        for x in batches:
+            cols = dict(zip(x.schema.names, x.columns))
+            one, two = ([np.asarray(v.values) for v in cols[c]] for c in ("tokens_a", "tokens_b"))
+            ok = np.ones(x.num_rows, bool)
+            for o in range(3):
+                pa_, pb = (Sets.of(t).prefix_lists(o, levels.value, num, den) for t in (one, two))
+                ok &= np.array([len(np.intersect1d(p, q)) > 0 for p, q in zip(pa_, pb)], bool)
+            for k in np.flatnonzero(ok):
+                both = len(np.intersect1d(one[k], two[k], assume_unique=True))
+                ok[k] = den * both >= num * (len(one[k]) + len(two[k]) - both)
+            keep = pa.array(np.flatnonzero(ok))
+            yield pa.RecordBatch.from_arrays([cols["a"].take(keep), cols["b"].take(keep)], ["a", "b"])
+
+    return run
+
+
+def _star_links(held: DataFrame, inner: DataFrame, num: int, den: int, block, shape) -> DataFrame:
+    sets = held.join(inner.select(F.col("node").alias("key"), F.col("label").alias("g")), "key")
+    sizes = sets.groupBy("g").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("held"), F.min(F.struct("n", "key")).alias("lead"))
+    sizes = written(sizes.select("g", F.col("lead.key").alias("lead"), _blocks("sets", "held").alias("blocks")), "group-sizes")
     sets = sets.join(sizes, "g")
-    one = sets.where("blocks = 1").select("g", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("left"), F.lit(True).alias("right"), "key", "n", "tokens", "p0", "p1", "p2")
+    one = sets.where("blocks = 1").select("g", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("left"), F.lit(True).alias("right"), "key", "n", "tokens")
 
     # several blocks: distance of each set from its group's leader, which is there once for each salt
     some = sets.where("blocks > 1").withColumn("salt", F.abs(F.xxhash64("key")) % F.col("blocks"))
@@ -343,7 +361,7 @@ def _group_links(held: DataFrame, groups: DataFrame, num: int, den: int) -> Data
 
     # the others meet all blocks: their own ones and those of the near sets
     rest = far.groupBy("g").agg(F.count_if(~F.col("near")).alias("open"), F.count(F.lit(1)).alias("all"))
-    some = some.drop("salt", "sets").join(far.select("g", "key", "near"), ["g", "key"]).join(rest, "g").where("open > 0")
+    some = some.drop("salt").join(far.select("g", "key", "near"), ["g", "key"]).join(rest, "g").where("open > 0")
     share = lambda c: F.greatest(F.lit(1), F.ceil(F.col("blocks") * F.col(c) / F.col("all"))).cast("int")
     some = some.withColumns({"k_open": share("open"), "k_near": F.when(F.col("all") > F.col("open"), F.greatest(F.lit(1), F.ceil(F.col("blocks") * (F.col("all") - F.col("open")) / F.col("all"))).cast("int")).otherwise(0)})
     some = some.withColumn("at", F.pmod(F.xxhash64("key"), F.when(F.col("near"), F.col("k_near")).otherwise(F.col("k_open"))).cast("int"))
@@ -351,17 +369,17 @@ def _group_links(held: DataFrame, groups: DataFrame, num: int, den: int) -> Data
     others = F.when(F.col("k_near") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("k_near"), F.lit(1)) - 1), lambda t: F.struct(F.col("at").alias("i"), (-1 - t).alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right"))))
     met = F.transform(F.sequence(F.lit(0), F.col("k_open") - 1), lambda t: F.struct(t.alias("i"), (-1 - F.col("at")).alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right")))
     where = F.when(F.col("near"), met).otherwise(F.concat(own, F.coalesce(others, F.filter(own, lambda _: F.lit(False)))))
-    more = some.withColumn("x", F.explode(where)).select("g", "x.i", "x.j", "x.left", "x.right", "key", "n", "tokens", "p0", "p1", "p2")
-    found = one.unionByName(more).groupBy("g", "i", "j").applyInArrow(_block(num, den), "a binary, b binary")
+    more = some.withColumn("x", F.explode(where)).select("g", "x.i", "x.j", "x.left", "x.right", "key", "n", "tokens")
+    found = one.unionByName(more).select(*shape).groupBy("g", "i", "j").applyInArrow(block, "a binary, b binary")
     return written(found.unionByName(sure), "group-links")
 
 
 def similar(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """id, n_shingles, component (least id) for each row of ``docs`` (doc_id, text); a null doc_id is ``NO_ID``."""
+    """id, hash (of the text), n_shingles, component (least id) for each row of ``docs`` (doc_id, text); a null doc_id is ``NO_ID``."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(docs.mapInArrow(_signatures(size), "id long, key binary, n long, tag long"), "signatures")
-    classes = written(rows.where("n > 0").groupBy("key").agg(F.min(F.struct("id", "tag")).alias("rep")).select("key", "rep.id", "rep.tag"), "classes")
+    rows = written(docs.select("*", F.xxhash64("text").alias("hash")).mapInArrow(_signatures(size), "id long, hash long, key binary, n long, tag long"), "signatures")
+    classes = written(rows.where("n > 0").groupBy("key").agg(F.min(F.struct("id", "tag", "n")).alias("rep")).select("key", "rep.*"), "classes")
     free_shuffles(spark)
     labels = components(links(docs, classes, size, num, den))
     labelled = classes.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "id", F.coalesce("label", "key").alias("label"))
@@ -369,7 +387,14 @@ def similar(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     least = labelled.groupBy("label").agg(F.min("id").alias("component"))
     by_key = labelled.join(least, "label").select("key", "component")
     out = rows.join(by_key, "key", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    return out.select("id", "hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+
+
+def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` without those that a document with a lower doc_id is connected to; repeated rows stay once."""
+    kept = similar(docs, size, num, den).where("id = component").select(F.col("id").alias("__id"), F.col("hash").alias("__hash"))
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__hash": F.xxhash64("text")})
+    return keyed.join(kept, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
