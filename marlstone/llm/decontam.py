@@ -24,8 +24,6 @@ empty benchmark leaves every document clean; other columns are left alone.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -240,6 +238,14 @@ def hit_words(spans):
     return F.aggregate(s, zero, step, lambda a: a["n"])
 
 
+def keep_clean(docs: DataFrame, bench: DataFrame, size: int = SIZE) -> DataFrame:
+    """The rows of ``docs`` without a window of the benchmark."""
+    found = contamination(docs.select("doc_id", "text"), bench, size).where(F.size("spans") > 0)
+    found = written(found.select(F.col("doc_id").alias("__doc"), "__hash"), "contaminated").distinct()
+    keyed = docs.withColumn("__text_hash", F.xxhash64("text"))
+    return keyed.join(found, keyed["doc_id"].eqNullSafe(F.col("__doc")) & (F.col("__text_hash") == F.col("__hash")), "left_anti").select(*docs.columns)
+
+
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     c = contamination(docs.select("doc_id", "text"), bench)

@@ -114,22 +114,19 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    """A row for each document: what the shards of the mix hold of it. Every document is there, taken or not."""
-    s = sized(docs)
-    d = draw(s)
-    return d.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("part")).alias("taken"), "block", "passes", "part")
-
-
-def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
-    s = sized(table(spark, sf_dir, "documents"))
-    d = draw(s)
+    """doc_id, source, size, source_size, target, taken and shards (those that hold a copy): a row for each document, taken or not."""
+    d = draw(sized(docs))
     tree = split(d)
     shards = tree.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("shards"))
     shards = shards.withColumnsRenamed({"source": "__source", "block": "__block"})
     out = d.join(shards, d["source"].eqNullSafe(shards["__source"]) & (d["block"] == shards["__block"]), "left")
     mine = F.filter("shards", lambda x: F.when(x["pass"] == 0, F.col("part") > 0).otherwise((x["pass"] <= F.col("passes")) & (F.col("size") > 0)))
     return out.select(
-        "doc_id", "size", "source_size", "target",
+        "doc_id", "source", "size", "source_size", "target",
         (F.col("passes") * F.col("size") + F.col("part")).alias("taken"),
         F.array_join(F.transform(F.coalesce(mine, F.array().cast("array<struct<pass:bigint,shard:bigint>>")), lambda x: x["shard"].cast("string")), ",").alias("shards"),
     )
+
+
+def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents")).drop("source")

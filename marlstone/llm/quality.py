@@ -149,6 +149,14 @@ def verdicts(docs: DataFrame) -> DataFrame:
     return judge(written(counts, "quality"))
 
 
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their columns. Texts are written once with their counts, so that the verdicts need no join with them."""
+    own = {c: f"__own_{k}" for k, c in enumerate(docs.columns) if c not in ("lang", "source", "text")}
+    m = written(measure(docs.withColumnsRenamed(own)), "measured")
+    out = judge(m).where("kept")
+    return out.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
+
+
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     return verdicts(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
