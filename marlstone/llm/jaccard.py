@@ -40,7 +40,7 @@ from marlstone.llm.components import components
 
 U = np.uint64
 CELL_BITS = 20
-FEW, BLOCK_SETS, BLOCK_TOKENS, COLUMNS = 16, 384, 400_000, 8192
+FEW, BLOCK_SETS, BLOCK_TOKENS, COLUMNS = 16, 1024, 1_500_000, 8192
 NO_ID = -(1 << 63)
 SALT = [U(0), U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25)]
 
