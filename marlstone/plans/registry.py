@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from marlstone.plans import frames, portable
+
+QUERIES: dict = {k: portable.query(v) for k, v in portable.PLANS.items()} | frames.Q
+ORACLES: dict = {k: portable.oracle(v) for k, v in portable.PLANS.items()} | frames.O
 
 
 def queries() -> dict:
