@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import _words as W
-from marlstone.llm._shared import free_shuffles, table, written
+from marlstone.llm._shared import drop, free_shuffles, table, written
 
 SIZE, STEP, SEGMENT = 400, 16, 800_000
 U = np.uint64
@@ -202,8 +202,8 @@ def _block_rows(size: int, step: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, size: int = SIZE, step: int = STEP) -> DataFrame:
-    """id (struct of doc_id and the text's hash), lo, hi: byte ranges that repeated windows cover."""
+def repeated_spans(docs: DataFrame, size: int = SIZE, step: int = STEP) -> tuple[DataFrame, list[DataFrame]]:
+    """id (struct of doc_id and the text's hash), lo, hi: byte ranges that repeated windows cover; and the tables it reads, to drop."""
     spark = docs.sparkSession
     core = core_length(size)
     keyed = docs.select(F.struct(F.col("doc_id"), F.xxhash64("text").alias("hash")).alias("id"), "text")
@@ -213,11 +213,13 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, step: int = STEP) -> DataF
     # digit 1: cores that occur more than once
     often = rows.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
     held = written(rows.join(often, "core", "left_semi"), "anchors-held")
+    drop(rows)
     free_shuffles(spark)
     hulls = held.groupBy("core", "hull1", "hull2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at")).alias("rep"))
     hulls = written(hulls, "hulls")
     kinds = hulls.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"))
-    judged = written(held.join(hulls, ["core", "hull1", "hull2"]).join(kinds, "core"), "anchors-judged")
+    judged = written(held.join(hulls, ["core", "hull1", "hull2"]).join(kinds, "core").drop("core", "hull1", "hull2"), "anchors-judged")
+    drop(held, hulls)
     done = judged.where("n > 1").select("id", F.col("hull_lo").alias("lo"), F.col("hull_hi").alias("hi"))
     left = judged.where((F.col("kinds") > 1) & ((F.col("n") == 1) | (F.col("rep") == F.struct("id", "at"))))
     free_shuffles(spark)
@@ -230,9 +232,13 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, step: int = STEP) -> DataF
     free_shuffles(spark)
     often = blocks.groupBy("core", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core", "block")
     held = written(blocks.join(often, ["core", "block"], "left_semi"), "blocks-held")
+    drop(blocks)
+    free_shuffles(spark)
     hulls = held.where("hull1 IS NOT NULL").groupBy("core", "block", "hull1", "hull2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at")).alias("rep"))
-    judged = held.join(hulls, ["core", "block", "hull1", "hull2"], "left")
-    judged = written(judged, "blocks-judged")
+    anchored = judged
+    judged = written(held.join(hulls, ["core", "block", "hull1", "hull2"], "left").drop("block", "hull1", "hull2"), "blocks-judged")
+    drop(held)
+    free_shuffles(spark)
     last = F.col("lo") + F.size("windows") - 1 + size
     done2 = judged.where("n > 1").select("id", "lo", last.alias("hi"))
     left = judged.where(F.col("n").isNull() | (F.col("n") == 1) | (F.col("rep") == F.struct("id", "at")))
@@ -242,7 +248,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, step: int = STEP) -> DataF
     single = single.select("core", "window", (F.col("at") - F.col("lo") - F.col("k")).alias("delta"), "id", (F.col("lo") + F.col("k")).alias("lo"))
     equal = single.groupBy("core", "window", "delta").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     done3 = single.join(equal, ["core", "window", "delta"], "left_semi").select("id", "lo", (F.col("lo") + size).alias("hi"))
-    return done.unionByName(done2).unionByName(done3)
+    return done.unionByName(done2).unionByName(done3), [anchored, judged]
 
 
 def merge(spans: list) -> list:
@@ -278,8 +284,10 @@ def _cut(batches):
 
 def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs), kept (bytes) and kept_sha256, a row for each row of ``docs``."""
-    spans = repeated_spans(docs, size).groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    ranges, tables = repeated_spans(docs, size)
+    spans = ranges.groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     spans = written(spans.select(F.col("id.doc_id").alias("__doc"), F.col("id.hash").alias("__hash"), "spans"), "spans")
+    drop(*tables)
     free_shuffles(docs.sparkSession)
     d = docs.select("doc_id", F.xxhash64("text").alias("__h"), F.col("text").cast("binary").alias("text"))
     j = d.join(spans, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__h") == F.col("__hash")), "left").select("doc_id", "text", "spans")
