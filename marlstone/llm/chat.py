@@ -130,7 +130,7 @@ def op1_chat_format(spark, sf_dir: str) -> DataFrame:
     from marlstone.llm._shared import table
 
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-1, 0, "user", PLANTED), (-1, 1, "assistant", PLANTED)], "conv_id long, turn long, role string, text string")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
     return read_back(format_chats(t.unionByName(extra)))
 
 
