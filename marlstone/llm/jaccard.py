@@ -9,7 +9,10 @@ all of them, be of fitting length and position, and are then verified exactly.
 * Frequencies come from a count sketch of fixed size over all documents. An
   order need only be the same everywhere, so the sketch costs no exactness.
 * A token that up to ``FEW`` classes have in their prefix gives pairs, a more
-  frequent one a star. Components of both are groups, and no link leaves one.
+  frequent one a star. Pairs whose sets must differ in too many tokens, judged
+  by counts of their tokens in ``BINS`` bins, go before any set is sent: the
+  counts' differences add up to no more than the sets' difference, so no link
+  goes with them. Components of the rest are groups, and no link leaves one.
 * A group that fits a block of bounded size is verified there, by matrix
   products over its sets' common tokens, and gives a spanning forest of its
   links, never its pairs. Each set is sent once.
@@ -42,6 +45,7 @@ U = np.uint64
 CELL_BITS = 20
 FEW, BLOCK_SETS, BLOCK_TOKENS, COLUMNS = 16, 1024, 1_500_000, 8192
 NO_ID = -(1 << 63)
+BINS = 256
 SALT = [U(0), U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25)]
 
 
@@ -99,6 +103,16 @@ class Sets:
             out[:, k] = W.mix((s[self.first[1:]] - s[self.first[:-1]]) + self.n.astype(np.uint64))
         return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), self.rows, [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
 
+    def bins(self) -> pa.Array:
+        """For each row, how many of its tokens lie in each of ``BINS`` bins, modulo 256, a byte each."""
+        out = np.zeros((self.rows, BINS), np.uint8)
+        for i in range(0, self.rows, 4096):
+            j = min(i + 4096, self.rows)
+            m = slice(self.first[i], self.first[j])
+            at = (self.r[m] - i) * BINS + (self.h[m] >> U(40)).astype(np.int64) % BINS
+            out[i:j] = np.bincount(at, minlength=(j - i) * BINS).reshape(j - i, BINS).astype(np.uint8)
+        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(BINS), self.rows, [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
+
     def ordered(self, order: int, levels: np.ndarray) -> np.ndarray:
         """Places in h, each row's in a global order."""
         key = W.mix(self.h ^ SALT[order])
@@ -145,7 +159,7 @@ def _signatures(size):
                 s = Sets(data, off, i, j, size)
                 keys = s.keys()
                 ids = _ids(b.column(0).slice(i, j - i))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), b.column(2).slice(i, j - i), keys, _i64(s.n), _i64(_tag(keys, ids))], ["id", "hash", "key", "n", "tag"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), b.column(2).slice(i, j - i), keys, _i64(s.n), _i64(_tag(keys, ids)), s.bins()], ["id", "hash", "key", "n", "tag", "bins"])
 
     return run
 
@@ -281,7 +295,9 @@ def links(docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) ->
     a, b = few.select("token", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "pos")]), few.select("token", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "pos")])
     room = F.least("pos_a", "pos_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     fits = (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")) & ((den + num) * room >= num * (F.col("n_a") + F.col("n_b")))
-    pairs = written(a.join(b, "token").where((F.col("key_a") < F.col("key_b")) & fits).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct(), "pairs")
+    pairs = a.join(b, "token").where((F.col("key_a") < F.col("key_b")) & fits).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+    binned = lambda s: classes.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("bins").alias(f"bins_{s}"))
+    pairs = written(pairs.join(binned("a"), "a").join(binned("b"), "b").mapInArrow(_may_link(num, den), "a binary, b binary"), "pairs")
     stars = written(shared.where(F.col("classes") > FEW).select(F.col("key").alias("a"), F.col("least").alias("b")).distinct(), "stars")
     drop(shared)
     groups = components(pairs.unionByName(stars), "groups")
@@ -321,6 +337,21 @@ def _blocks(sets: str, tokens: str):
     return F.greatest(F.ceil(F.col(sets) / BLOCK_SETS), F.ceil(F.col(tokens) / BLOCK_TOKENS)).cast("int")
 
 
+def _may_link(num, den):
+    """Of pairs with their sets' sizes and bins, those whose sets may be similar."""
+
+    def run(batches):
+        for x in batches:
+            cols = dict(zip(x.schema.names, x.columns))
+            one, two = (np.frombuffer(b"".join(cols[c].to_pylist()), np.uint8).reshape(-1, BINS) for c in ("bins_a", "bins_b"))
+            apart = np.minimum(one - two, two - one).sum(1, dtype=np.int64)
+            held = cols["n_a"].to_numpy().astype(np.int64) + cols["n_b"].to_numpy()
+            keep = pa.array(np.flatnonzero((den + num) * apart <= (den - num) * held))
+            yield pa.RecordBatch.from_arrays([cols["a"].take(keep), cols["b"].take(keep)], ["a", "b"])
+
+    return run
+
+
 def _verify(num, den, levels):
     """Of pairs with their sets, those that pass the filters of all orders and are similar."""
 
@@ -378,15 +409,15 @@ def similar(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """id, hash (of the text), n_shingles, component (least id) for each row of ``docs`` (doc_id, text); a null doc_id is ``NO_ID``."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(docs.select("*", F.xxhash64("text").alias("hash")).mapInArrow(_signatures(size), "id long, hash long, key binary, n long, tag long"), "signatures")
-    classes = written(rows.where("n > 0").groupBy("key").agg(F.min(F.struct("id", "tag", "n")).alias("rep")).select("key", "rep.*"), "classes")
+    rows = written(docs.select("*", F.xxhash64("text").alias("hash")).mapInArrow(_signatures(size), "id long, hash long, key binary, n long, tag long, bins binary"), "signatures")
+    classes = written(rows.where("n > 0").groupBy("key").agg(F.min(F.struct("id", "tag", "n", "bins")).alias("rep")).select("key", "rep.*"), "classes")
     free_shuffles(spark)
     labels = components(links(docs, classes, size, num, den))
     labelled = classes.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "id", F.coalesce("label", "key").alias("label"))
     labelled = written(labelled, "labelled")
     least = labelled.groupBy("label").agg(F.min("id").alias("component"))
     by_key = labelled.join(least, "label").select("key", "component")
-    out = rows.join(by_key, "key", "left")
+    out = rows.drop("bins").join(by_key, "key", "left")
     return out.select("id", "hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
 
 
