@@ -8,8 +8,10 @@ all of them, be of fitting length and position, and are then verified exactly.
 
 * Frequencies come from a count sketch of fixed size over all documents. An
   order need only be the same everywhere, so the sketch costs no exactness.
-* A token that up to ``FEW`` classes have in their prefix gives pairs, a more
-  frequent one a star. Pairs whose sets must differ in too many tokens, judged
+* A token that up to ``FEW`` classes have in their prefix gives pairs. The
+  classes of a more frequent one are cut into runs where the next size in
+  order is too large to be similar; a run of up to ``FEW`` gives pairs, a
+  larger one a star. Pairs whose sets must differ in too many tokens, judged
   by counts of their tokens in ``BINS`` bins, go before any set is sent: the
   counts' differences add up to no more than the sets' difference, so no link
   goes with them. Components of the rest are groups, and no link leaves one.
@@ -33,7 +35,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm import _words as W
@@ -291,15 +293,17 @@ def links(docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) ->
     drop(counts)
     free_shuffles(spark)
 
-    few = shared.where(F.col("classes") <= FEW)
-    a, b = few.select("token", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "pos")]), few.select("token", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "pos")])
+    runs = written(_runs(shared.where(F.col("classes") > FEW), num, den), "runs")
+    few = shared.where(F.col("classes") <= FEW).withColumn("run", F.lit(0).cast("long")).unionByName(runs.where(F.col("classes").between(2, FEW)))
+    side = lambda s: few.select("token", "run", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "pos")])
+    a, b = side("a"), side("b")
     room = F.least("pos_a", "pos_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     fits = (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")) & ((den + num) * room >= num * (F.col("n_a") + F.col("n_b")))
-    pairs = a.join(b, "token").where((F.col("key_a") < F.col("key_b")) & fits).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+    pairs = a.join(b, ["token", "run"]).where((F.col("key_a") < F.col("key_b")) & fits).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
     binned = lambda s: classes.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("bins").alias(f"bins_{s}"))
     pairs = written(pairs.join(binned("a"), "a").join(binned("b"), "b").mapInArrow(_may_link(num, den), "a binary, b binary"), "pairs")
-    stars = written(shared.where(F.col("classes") > FEW).select(F.col("key").alias("a"), F.col("least").alias("b")).distinct(), "stars")
-    drop(shared)
+    stars = written(runs.where(F.col("classes") > FEW).select(F.col("key").alias("a"), F.col("least").alias("b")).distinct(), "stars")
+    drop(shared, runs)
     groups = components(pairs.unionByName(stars), "groups")
     sized = groups.withColumnRenamed("node", "key").join(classes.select("key", "tag", "n"), "key")
     sizes = sized.groupBy("label").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("held"))
@@ -333,6 +337,20 @@ def links(docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) ->
     return found.unionByName(verified).unionByName(_star_links(held, inner, num, den, block, shape))
 
 
+def _runs(many: DataFrame, num: int, den: int) -> DataFrame:
+    """``many`` with run, and classes and least of the run: no set of one run is similar to one of another run of its token.
+
+    The windows are over a token's distinct sizes, not over its rows.
+    """
+    sizes = many.groupBy("token", "n").agg(F.count(F.lit(1)).alias("classes"), F.min("key").alias("least"))
+    in_order = Window.partitionBy("token").orderBy("n")
+    sizes = sizes.withColumn("cut", F.coalesce(den * F.lag("n").over(in_order).cast("long") < num * F.col("n").cast("long"), F.lit(False)))
+    sizes = sizes.withColumn("run", F.sum(F.col("cut").cast("long")).over(in_order))
+    run = Window.partitionBy("token", "run")
+    sizes = sizes.select("token", "n", "run", F.sum("classes").over(run).alias("classes"), F.min("least").over(run).alias("least"))
+    return many.drop("classes", "least").join(sizes, ["token", "n"])
+
+
 def _blocks(sets: str, tokens: str):
     return F.greatest(F.ceil(F.col(sets) / BLOCK_SETS), F.ceil(F.col(tokens) / BLOCK_TOKENS)).cast("int")
 
