@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 def tally(df: DataFrame, codes, length: int) -> np.ndarray:
     """``codes`` maps an Arrow batch to arrays of integers from 0 to length - 1; their counts.
 
-    A task sends at most ``length`` counts, in chunks that meet by number, so
-    neither a task nor the driver holds more than the array itself.
+    A task sends its non-zero counts alone, in chunks that meet by number, so
+    what is sent follows the rows of a task, up to the array itself, and neither
+    a task nor the driver holds more than that.
     """
     chunk = max(4096, length // 256)
 
@@ -20,21 +21,30 @@ def tally(df: DataFrame, codes, length: int) -> np.ndarray:
         for b in batches:
             some = [c for c in codes(b) if len(c)]
             if some:
-                total += np.bincount(np.concatenate(some).astype(np.int64), minlength=length)
+                at = np.concatenate(some).astype(np.int64)
+                if 16 * len(at) < length:  # no second array of full length for a few codes
+                    at, n = np.unique(at, return_counts=True)
+                    total[at] += n
+                else:
+                    total += np.bincount(at, minlength=length)
         for c in range(0, length, chunk):
-            if total[c : c + chunk].any():
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([total[c : c + chunk].tobytes()], pa.binary())], ["chunk", "n"])
+            yield from send(c, total[c : c + chunk])
+
+    def send(c, counts):
+        at = np.flatnonzero(counts)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([counts[at].tobytes()], pa.binary())], ["chunk", "at", "n"])
 
     def add(batches):
         sums: dict = {}
         for b in batches:
-            for c, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.frombuffer(n, np.int64)
-                sums[c] = sums[c] + x if c in sums else x
-        for c, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["chunk", "n"])
+            for c, at, n in zip(*(x.to_pylist() for x in b.columns)):
+                sums.setdefault(c, np.zeros(chunk, np.int64))[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int64)
+        for c, counts in sums.items():
+            yield from send(c, counts)
 
     out = np.zeros(length, np.int64)
-    for r in df.mapInArrow(count, "chunk long, n binary").repartition("chunk").mapInArrow(add, "chunk long, n binary").collect():
-        out[r["chunk"] : r["chunk"] + chunk] = np.frombuffer(r["n"], np.int64)
+    shape = "chunk long, at binary, n binary"
+    for r in df.mapInArrow(count, shape).repartition("chunk").mapInArrow(add, shape).collect():
+        out[r["chunk"] + np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["n"], np.int64)
     return out
