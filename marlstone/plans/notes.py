@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marlstone.functions import markdown, text
+from marlstone.functions import markdown, pages, text
 from marlstone.plans.portable import oracle
 from marlstone.sources.catalog import view
 
@@ -22,3 +22,14 @@ O: dict = {  # noqa: E741
     "truncated_flag": oracle(f"SELECT id, length({SNIPPET}) < length(regexp_replace(body, '^\\W+|\\W+$', '', 'g')) AS truncated FROM {{docs}}"),
     "lex_simple_index": oracle("SELECT id, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(body), '[a-z0-9_]+')) AS term FROM {docs} WHERE source = 'code') GROUP BY id, term"),
 }
+
+Q["normalize_page"] = lambda s, d: pages.normalize(
+    view(s, d, "docs").selectExpr(
+        "id", "title", "url", "owner AS author", "CAST(NULL AS string) AS created", "IF(n % 3 = 0, '2024-01-02', NULL) AS updated", "CAST(NULL AS array<string>) AS ancestors",
+        "array(acl_group) AS acl_groups", "CASE n % 4 WHEN 0 THEN array('x', ' Archived ') WHEN 1 THEN array('x') END AS labels", "body",
+    )
+).select("id", "valid_from", "valid_to", F.sha2("body", 256).alias("digest"), F.array_join("acl_groups", ",").alias("acl"))
+O["normalize_page"] = oracle(
+    "SELECT 'confluence:page:' || id AS id, CASE WHEN n % 3 = 0 THEN '2024-01-02' END AS valid_from, CASE WHEN n % 4 = 0 THEN CASE WHEN n % 3 = 0 THEN '2024-01-02' ELSE '1970-01-01T00:00:00.000Z' END END AS valid_to,"
+    " sha256(CASE n % 4 WHEN 0 THEN '**Labels:** x,  Archived ' || chr(10) || chr(10) WHEN 1 THEN '**Labels:** x' || chr(10) || chr(10) ELSE '' END || body) AS digest, coalesce(acl_group, '') AS acl FROM {docs}"
+)
