@@ -116,16 +116,22 @@ def hamming_topk(spark, sf_dir: str, k: int = 40) -> DataFrame:
 def funnel(spark, sf_dir: str, k: int = 10, oversample: int = 16, probes: int = 4) -> DataFrame:
     """Probe the nearest clusters, keep the k * oversample nearest by signature, rescore exactly."""
     v = view(spark, sf_dir, "vectors")
-    centres = centroids(v).select(F.col("cluster_id").alias("probe"), F.col("vec").alias("centre"))
     pairs = vector_pairs(spark, sf_dir)
     q = pairs.select("query_id", "qv").distinct()
-    near = top(q.crossJoin(F.broadcast(centres)).withColumn("s", vector.dot(F.col("qv"), F.col("centre"))), probes, F.desc("s"), "probe").select("query_id", "probe")
+    near = nearest_clusters(q, centroids(v), probes)
     cand = pairs.join(near, (pairs["query_id"] == near["query_id"]) & (pairs["cluster_id"] == near["probe"])).drop(near["query_id"])
     cand = cand.withColumn("h", vector.hamming(vector.signature(F.col("qv")), vector.signature(F.col("vec"))))
     scored = top(cand, k * oversample, "h", "id").withColumn("score", F.round(vector.dot(F.col("qv"), F.col("vec")), 6))
     return top(scored, k, F.desc("score"), "id").select("query_id", "id", "score")
 
 
+def nearest_clusters(queries: DataFrame, centres: DataFrame, most: int) -> DataFrame:
+    """query_id, probe: the ``most`` centroids with the largest product; there are at most 16384 (``nlist``), whatever the rows."""
+    c = F.broadcast(centres.select(F.col("cluster_id").alias("probe"), F.col("vec").alias("centre")))
+    scored = queries.crossJoin(c).withColumn("s", vector.dot(F.col("qv"), F.col("centre")))
+    return top(scored, most, F.desc("s"), "probe").select("query_id", "probe")
+
+
 def centroids(v: DataFrame) -> DataFrame:
     """Unit mean vector of each cluster: partial sums by position, one row for each cluster."""
     e = v.select("cluster_id", F.posexplode("vec").alias("pos", "x")).groupBy("cluster_id", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
