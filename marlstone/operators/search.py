@@ -113,18 +113,6 @@ def hamming_topk(spark, sf_dir: str, k: int = 40) -> DataFrame:
     return top(s, k, "distance", "id").select("query_id", "id", "distance")
 
 
-def funnel(spark, sf_dir: str, k: int = 10, oversample: int = 16, probes: int = 4) -> DataFrame:
-    """Probe the nearest clusters, keep the k * oversample nearest by signature, rescore exactly."""
-    v = view(spark, sf_dir, "vectors")
-    pairs = vector_pairs(spark, sf_dir)
-    q = pairs.select("query_id", "qv").distinct()
-    near = nearest_clusters(q, centroids(v), probes)
-    cand = pairs.join(near, (pairs["query_id"] == near["query_id"]) & (pairs["cluster_id"] == near["probe"])).drop(near["query_id"])
-    cand = cand.withColumn("h", vector.hamming(vector.signature(F.col("qv")), vector.signature(F.col("vec"))))
-    scored = top(cand, k * oversample, "h", "id").withColumn("score", F.round(vector.dot(F.col("qv"), F.col("vec")), 6))
-    return top(scored, k, F.desc("score"), "id").select("query_id", "id", "score")
-
-
 def nearest_clusters(queries: DataFrame, centres: DataFrame, most: int) -> DataFrame:
     """query_id, probe: the ``most`` centroids with the largest product; there are at most 16384 (``nlist``), whatever the rows."""
     c = F.broadcast(centres.select(F.col("cluster_id").alias("probe"), F.col("vec").alias("centre")))
@@ -143,44 +131,6 @@ def nlist(n: int) -> int:
     return max(16, min(16384, round(n**0.5)))
 
 
-def assign(v: DataFrame, centres: DataFrame) -> DataFrame:
-    """The nearest centre of each vector, the lowest id on ties. There are at most 16384 centres, so they are broadcast."""
-    c = F.broadcast(centres.select(F.col("cluster_id").alias("c"), F.col("vec").alias("cv")))
-    s = v.drop("cluster_id").crossJoin(c).withColumn("s", F.struct(vector.dot(F.col("vec"), F.col("cv")).alias("s"), (-F.col("c")).alias("c")))
-    return s.groupBy("id").agg(F.max("s").alias("s"), F.first("vec").alias("vec")).select("id", "vec", (-F.col("s.c")).cast("int").alias("cluster_id"))
-
-
-def kmeans(spark, sf_dir: str, k: int = 16, rounds: int = 15) -> DataFrame:
-    """Spherical k-means from vectors at even strides; ends when no vector moves. Each round's assignment is checkpointed."""
-    v = view(spark, sf_dir, "vectors").select("id", "n", "vec")
-    total = v.count()
-    k = min(k, total)
-    starts = {(i * total) // k for i in range(k)}
-    ranked = v.withColumn("r", F.row_number().over(Window.orderBy("n")) - 1).where(F.col("r").isin(*starts))
-    centres = ranked.select((F.row_number().over(Window.orderBy("r")) - 1).cast("int").alias("cluster_id"), "vec")
-    last = None
-    for _ in range(rounds):
-        now = assign(v.select("id", "vec"), centres).checkpoint()
-        moved = last is None or now.join(last.select("id", F.col("cluster_id").alias("old")), "id").where("cluster_id <> old").count() > 0
-        last = now
-        if not moved:
-            break
-        means = centroids(now)
-        centres = means.unionByName(centres.join(means, "cluster_id", "left_anti").withColumn("vec", F.col("vec").cast("array<double>"))).checkpoint()
-    return last.select("id", "cluster_id")
-
-
-def calibrate(spark, sf_dir: str, ladder=(1, 2, 4, 8)) -> DataFrame:
-    """Recall at 10 of the funnel for each number of probes, against the exact answer."""
-    exact = exact_topk(spark, sf_dir)
-    out = None
-    for p in ladder:
-        hit = funnel(spark, sf_dir, probes=p).join(exact.select("query_id", "id"), ["query_id", "id"], "left_semi").agg(F.count(F.lit(1)).alias("hits"))
-        row = hit.crossJoin(exact.agg(F.count(F.lit(1)).alias("all"))).select(F.lit(p).alias("nprobe"), (F.col("hits") / F.col("all")).alias("recall"))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
 def near_dup(spark, sf_dir: str, least: float = 0.95) -> DataFrame:
     """Pairs within a cluster with a cosine above ``least``."""
     v = view(spark, sf_dir, "vectors")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import ranking, text, vector
+from marlstone.operators import ivf
 from marlstone.operators import search as S
 from marlstone.plans.portable import VISIBLE, oracle
 from marlstone.sources.catalog import view
@@ -76,11 +77,11 @@ plan("vec_hamming", f"SELECT query_id, id, CAST(h AS INT) AS distance FROM {PAIR
     lambda s, d: S.vector_pairs(s, d).select("query_id", "id", vector.hamming(vector.signature(F.col("qv")), vector.signature(F.col("vec"))).cast("int").alias("distance")))
 plan("vec_signature", "SELECT id, CAST(list_sum(list_transform(vec, lambda x: CASE WHEN x >= 0 THEN 1 ELSE 0 END)) AS INT) AS bits FROM {vectors}")(
     lambda s, d: view(s, d, "vectors").select("id", F.aggregate(F.transform(vector.signature(F.col("vec")), F.bit_count), F.lit(0), lambda a, x: a + x).alias("bits")))
-plan("vec_funnel")(S.funnel)
+plan("vec_funnel")(ivf.funnel)
 plan("agg_centroid")(lambda s, d: S.centroids(view(s, d, "vectors")))
-plan("ivf_kmeans")(S.kmeans)
-plan("ivf_assign")(lambda s, d: S.assign(view(s, d, "vectors").select("id", "vec"), S.centroids(view(s, d, "vectors"))).select("id", "cluster_id"))
-plan("ivf_calibrate")(S.calibrate)
+plan("ivf_kmeans")(ivf.kmeans)
+plan("ivf_assign")(ivf.assign)
+plan("ivf_calibrate")(ivf.calibrate)
 plan("near_dup", "SELECT a.id, b.id AS other FROM {vectors} a JOIN {vectors} b ON a.cluster_id = b.cluster_id AND a.id < b.id WHERE list_dot_product(a.vec::DOUBLE[], b.vec::DOUBLE[]) > 0.95")(S.near_dup)
 
 plan("classify_route", "SELECT id, CASE n % 6 WHEN 0 THEN 'entity' WHEN 1 THEN 'path' WHEN 2 THEN 'exact' WHEN 3 THEN 'exact' WHEN 4 THEN 'symbol' ELSE 'docs' END AS route FROM {notes}")(
