@@ -5,12 +5,16 @@ Training documents are those whose crc32(doc_id as text) mod ``FOLDS`` is not
 of text; a text starts as after an end.
 
 * Word counts over all training texts, by 64-bit word hashes, in one table.
-* Units: the ``HEAD`` most frequent words one by one, and all other words by
+* Start: the ``HEAD`` most frequent words one by one, and all other words by
   the hash of their last three bytes, in ``TAIL`` units. Unit bigrams of all
-  training texts are counted into one matrix of fixed size.
-* Exchange clustering: units start in classes by frequency, and each in turn
-  moves to the class that raises the class-bigram likelihood most, until a
-  sweep moves none (or ``SWEEPS``). Words take their unit's class.
+  training texts are counted into one matrix, and exchange clustering puts the
+  units in classes: they start by frequency, and each in turn moves to the class
+  that raises the class-bigram likelihood most, until a sweep moves none (or
+  ``SWEEPS``). There are as many classes as the cube root of the words clustered.
+* Middle words, all others that occur ``LEAST`` times or more, start in their
+  ending's class. Their bigrams stand in a table by word; a sweep over it moves
+  each word of one half to its best class against the class totals, and holds
+  where the likelihood of all bigrams rises. Rarer words keep their ending's class.
 * Score: log10 P(class | last class) + log10 P(word | class). Transitions are
   interpolated with class frequencies; emissions get 1/2 added to each count
   and to one unknown word in each class, so the probabilities sum to one.
@@ -25,19 +29,23 @@ token has the probability that smoothing alone gives; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import _words as W
-from marlstone.llm._shared import free_shuffles, table, written
+from marlstone.llm._shared import drop, free_shuffles, table, written
 from marlstone.llm._tally import tally
 
 U = np.uint64
 FOLDS, HELD_OUT = 5, 1
 HEAD, TAIL_BITS, CLASSES, SWEEPS, SCORED = 1024, 10, 64, 8, 1 << 19
 TAIL = 1 << TAIL_BITS
+BASE = HEAD + TAIL  # the first middle word's unit
+LEAST, HALVES, BUCKET, FLUSH = 5, 4, 1 << 20, 1 << 21
 END, MARK = U(0x454E44), U(0x4D41524B)
 BACK = 4.0  # transitions: counts that the class frequencies are worth
 
@@ -85,14 +93,20 @@ def _find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Units:
-    """Head words (sorted hashes) have units 0 .. HEAD - 1 in that order, endings the rest."""
+    """Head words (sorted hashes) have units 0 .. HEAD - 1 in that order, endings those up to BASE - 1, middle words the rest."""
 
-    def __init__(self, head: np.ndarray):
-        self.head = np.sort(head)
+    def __init__(self, head: np.ndarray, middle: np.ndarray = np.zeros(0, np.uint64)):  # noqa: B008
+        self.head, self.middle = np.sort(head), np.sort(middle)
 
     def of(self, h: np.ndarray, ending: np.ndarray) -> np.ndarray:
         at, known = _find(self.head, h)
-        return np.where(known, at, HEAD + ending)
+        u = np.where(known, at, HEAD + ending)
+        at, known = _find(self.middle, h)
+        return np.where(known, BASE + at, u)
+
+
+def classes_for(words: int) -> int:
+    return max(CLASSES, round(words ** (1 / 3)))
 
 
 def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
@@ -145,17 +159,168 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return cls
 
 
+def _f(x):
+    return x * np.log(np.maximum(x, 1))
+
+
+def likelihood(n: np.ndarray) -> float:
+    return float(_f(n).sum() - _f(n.sum(0)).sum() - _f(n.sum(1)).sum())
+
+
+def _zip(code: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted codes and their counts, bytes of equal weight side by side."""
+    planes = lambda x: np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return zlib.compress(planes(np.diff(code, prepend=0)) + planes(n.astype(np.int32)), 1)
+
+
+def _unzip(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(12, -1)
+    whole = lambda x, t: np.ascontiguousarray(x.T).view(t).ravel()
+    return np.cumsum(whole(raw[:8], np.int64)), whole(raw[8:], np.int32).astype(np.int64)
+
+
+def _follow(units, buckets: int):
+    """Bigrams that hold a middle word, once for each such word: 33 bits from its place on, the other unit and which one comes first."""
+
+    def rows(parts):
+        last, u = (np.concatenate(x) for x in zip(*parts))
+        a, z = last >= BASE, u >= BASE
+        code, n = np.unique(np.concatenate([(last[a] - BASE << 33) + 2 * u[a], (u[z] - BASE << 33) + 2 * last[z] + 1]), return_counts=True)
+        bucket = (code >> 33) % buckets
+        o = np.argsort(bucket, kind="stable")
+        some, at = np.unique(bucket[o], return_index=True)
+        out = [(int(b), _zip(code[i], n[i])) for b, i in zip(some, np.split(o, at[1:]))] if len(o) else []
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([d for _, d in out], pa.binary())], ["bucket", "data"])
+
+    def run(batches):
+        of = units.value.of
+        end = of(np.array([END]), np.zeros(1, np.int64))
+        held, size = [], 0
+        for b in batches:
+            for _, _, (h, e, _) in _texts(b):
+                u = of(h, e)
+                held.append((np.concatenate([end, u[:-1]]) if len(u) else u, u))
+                size += len(u)
+                if size >= FLUSH:
+                    yield rows(held)
+                    held, size = [], 0
+        if held:
+            yield rows(held)
+
+    return run
+
+
+def _merge(t: pa.Table) -> pa.Table:
+    code, n = (np.concatenate(x) for x in zip(*(_unzip(d) for d in t.column("data").to_pylist())))
+    code, at = np.unique(code, return_inverse=True)
+    return pa.table({"data": pa.array([_zip(code, np.bincount(at, n).astype(np.int64))], pa.binary())})
+
+
+def _bigrams(batches):
+    """Place of the middle word, the other unit, whether the other comes first, and the count."""
+    for b in batches:
+        for d in b.column(0):
+            code, n = _unzip(d.as_py())
+            yield code >> 33, (code >> 1) & 0xFFFFFFFF, (code & 1).astype(bool), n
+
+
+def class_counts(bigrams: DataFrame, cls: np.ndarray, classes: int) -> np.ndarray:
+    """Counts of class bigrams that hold a middle word."""
+    shared = bigrams.sparkSession.sparkContext.broadcast(cls)
+
+    def run(batches):
+        cls, total = shared.value, np.zeros(classes * classes)
+        for key, other, first, n in _bigrams(batches):
+            x, y = cls[BASE + key], cls[other]
+            once = ~first | (other < BASE)  # two middle words stand under both
+            total += np.bincount(np.where(first, y * classes + x, x * classes + y)[once], n[once], len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], ["at", "n"])
+
+    out = np.zeros(classes * classes)
+    for r in bigrams.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r["n"]
+    return out.reshape(classes, classes)
+
+
+def _joining(t: np.ndarray, n: np.ndarray, small: int = 8) -> np.ndarray:
+    """Growth of sum f(n[b]) when each row of counts ``t`` joins each class b."""
+    out = np.zeros(t.shape)
+    for k in range(1, small + 1):
+        out += (t == k).astype(np.float32) @ (_f(n + k) - _f(n)).T.astype(np.float32)
+    row, col = np.nonzero(t > small)
+    for i in range(0, len(row), 1 << 14):
+        r, c = row[i : i + (1 << 14)], col[i : i + (1 << 14)]
+        grown = _f(n.T[c] + t[r, c][:, None]) - _f(n.T[c])
+        some, at = np.unique(r, return_index=True)
+        out[some] += np.add.reduceat(grown, at)
+    return out
+
+
+def best_classes(t: np.ndarray, s: np.ndarray, own: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The best class for words with counts ``t`` of classes that follow and ``s`` of classes before, which now are in ``own``."""
+    rows, cols, ts, ss = n.sum(1), n.sum(0), t.sum(1), s.sum(1)
+    gain = _joining(t, n) + _joining(s, n.T) - _f(rows + ts[:, None]) + _f(rows) - _f(cols + ss[:, None]) + _f(cols)
+    stay = (_f(n[own]) - _f(n[own] - t) + _f(n.T[own]) - _f(n.T[own] - s)).sum(1)
+    stay -= _f(rows[own]) - _f(rows[own] - ts) + _f(cols[own]) - _f(cols[own] - ss)
+    gain[np.arange(len(own)), own] = stay
+    best = gain.argmax(1)
+    return np.where(gain[np.arange(len(own)), best] > stay + 1e-3, best, own)
+
+
+def moves(bigrams: DataFrame, cls: np.ndarray, n: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """Middle words of one half that have a better class, and that class."""
+    shared = bigrams.sparkSession.sparkContext.broadcast((cls, n))
+
+    def run(batches):
+        cls, n = shared.value
+        size = len(n)
+        for key, other, first, k in _bigrams(batches):
+            mine = (W.mix(key.astype(np.uint64)) & U(1)) == U(half)
+            key, other, first, k = key[mine], other[mine], first[mine], k[mine]
+            words, at = np.unique(key, return_index=True)
+            edges = np.append(at, len(key))
+            for i in range(0, len(words), 4096):
+                w = words[i : i + 4096]
+                part = slice(edges[i], edges[i + len(w)])
+                cell = np.searchsorted(w, key[part]) * size + cls[other[part]]
+                t, s = (np.bincount(cell[x], k[part][x], len(w) * size).reshape(len(w), size) for x in (~first[part], first[part]))
+                own = cls[BASE + w].astype(np.int64)
+                best = best_classes(t, s, own, n)
+                new = np.flatnonzero(best != own)
+                yield pa.RecordBatch.from_arrays([pa.array([w[new].tobytes()], pa.binary()), pa.array([best[new].tobytes()], pa.binary())], ["word", "class"])
+
+    rows = bigrams.mapInArrow(run, "word binary, class binary").collect()
+    return tuple(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r[x], np.int64) for r in rows)]) for x in ("word", "class"))
+
+
+def sweep(bigrams: DataFrame, cls: np.ndarray, n: np.ndarray, halves: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all units and counts of class bigrams after the sweeps over middle words; ``n`` are the counts before."""
+    fixed = n - class_counts(bigrams, cls, len(n))
+    failed = 0
+    for k in range(HALVES if halves is None else halves):
+        words, best = moves(bigrams, cls, n, k % 2)
+        new = cls.copy()
+        new[BASE + words] = best
+        counts = fixed + class_counts(bigrams, new, len(n)) if len(words) else n
+        if len(words) and likelihood(counts) > likelihood(n):
+            cls, n, failed = new, counts, 0
+        else:
+            failed += 1
+            if failed == 2:
+                break
+    return cls, n
+
+
 class Model:
-    """Everything that scoring needs beside the counts of rare words; its size does not follow the corpus."""
+    """Everything that scoring needs beside the counts of rare words; its size follows the vocabulary of ``LEAST`` occurrences or more."""
 
-    def __init__(self, units: Units, cls, pairs, words, counts, total, vocabulary, keys, known):
+    def __init__(self, units: Units, cls, n, words, counts, total, vocabulary, keys, known):
         self.units, self.cls = units, cls
-        one = np.eye(CLASSES)[cls]
-        n = one.T @ pairs @ one
-        of_class = one.T @ counts + 0.5 * (one.T @ words + 1)
+        of_class = np.bincount(cls, counts, len(n)) + 0.5 * (np.bincount(cls, words, len(n)) + 1)
         unigram = of_class / of_class.sum()
         self.step = np.log10((n + BACK * unigram) / (n.sum(1, keepdims=True) + BACK))
-        self.out = np.log10(one.T @ counts + 0.5 * (one.T @ words + 1))
+        self.out = np.log10(of_class)
         self.total, self.base = total, float(np.log10(total + 0.5 * (vocabulary + 1)))
         self.keys, self.known = keys, known
         self.end = int(units.of(np.array([END]), np.zeros(1, np.int64))[0])
@@ -163,7 +328,7 @@ class Model:
 
 def _pack(batches):
     for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary()) for c in b.columns], ["h", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary()) for c in b.columns], b.schema.names)
 
 
 def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,6 +347,16 @@ def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], known[order]
 
 
+def middle_words(counts: DataFrame, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of the middle words, their endings and counts."""
+    rows = counts.where(F.col("n") >= LEAST).select("h", "ending", "n").mapInArrow(_pack, "h binary, ending binary, n binary").collect()
+    h, ending, n = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r[x], np.int64) for r in rows)]) for x in ("h", "ending", "n"))
+    h = h.view(np.uint64)
+    o = np.argsort(h)
+    o = o[~_find(units.head, h[o])[1]]
+    return h[o], ending[o], n[o]
+
+
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model, and the table of word counts (h, n). ``docs``: the training texts, one column ``text``."""
     spark = docs.sparkSession
@@ -189,6 +364,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     free_shuffles(spark)
     keys, known = frequent(counts, SCORED)
     units = Units(keys[np.lexsort((keys, -known))[:HEAD]])
+    middle, ending, seen = middle_words(counts, units)
     shared = spark.sparkContext.broadcast(units)
 
     def bigrams(batch):
@@ -203,14 +379,28 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     pairs = tally(docs, bigrams, size * size).reshape(size, size).astype(np.float64)
     # words and tokens of each unit
     head = pa.array(units.head.view(np.int64)).to_pylist()
-    tails = counts.where(~F.col("h").isin(head)) if head else counts
+    tails = counts.where(F.col("n") < LEAST)
+    tails = tails.where(~F.col("h").isin(head)) if head else tails
     words, tokens = np.zeros(size), np.zeros(size)
     for r in tails.groupBy("ending").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect():
         words[HEAD + r["ending"]], tokens[HEAD + r["ending"]] = r["words"], r["n"]
     place, there = _find(keys, units.head)
     words[: len(units.head)], tokens[: len(units.head)] = 1, known[place]
-    cls = exchange(pairs)
-    return Model(units, cls, pairs, words, tokens, int(tokens.sum()), int(words.sum()), keys, known), counts.select("h", "n")
+    words, tokens = np.append(words, np.ones(len(middle))), np.append(tokens, seen)
+    classes = classes_for(len(units.head) + len(middle))
+    cls = exchange(pairs, classes)
+    one = np.eye(classes)[cls]
+    n = one.T @ pairs @ one
+    cls = np.append(cls, cls[HEAD + ending])
+    units = Units(units.head, middle)
+    if len(middle):
+        buckets = 1 + int(tokens.sum()) // BUCKET
+        pieces = docs.mapInArrow(_follow(spark.sparkContext.broadcast(units), buckets), "bucket int, data binary")
+        bigrams = written(pieces.groupBy("bucket").applyInArrow(_merge, "data binary"), "bigrams")
+        free_shuffles(spark)
+        cls, n = sweep(bigrams, cls, n)
+        drop(bigrams)
+    return Model(units, cls, n, words, tokens, int(tokens.sum()), int(words.sum()), keys, known), counts.select("h", "n")
 
 
 def _score(model):

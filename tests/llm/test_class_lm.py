@@ -63,3 +63,37 @@ def test_no_training_text(spark):
     i = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 1)
     (r,) = C.score(spark.createDataFrame([(i, "a b")], "doc_id long, text string")).collect()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (3, 0, 0, 0.0)
+
+
+def test_middle_words_join_the_words_they_act_like(spark, monkeypatch):
+    """Middle words with one ending in common, that act like one of two kinds of frequent words: their ending's one class cannot tell them apart."""
+    monkeypatch.setattr(C, "SCORED", 21)  # the frequent words and the end
+    monkeypatch.setattr(C, "CLASSES", 4)
+    rng = random.Random(8)
+    kinds = [[f"ka{k}" for k in range(10)], [f"zo{k}" for k in range(10)]]
+    rare = [[f"{k}axyz" for k in range(20)], [f"{k}bxyz" for k in range(20)]]
+    pick = lambda k: rng.choice(rare[k] if rng.random() < 0.15 else kinds[k])
+    rows = [" ".join(pick(k) for _ in range(20) for k in (0, 1)) for _ in range(200)] + ["once twice"]
+    model, _ = C.train(spark.createDataFrame([(t,) for t in rows], "text string").repartition(3))
+    assert len(model.units.middle) == 40  # every word of five occurrences or more that is not a frequent one
+    w = C.W.Words(*C.W.utf8(C.pa.array(rare[0] + rare[1])), 0, 40, C.W.SPACED)
+    cls = model.cls[model.units.of(w.hash, C._endings(w))].tolist()
+    assert not set(cls[:20]) & set(cls[20:])
+
+
+def test_sweeps_count_all_bigrams_and_raise_the_likelihood(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(60)) for _ in range(80)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    monkeypatch.setattr(C, "SCORED", 40)
+    kept, run = [], C.sweep
+    monkeypatch.setattr(C, "sweep", lambda bigrams, cls, n: kept.append((cls, n, run(bigrams, cls, n))) or kept[0][2])
+    model, _ = C.train(docs)
+    (_, before, (cls, after)) = kept[0]
+    assert C.likelihood(after) > C.likelihood(before)
+    want = np.zeros_like(after)
+    w = C.W.Words(*C.W.utf8(C.pa.array(texts)), 0, len(texts), C.W.SPACED)
+    h, e, _ = C._tokens(w)
+    c = cls[model.units.of(h, e)]
+    np.add.at(want, (np.append(cls[model.end], c[:-1]), c), 1)
+    assert (want == after).all()
