@@ -289,3 +289,29 @@ def funnel(spark, sf_dir: str, k: int = 10) -> DataFrame:
         found = top(best(ix, q, k * oversample, probes), k, F.desc("score"), "id").select("query_id", "id", "score").checkpoint()
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def near_dup(spark, sf_dir: str, least: float = 0.95, size: int = 1 << 13) -> DataFrame:
+    """Pairs of all rows with a cosine above ``least``, whatever their labels: blocks of rows meet all rows, in slices."""
+    v = view(spark, sf_dir, "vectors").select("id", "n", "vec")
+    parts = max(1, -(-v.count() // size))
+    out = None
+    for part in range(parts):
+        t = v.where(F.pmod(F.xxhash64("n"), F.lit(parts)) == part).select("id", "vec").toArrow()
+        vecs = np.concatenate([_matrix(c) for c in t.column(1).chunks if len(c)]) if t.num_rows else np.zeros((0, 0))
+        shared = spark.sparkContext.broadcast((np.array(t.column(0).to_pylist(), object), vecs))
+
+        def run(batches, shared=shared):
+            others, vecs = shared.value
+            step = max(1, CELLS // 4 // max(1, len(others)))
+            for b in batches:
+                for i in range(0, b.num_rows if len(others) else 0, step):
+                    s = b.slice(i, step)
+                    row, col = np.nonzero(_matrix(s.column(1)) @ vecs.T > least)
+                    ids, found = np.array(s.column(0).to_pylist(), object)[row], others[col]
+                    once = ids < found
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[once], pa.string()), pa.array(found[once], pa.string())], ["id", "other"])
+
+        pairs = v.select("id", "vec").mapInArrow(run, "id string, other string").checkpoint()
+        out = pairs if out is None else out.unionByName(pairs)
+    return out

@@ -129,10 +129,3 @@ def centroids(v: DataFrame) -> DataFrame:
 
 def nlist(n: int) -> int:
     return max(16, min(16384, round(n**0.5)))
-
-
-def near_dup(spark, sf_dir: str, least: float = 0.95) -> DataFrame:
-    """Pairs within a cluster with a cosine above ``least``."""
-    v = view(spark, sf_dir, "vectors")
-    b = v.select(F.col("id").alias("other"), F.col("vec").alias("ov"), "cluster_id")
-    return v.join(b, "cluster_id").where((F.col("id") < F.col("other")) & (vector.dot(F.col("vec"), F.col("ov")) > least)).select("id", "other")

@@ -82,7 +82,7 @@ plan("agg_centroid")(lambda s, d: S.centroids(view(s, d, "vectors")))
 plan("ivf_kmeans")(ivf.kmeans)
 plan("ivf_assign")(ivf.assign)
 plan("ivf_calibrate")(ivf.calibrate)
-plan("near_dup", "SELECT a.id, b.id AS other FROM {vectors} a JOIN {vectors} b ON a.cluster_id = b.cluster_id AND a.id < b.id WHERE list_dot_product(a.vec::DOUBLE[], b.vec::DOUBLE[]) > 0.95")(S.near_dup)
+plan("near_dup", "SELECT a.id, b.id AS other FROM {vectors} a JOIN {vectors} b ON a.cluster_id = b.cluster_id AND a.id < b.id WHERE list_dot_product(a.vec::DOUBLE[], b.vec::DOUBLE[]) > 0.95")(ivf.near_dup)
 
 plan("classify_route", "SELECT id, CASE n % 6 WHEN 0 THEN 'entity' WHEN 1 THEN 'path' WHEN 2 THEN 'exact' WHEN 3 THEN 'exact' WHEN 4 THEN 'symbol' ELSE 'docs' END AS route FROM {notes}")(
     lambda s, d: view(s, d, "notes").select("id", text.classify_route(F.col("query")).alias("route")))

@@ -73,3 +73,16 @@ def test_kmeans_has_nlist_clusters_and_each_vector_its_nearest(spark):
     assert len(centres) == ivf.nlist(len(ids)) == 22
     got = {r["id"]: r["cluster_id"] for r in registry.queries()["ivf_assign"](spark, SF).collect()}
     assert got == dict(zip(ids, (m @ centres.T).argmax(1).tolist()))
+
+
+def test_near_duplicates_are_found_across_labels(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(300, 64))
+    m[150:200] = m[:50] + 0.05 * rng.normal(size=(50, 64))
+    m = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+    spark.createDataFrame([(i, v, i // 100) for i, v in enumerate(m.tolist())], "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = ivf.near_dup(spark, str(tmp_path), size=64).collect()
+    s = m.astype(np.float64) @ m.astype(np.float64).T
+    want = {(f"doc:{i}", f"doc:{j}") for i in range(300) for j in range(300) if s[i, j] > 0.95 and f"doc:{i}" < f"doc:{j}"}
+    assert len(want) == 50 and all(abs(int(x[4:]) // 100 - int(y[4:]) // 100) == 1 for x, y in want)
+    assert len(got) == 50 and {tuple(r) for r in got} == want
