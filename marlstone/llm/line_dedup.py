@@ -1,13 +1,14 @@
-"""Op 6: line deduplication that returns keep bitmaps, in Spark's own functions.
+"""Op 6: line deduplication that returns bitmaps of dropped lines, in Spark's own functions.
 
 A line's key is the line without white space at both ends, with A-Z lowered.
 Keys of at least ``min_chars`` code points found in at least ``min_docs``
 documents lose all their lines, except those in the largest doc_id holding it.
 
-Key hashes are range-partitioned with document and position as further keys,
-so one frequent key spreads over several partitions; each streams its sorted
-rows into one row for each key and document, then partial counts meet by key.
-The verdicts come back as sparse 64-bit keep words for each document.
+Key hashes are range-partitioned with the document as a further key, so one
+frequent key spreads over several partitions; rows are counted by key and
+document there, then by key. A verdict needs just the number of documents and
+the largest of them, so nothing is sorted by position. The lines that go come
+back as sparse 64-bit words for each document.
 
 Defined cases: null or empty text is one empty line; rows that share a doc_id
 are one document for the counts, and each is cut on its own; a null doc_id is
