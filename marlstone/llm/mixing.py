@@ -96,13 +96,13 @@ def split(drawn: DataFrame, depth: int = DEPTH) -> DataFrame:
     return b.select("source", "pass", "block", "words", "shard")
 
 
-def mix(docs: DataFrame, depth: int = DEPTH, **how) -> DataFrame:
+def mix(docs: DataFrame, depth: int = DEPTH, max_repeat: int = MAX_REPEAT, **how) -> DataFrame:
     """doc_id, source, pass, shard, words, place: every copy that the mix takes, with its shard and its place there."""
-    d = draw(docs, **how)
+    d = draw(docs, max_repeat=max_repeat, **how)
     tree = split(d, depth).drop("words").withColumnsRenamed({"source": "__source", "block": "__block"})
     copies = F.explode(F.concat(
         F.array(F.struct(F.lit(0).cast("long").alias("pass"), F.col("part").alias("words"))),
-        F.transform(F.sequence(F.lit(1).cast("long"), F.lit(MAX_REPEAT).cast("long")), lambda p: F.struct(p.alias("pass"), F.when(p <= F.col("passes"), F.col("size")).otherwise(0).alias("words"))),
+        F.transform(F.sequence(F.lit(1).cast("long"), F.lit(max_repeat).cast("long")), lambda p: F.struct(p.alias("pass"), F.when(p <= F.col("passes"), F.col("size")).otherwise(0).alias("words"))),
     )).alias("x")
     c = d.select("doc_id", "source", "block", copies).select("doc_id", "source", "block", "x.pass", "x.words").where(F.col("words") > 0)
     c = c.join(tree.withColumnRenamed("pass", "__pass"), c["source"].eqNullSafe(tree["__source"]) & (c["block"] == F.col("__block")) & (c["pass"] == F.col("__pass")))
