@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators.search import nlist, top
 from marlstone.sources.catalog import view
+from marlstone.sources.store import written
 
 GATE = 0.98  # recall at 10 that a point of the calibration must reach
 OVERSAMPLES, PROBES = (4, 8, 16, 32, 64), (1, 2, 4, 8, 16, 32, 64, 128, 256)
@@ -46,7 +47,7 @@ def _nearest(m: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def _starts(v: DataFrame, k: int, total: int) -> np.ndarray:
     """Vectors at the places i * total // k in the order of n; places are counted part by part, not in one task."""
     spark = v.sparkSession
-    parts = v.select("n").repartitionByRange("n").withColumn("part", F.spark_partition_id()).checkpoint()
+    parts = written(v.select("n").repartitionByRange("n").withColumn("part", F.spark_partition_id()), "parts")
     place, want = 0, []
     places = [i * total // k for i in range(k)]
     for r in sorted(parts.groupBy("part").count().collect(), key=lambda r: r["part"]):
@@ -133,7 +134,7 @@ def assign(spark, sf_dir: str) -> DataFrame:
 def index(spark, sf_dir: str) -> Index:
     v = view(spark, sf_dir, "vectors")
     centres = build(v)[1]
-    return Index(assigned(v, centres).checkpoint(), centres)
+    return Index(written(assigned(v, centres), "assigned"), centres)
 
 
 def blocks(ix: Index, every: int, keep: int):
@@ -286,7 +287,7 @@ def funnel(spark, sf_dir: str, k: int = 10) -> DataFrame:
     probes, oversample = chosen or (None, 1)
     out = None
     for q in blocks(ix, EVERY, k * oversample):
-        found = top(best(ix, q, k * oversample, probes), k, F.desc("score"), "id").select("query_id", "id", "score").checkpoint()
+        found = written(top(best(ix, q, k * oversample, probes), k, F.desc("score"), "id").select("query_id", "id", "score"), "nearest")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -312,6 +313,6 @@ def near_dup(spark, sf_dir: str, least: float = 0.95, size: int = 1 << 13) -> Da
                     once = ids < found
                     yield pa.RecordBatch.from_arrays([pa.array(ids[once], pa.string()), pa.array(found[once], pa.string())], ["id", "other"])
 
-        pairs = v.select("id", "vec").mapInArrow(run, "id string, other string").checkpoint()
+        pairs = written(v.select("id", "vec").mapInArrow(run, "id string, other string"), "near-dup")
         out = pairs if out is None else out.unionByName(pairs)
     return out

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.sources.store import shared_dir
+
 
 def shared(spark, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    return f"{root}/stream/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream/{name}-{uuid.uuid4().hex}"
 
 
 def read(spark, sf_dir: str, table: str) -> DataFrame:
