@@ -76,6 +76,19 @@ def drop_paths(tables: list) -> None:
             _delete(*entry)
 
 
+@contextlib.contextmanager
+def drop_all_but():
+    """At the end, remove every table written inside, except those that went through the function given."""
+    before, kept = live(), []
+
+    def keep(t: DataFrame) -> DataFrame:
+        kept.append((t.sparkSession, t._marlstone_path))
+        return t
+
+    yield keep
+    drop_paths([x for x in live() if x not in before and x not in kept])
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     if sc._jsc is None or sc._jsc.sc().isStopped():
