@@ -1,71 +1,19 @@
-"""Tables in the folder that driver and executors share, and small helpers."""
+"""What the corpus operators share with the rest of the engine."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="marlstone-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: cuts the
-    lineage, and a lost executor costs no recomputation of what stands there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/marlstone/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._marlstone_path = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Remove tables made by ``written`` that nothing will read again."""
-    for t in tables:
-        _delete(t.sparkSession, t._marlstone_path)
-        _written.remove((t.sparkSession, t._marlstone_path))
-
+from marlstone.sources.store import collected, drop, drop_all_but, drop_paths, live, shared_dir, tidy, written
 
-def _delete(spark: SparkSession, path: str) -> None:
-    sc = spark.sparkContext
-    p = sc._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def drop_tables() -> None:
-    """Remove every table that ``written`` left, as far as its session still runs."""
-    while _written:
-        spark, path = _written.pop()
-        sc = spark.sparkContext
-        if sc._jsc is not None and not sc._jsc.sc().isStopped():
-            _delete(spark, path)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner see that finished jobs' shuffle files are unreachable."""
-    spark.sparkContext._jvm.System.gc()
-
-
-@atexit.register
-def _at_exit() -> None:
-    try:
-        drop_tables()
-    except Exception:  # the gateway may be gone already; the files are then left to the folder's owner
-        _written.clear()
+__all__ = ["collected", "drop", "drop_all_but", "drop_paths", "hidden", "live", "shared_dir", "table", "tidy", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def hidden(docs: DataFrame) -> tuple[DataFrame, dict]:
+    """``docs`` with its columns under names of our own, and these by the columns' names: nothing that is joined to it can clash."""
+    own = {c: f"__own_{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*own.values()), own

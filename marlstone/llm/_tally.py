@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from marlstone.llm._shared import tidy
+
 
 def tally(df: DataFrame, codes, length: int) -> np.ndarray:
     """``codes`` maps an Arrow batch to arrays of integers from 0 to length - 1; their counts.
@@ -45,6 +47,7 @@ def tally(df: DataFrame, codes, length: int) -> np.ndarray:
 
     out = np.zeros(length, np.int64)
     shape = "chunk long, at binary, n binary"
-    for r in df.mapInArrow(count, shape).repartition("chunk").mapInArrow(add, shape).collect():
-        out[r["chunk"] + np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["n"], np.int64)
+    with tidy(df.sparkSession):
+        for r in df.mapInArrow(count, shape).repartition("chunk").mapInArrow(add, shape).collect():
+            out[r["chunk"] + np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["n"], np.int64)
     return out

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import _words as W
-from marlstone.llm._shared import drop, free_shuffles, table, written
+from marlstone.llm._shared import drop, table, written
 from marlstone.llm._tally import tally
 
 U = np.uint64
@@ -361,7 +361,6 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model, and the table of word counts (h, n). ``docs``: the training texts, one column ``text``."""
     spark = docs.sparkSession
     counts = written(docs.mapInArrow(_count, "h long, ending int, n long").groupBy("h").agg(F.min("ending").alias("ending"), F.sum("n").alias("n")), "word-counts")
-    free_shuffles(spark)
     keys, known = frequent(counts, SCORED)
     units = Units(keys[np.lexsort((keys, -known))[:HEAD]])
     middle, ending, seen = middle_words(counts, units)
@@ -397,7 +396,6 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
         buckets = 1 + int(tokens.sum()) // BUCKET
         pieces = docs.mapInArrow(_follow(spark.sparkContext.broadcast(units), buckets), "bucket int, data binary")
         bigrams = written(pieces.groupBy("bucket").applyInArrow(_merge, "data binary"), "bigrams")
-        free_shuffles(spark)
         cls, n = sweep(bigrams, cls, n)
         drop(bigrams)
     return Model(units, cls, n, words, tokens, int(tokens.sum()), int(words.sum()), keys, known), counts.select("h", "n")
@@ -454,7 +452,6 @@ def score(docs: DataFrame) -> DataFrame:
     )
     more = more.withColumns({"known": F.expr("known div copies"), "more": F.col("more") / F.col("copies")})
     more = written(more.select(F.col("id.doc_id").alias("__doc"), F.col("id.hash").alias("__hash"), "known", "more"), "rare-scores")
-    free_shuffles(spark)
     j = out.drop("rare").join(more, F.col("id.doc_id").eqNullSafe(F.col("__doc")) & (F.col("id.hash") == F.col("__hash")), "left")
     plus = lambda c, m: (F.col(c) + F.coalesce(F.col(m), F.lit(0))).alias(c)
     return j.select("id.doc_id", "held_out", "n_tokens", plus("n_known", "known"), F.lit(model.total).cast("long").alias("train_tokens"), plus("base_score", "more"), plus("score", "more"))

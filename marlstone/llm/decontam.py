@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import _words as W
-from marlstone.llm._shared import table, written
+from marlstone.llm._shared import hidden, table, written
 
 SIZE, SHINGLE, BLOCK, BLOCK_CHARS = 10, 3, 200_000, 8 << 20
 
@@ -242,8 +242,9 @@ def keep_clean(docs: DataFrame, bench: DataFrame, size: int = SIZE) -> DataFrame
     """The rows of ``docs`` without a window of the benchmark."""
     found = contamination(docs.select("doc_id", "text"), bench, size).where(F.size("spans") > 0)
     found = written(found.select(F.col("doc_id").alias("__doc"), "__hash"), "contaminated").distinct()
-    keyed = docs.withColumn("__text_hash", F.xxhash64("text"))
-    return keyed.join(found, keyed["doc_id"].eqNullSafe(F.col("__doc")) & (F.col("__text_hash") == F.col("__hash")), "left_anti").select(*docs.columns)
+    mine, own = hidden(docs)
+    same = F.col(own["doc_id"]).eqNullSafe(F.col("__doc")) & (F.xxhash64(own["text"]) == F.col("__hash"))
+    return mine.join(found, same, "left_anti").select(*[F.col(own[c]).alias(c) for c in docs.columns])
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

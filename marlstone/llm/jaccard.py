@@ -8,27 +8,37 @@ all of them, be of fitting length and position, and are then verified exactly.
 
 * Frequencies come from a count sketch of fixed size over all documents. An
   order need only be the same everywhere, so the sketch costs no exactness.
-* A token that up to ``FEW`` classes have in their prefix gives pairs. The
-  classes of a more frequent one are cut into runs where the next size in
-  order is too large to be similar; a run of up to ``FEW`` gives pairs, a
-  larger one a star. Pairs whose sets must differ in too many tokens, judged
-  by counts of their tokens in ``BINS`` bins, go before any set is sent: the
-  counts' differences add up to no more than the sets' difference, so no link
-  goes with them. Components of the rest are groups, and no link leaves one.
-* A group that fits a block of bounded size is verified there, by matrix
-  products over its sets' common tokens, and gives a spanning forest of its
-  links, never its pairs. Each set is sent once.
+* Order 0 proposes: prefix tokens meet in one exchange, sorted by token and
+  set size, and are read once in that order. A token that up to ``FEW`` classes
+  have in their prefix gives pairs. The classes of a more frequent one are cut
+  into runs where the next size in order is too large to be similar; a run of
+  up to ``FEW`` gives pairs, a larger one a star. Tokens that the sketch calls
+  hot are salted: each salt ties the sets of one size to one of them, and these
+  few are read once more without salt.
+* Orders 1 and 2 and the sizes of bins dispose, before any set is sent: every
+  class carries a bitmap of its prefix under either order, and bitmaps of a
+  pair must intersect; counts of its tokens in ``BINS`` bins may differ in sum
+  by no more than the sets may. No link goes with what they drop.
+  Components of the rest are groups, and no link leaves one.
+* A group that fits a block of bounded size is verified there: pairs must share
+  prefix tokens under all orders, then matrix products over the sets' common
+  tokens decide. It gives a spanning forest of its links, never its pairs.
+  Each set is sent once.
 * In a larger group, pairs are verified one by one, and the stars' components
   in blocks against blocks. Sets are first measured against one leader: what
   lies near enough to the leader's nearest set is linked to it by the triangle
-  inequality of set differences, and only the others meet all blocks.
+  inequality of set differences (it needs no filter, as it is sure), and only
+  the others meet all blocks.
 
 Components come from the links by star contraction.
 
 Defined cases: null or blank text has no shingles and no links; fewer words
-than a shingle are one shingle; a null doc_id is a document below all others;
-repeated rows share a class and each give a row; empty tables give empty
-results; other columns are ignored.
+than a shingle are one shingle; a null doc_id is a document below all others,
+and one that holds the least number a long can is read as null; texts of any
+length are one set each, in a task of their own if need be; ties need no
+order, since only whole components come out; repeated rows share a class and
+each give a row; empty tables give empty results; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +49,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm import _words as W
-from marlstone.llm._shared import drop, free_shuffles, table, written
+from marlstone.llm._shared import collected, drop, drop_all_but, hidden, table, written
 from marlstone.llm._tally import tally
 from marlstone.llm.components import components
 
@@ -47,7 +57,8 @@ U = np.uint64
 CELL_BITS = 20
 FEW, BLOCK_SETS, BLOCK_TOKENS, COLUMNS = 16, 1024, 1_500_000, 8192
 NO_ID = -(1 << 63)
-BINS = 256
+BINS, BITMAP = 256, 64  # bytes of a class's bins, and of its bitmap under one order
+HOT_TIMES, HOT_LEAST, SALTS = 4, 4096, 1024  # a sketch cell is hot beyond so many times the mean and so many shingles
 SALT = [U(0), U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25)]
 
 
@@ -105,24 +116,29 @@ class Sets:
             out[:, k] = W.mix((s[self.first[1:]] - s[self.first[:-1]]) + self.n.astype(np.uint64))
         return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), self.rows, [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
 
-    def bins(self) -> pa.Array:
-        """For each row, how many of its tokens lie in each of ``BINS`` bins, modulo 256, a byte each."""
-        out = np.zeros((self.rows, BINS), np.uint8)
+    def sketches(self, num: int, den: int) -> pa.Array:
+        """For each row its bins (how many of its tokens lie in each, modulo 256, a byte each) and bitmaps of its prefixes under orders 1 and 2."""
+        width = BINS + 2 * BITMAP
+        out = np.zeros((self.rows, width), np.uint8)
         for i in range(0, self.rows, 4096):
             j = min(i + 4096, self.rows)
             m = slice(self.first[i], self.first[j])
             at = (self.r[m] - i) * BINS + (self.h[m] >> U(40)).astype(np.int64) % BINS
-            out[i:j] = np.bincount(at, minlength=(j - i) * BINS).reshape(j - i, BINS).astype(np.uint8)
-        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(BINS), self.rows, [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
-
-    def ordered(self, order: int, levels: np.ndarray) -> np.ndarray:
+            out[i:j, :BINS] = np.bincount(at, minlength=(j - i) * BINS).reshape(j - i, BINS).astype(np.uint8)
+        for order in (1, 2):
+            at, row, _ = self.prefixes(order, None, num, den)
+            bit = (self.h[at] >> U(20)).astype(np.int64) % (8 * BITMAP)
+            np.bitwise_or.at(out, (row, BINS + BITMAP * (order - 1) + bit // 8), (1 << (bit % 8)).astype(np.uint8))
+        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), self.rows, [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
+
+    def ordered(self, order: int, levels: np.ndarray | None) -> np.ndarray:
         """Places in h, each row's in a global order."""
         key = W.mix(self.h ^ SALT[order])
         if order == 0:
             key = (levels[(self.h >> U(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64) << U(56)) | (key >> U(8))
         return np.argsort((self.r.astype(np.uint64) << U(43)) | (key >> U(21)), kind="stable")
 
-    def prefixes(self, order: int, levels: np.ndarray, num: int, den: int):
+    def prefixes(self, order: int, levels: np.ndarray | None, num: int, den: int):
         """(place in h, row, position in the row) of the prefix tokens."""
         o = self.ordered(order, levels)
         pos = np.arange(len(o)) - self.first[self.r[o]]
@@ -130,9 +146,13 @@ class Sets:
         return o[inside], self.r[o][inside], pos[inside]
 
 
+def _number(keys: pa.Array) -> np.ndarray:
+    """The first half of each key: an 8-byte number for candidates, which come back to whole keys before they are judged."""
+    return np.frombuffer(b"".join(keys.to_pylist()), ">u8").astype(np.uint64)[0::2] if len(keys) else np.zeros(0, np.uint64)
+
+
 def _tag(keys: pa.Array, ids: np.ndarray) -> np.ndarray:
-    k = np.frombuffer(b"".join(keys.to_pylist()), ">u8").astype(np.uint64)[0::2] if len(keys) else np.zeros(0, np.uint64)
-    return W.mix(k ^ W.mix(ids.view(np.uint64)))
+    return W.mix(_number(keys) ^ W.mix(ids.view(np.uint64)))
 
 
 def _ids(col) -> np.ndarray:
@@ -153,7 +173,7 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.round(4 * np.log2(counts + 1.0)).astype(np.uint8)
 
 
-def _signatures(size):
+def _signatures(size, num, den):
     def run(batches):
         for b in batches:
             data, off = W.utf8(b.column(1))
@@ -161,28 +181,115 @@ def _signatures(size):
                 s = Sets(data, off, i, j, size)
                 keys = s.keys()
                 ids = _ids(b.column(0).slice(i, j - i))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), b.column(2).slice(i, j - i), keys, _i64(s.n), _i64(_tag(keys, ids)), s.bins()], ["id", "hash", "key", "n", "tag", "bins"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids), b.column(2).slice(i, j - i), keys, _i64(_number(keys)), _i64(s.n), _i64(_tag(keys, ids)), s.sketches(num, den)], ["id", "hash", "key", "number", "n", "tag", "sketch"]
+                )
 
     return run
 
 
-def _postings(size, num, den, levels):
+def hot_level(cells: np.ndarray) -> int:
+    """The least level of a cell that is hot."""
+    return int(levels_of(np.array([max(HOT_LEAST, HOT_TIMES * cells.mean())]))[0])
+
+
+def _postings(size, num, den, shared):
+    """Prefix tokens under order 0 with the number of their class; hot tokens with a salt from 1 on."""
+
     def run(batches):
+        levels, hot = shared.value
         for b in batches:
-            data, off = W.utf8(b.column(1))
+            data, off = W.utf8(b.column(0))
             for i, j in W.slices(off):
                 s = Sets(data, off, i, j, size)
-                keys = s.keys()
-                at, row, pos = s.prefixes(0, levels.value, num, den)
+                number = _number(s.keys())
+                at, row, pos = s.prefixes(0, levels, num, den)
+                token = s.h[at]
+                level = levels[(token >> U(64 - CELL_BITS)).astype(np.int64)].astype(np.int64)
+                salts = np.minimum(SALTS, 2 << np.maximum(0, level - hot) // 4).astype(np.uint64)
+                salt = np.where(level > hot, (W.mix(number[row]) % salts).astype(np.int64) + 1, 0)
                 for k in range(0, len(at), 100_000):
                     m = slice(k, k + 100_000)
                     yield pa.RecordBatch.from_arrays(
-                        [_i64(s.h[at[m]]), keys.take(pa.array(row[m])), pa.array(s.n[row[m]].astype(np.int32)), pa.array(pos[m].astype(np.int32))], ["token", "key", "n", "pos"]
+                        [_i64(token[m]), pa.array(salt[m].astype(np.int32)), _i64(number[row[m]]), pa.array(s.n[row[m]].astype(np.int32)), pa.array(pos[m].astype(np.int32))], ["token", "salt", "number", "n", "pos"]
                     )
 
     return run
 
 
+POSTING = "token long, salt int, number long, n int, pos int"
+EDGE = "kind int, a long, b long, token long, n int"
+PAIR, STAR, AGAIN = 0, 1, 2
+
+
+def _candidates(num: int, den: int):
+    """Edges from postings in the order of token, salt, n, number and pos, of which one open run is kept at most.
+
+    PAIR: classes of a small run whose sizes and positions fit. STAR: a class of a larger run and the run's first.
+    Under a salt, a run is the classes of one size; it also gives its first class with its token, to be read AGAIN.
+    """
+
+    def run(batches):
+        held, large = None, False  # rows of the run that was open when the last batch ended: all, or first and last if it is large
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            old = 0 if held is None else len(held[0])
+            x = new if held is None else [np.concatenate(y) for y in zip(held, new)]
+            token, salt, number, n, _ = x
+            same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
+            once = np.concatenate([[True], ~(same & (n[1:] == n[:-1]) & (number[1:] == number[:-1]))])
+            once[:old] = True
+            x = [y[once] for y in x]
+            token, salt, number, n, pos = x
+            fits = np.where(salt[1:] > 0, n[1:] == n[:-1], den * n[:-1].astype(np.int64) >= num * n[1:].astype(np.int64))
+            cut = np.concatenate([[True], ~((token[1:] == token[:-1]) & (salt[1:] == salt[:-1]) & fits)])
+            if large:
+                cut[1] = False
+            start = np.flatnonzero(cut)
+            of = np.cumsum(cut) - 1
+            size = np.diff(np.append(start, len(token)))
+            size[0] += FEW * large
+            star = (size > FEW) | (salt[start] > 0)
+            ends = np.ones(len(start), bool)
+            ends[-1] = False
+            yield from pairs(x, of, star, ends)
+            first = start[of]
+            m = star[of] & (np.arange(len(token)) != first)
+            if m.any():
+                yield edges(STAR, number[m], number[first[m]], token[m], n[m])
+            m = start[(salt[start] > 0) & (start >= old)]
+            if len(m):
+                yield edges(AGAIN, number[m], number[m], token[m], n[m])
+            large = bool(star[-1])
+            at = [start[-1], len(token) - 1] if large and size[-1] > 1 else np.arange(start[-1], len(token))
+            large = large and len(at) == 2
+            held = [y[at] for y in x]
+        if held is not None and not large:
+            yield from pairs(held, np.zeros(len(held[0]), np.int64), held[1][:1] > 0, np.ones(1, bool))
+
+    def pairs(x, of, star, ends):
+        """Of the small runs that have ended."""
+        token, _, number, n, pos = x
+        ok = (~star & ends)[of]
+        for d in range(1, FEW):
+            i = np.flatnonzero(ok[:-d] & (of[d:] == of[:-d])) if len(of) > d else []
+            if not len(i):
+                return
+            j = i + d
+            na, nb, pa_, pb = (v.astype(np.int64) for v in (n[i], n[j], pos[i], pos[j]))
+            room = np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb)
+            i, j = (v[(den * na >= num * nb) & ((den + num) * room >= num * (na + nb)) & (number[i] != number[j])] for v in (i, j))
+            if len(i):
+                yield edges(PAIR, np.minimum(number[i], number[j]), np.maximum(number[i], number[j]), token[i], n[i])
+
+    def edges(kind, a, b, token, n):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(token), pa.array(n)], ["kind", "a", "b", "token", "n"])
+
+    return run
+
+
 def _held(size, wanted, bits):
     """Whole sets of the rows whose tag may be wanted."""
 
@@ -284,30 +391,25 @@ def links(docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) ->
         for i, j in W.slices(off):
             yield Sets(data, off, i, j, size).h
 
-    levels = sc.broadcast(levels_of(cells(docs.select("text"), grams, CELL_BITS)))
-    postings = docs.select("doc_id", "text").mapInArrow(_postings(size, num, den, levels), "token long, key binary, n int, pos int")
-    counts = written(postings.groupBy("token", "key").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "postings")
-    free_shuffles(spark)
-    shared = counts.groupBy("token").agg(F.count(F.lit(1)).alias("classes"), F.min("key").alias("least")).where("classes > 1")
-    shared = written(counts.join(shared, "token"), "shared")
-    drop(counts)
-    free_shuffles(spark)
-
-    runs = written(_runs(shared.where(F.col("classes") > FEW), num, den), "runs")
-    few = shared.where(F.col("classes") <= FEW).withColumn("run", F.lit(0).cast("long")).unionByName(runs.where(F.col("classes").between(2, FEW)))
-    side = lambda s: few.select("token", "run", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "pos")])
-    a, b = side("a"), side("b")
-    room = F.least("pos_a", "pos_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    fits = (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")) & ((den + num) * room >= num * (F.col("n_a") + F.col("n_b")))
-    pairs = a.join(b, ["token", "run"]).where((F.col("key_a") < F.col("key_b")) & fits).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
-    binned = lambda s: classes.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("bins").alias(f"bins_{s}"))
-    pairs = written(pairs.join(binned("a"), "a").join(binned("b"), "b").mapInArrow(_may_link(num, den), "a binary, b binary"), "pairs")
-    stars = written(runs.where(F.col("classes") > FEW).select(F.col("key").alias("a"), F.col("least").alias("b")).distinct(), "stars")
-    drop(shared, runs)
+    frequencies = cells(docs.select("text"), grams, CELL_BITS)
+    levels = sc.broadcast(levels_of(frequencies))
+    shared = sc.broadcast((levels.value, hot_level(frequencies)))
+    in_order = lambda p: p.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "number", "pos").mapInArrow(_candidates(num, den), EDGE)
+    found = written(in_order(docs.select("text").mapInArrow(_postings(size, num, den, shared), POSTING)), "candidates")
+    again = found.where(F.col("kind") == AGAIN).select("token", F.lit(0).alias("salt"), F.col("a").alias("number"), "n", F.lit(0).alias("pos"))
+    again = written(in_order(again), "candidates")  # position 0 rules nothing out
+    found_ = found.unionByName(again)
+    named = lambda s, *more: classes.select(F.col("number").alias(f"number_{s}"), F.col("key").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in more])
+    back = lambda kind: found_.where(F.col("kind") == kind).select(F.col("a").alias("number_a"), F.col("b").alias("number_b")).distinct()
+    whole = lambda kind, *more: back(kind).join(named("a", *more), "number_a").join(named("b", *more), "number_b").drop("number_a", "number_b")
+    pairs = written(whole(PAIR, "n", "sketch").mapInArrow(_may_link(num, den), "a binary, b binary"), "pairs")
+    stars = written(whole(STAR), "stars")
+    drop(found, again)
     groups = components(pairs.unionByName(stars), "groups")
     sized = groups.withColumnRenamed("node", "key").join(classes.select("key", "tag", "n"), "key")
     sizes = sized.groupBy("label").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("held"))
-    groups = written(sized.join(sizes.select("label", _blocks("sets", "held").alias("blocks")), "label"), "groups")
+    sizes = written(sizes.select("label", _blocks("sets", "held").alias("blocks")), "group-blocks")
+    groups = written(sized.join(sizes, "label"), "groups")
 
     # the sets of the classes that are in a group, read again from the texts
     bits = 22
@@ -315,12 +417,11 @@ def links(docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) ->
     held = docs.select("doc_id", "text").mapInArrow(_held(size, sc.broadcast(wanted), bits), "key binary, tag long, n int, tokens array<long>")
     mine = groups.select("key", F.col("tag").alias("__tag"), "label", "blocks")
     held = written(held.join(mine, "key").where("tag = __tag").drop("tag", "__tag").dropDuplicates(["key"]), "sets")
-    free_shuffles(spark)
     shape = ("g", "i", "j", "left", "right", "key", "n", "tokens")
-    whole = held.where("blocks = 1").select(F.col("label").alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("left"), F.lit(True).alias("right"), "key", "n", "tokens")
+    one = held.where("blocks = 1").select(F.col("label").alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("left"), F.lit(True).alias("right"), "key", "n", "tokens")
     block = _block(num, den, levels)
-    found = written(whole.groupBy("g", "i", "j").applyInArrow(block, "a binary, b binary"), "links")
-    if groups.where("blocks > 1").isEmpty():
+    found = written(one.groupBy("g", "i", "j").applyInArrow(block, "a binary, b binary"), "links")
+    if not collected(sizes.where("blocks > 1").limit(1)):
         return found
 
     # larger groups: stars in blocks, other pairs one by one
@@ -333,38 +434,26 @@ def links(docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) ->
     side = lambda s: held.select(F.col("key").alias(s), F.col("tokens").alias(f"tokens_{s}"))
     verified = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(num, den, levels), "a binary, b binary")
     verified = written(verified, "verified")
-    free_shuffles(spark)
     return found.unionByName(verified).unionByName(_star_links(held, inner, num, den, block, shape))
 
 
-def _runs(many: DataFrame, num: int, den: int) -> DataFrame:
-    """``many`` with run, and classes and least of the run: no set of one run is similar to one of another run of its token.
-
-    The windows are over a token's distinct sizes, not over its rows.
-    """
-    sizes = many.groupBy("token", "n").agg(F.count(F.lit(1)).alias("classes"), F.min("key").alias("least"))
-    in_order = Window.partitionBy("token").orderBy("n")
-    sizes = sizes.withColumn("cut", F.coalesce(den * F.lag("n").over(in_order).cast("long") < num * F.col("n").cast("long"), F.lit(False)))
-    sizes = sizes.withColumn("run", F.sum(F.col("cut").cast("long")).over(in_order))
-    run = Window.partitionBy("token", "run")
-    sizes = sizes.select("token", "n", "run", F.sum("classes").over(run).alias("classes"), F.min("least").over(run).alias("least"))
-    return many.drop("classes", "least").join(sizes, ["token", "n"])
-
-
 def _blocks(sets: str, tokens: str):
     return F.greatest(F.ceil(F.col(sets) / BLOCK_SETS), F.ceil(F.col(tokens) / BLOCK_TOKENS)).cast("int")
 
 
 def _may_link(num, den):
-    """Of pairs with their sets' sizes and bins, those whose sets may be similar."""
+    """Of pairs with their sets' sizes and sketches, those whose sets may be similar: prefixes that meet under orders 1 and 2, and bins near enough."""
 
     def run(batches):
         for x in batches:
             cols = dict(zip(x.schema.names, x.columns))
-            one, two = (np.frombuffer(b"".join(cols[c].to_pylist()), np.uint8).reshape(-1, BINS) for c in ("bins_a", "bins_b"))
+            one, two = (np.frombuffer(b"".join(cols[c].to_pylist()), np.uint8).reshape(-1, BINS + 2 * BITMAP) for c in ("sketch_a", "sketch_b"))
+            met = one[:, BINS:] & two[:, BINS:]
+            ok = met[:, :BITMAP].any(1) & met[:, BITMAP:].any(1)
+            one, two = one[:, :BINS], two[:, :BINS]
             apart = np.minimum(one - two, two - one).sum(1, dtype=np.int64)
             held = cols["n_a"].to_numpy().astype(np.int64) + cols["n_b"].to_numpy()
-            keep = pa.array(np.flatnonzero((den + num) * apart <= (den - num) * held))
+            keep = pa.array(np.flatnonzero(ok & ((den + num) * apart <= (den - num) * held)))
             yield pa.RecordBatch.from_arrays([cols["a"].take(keep), cols["b"].take(keep)], ["a", "b"])
 
     return run
@@ -425,25 +514,29 @@ def _star_links(held: DataFrame, inner: DataFrame, num: int, den: int, block, sh
 
 def similar(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """id, hash (of the text), n_shingles, component (least id) for each row of ``docs`` (doc_id, text); a null doc_id is ``NO_ID``."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(docs.select("*", F.xxhash64("text").alias("hash")).mapInArrow(_signatures(size), "id long, hash long, key binary, n long, tag long, bins binary"), "signatures")
-    classes = written(rows.where("n > 0").groupBy("key").agg(F.min(F.struct("id", "tag", "n", "bins")).alias("rep")).select("key", "rep.*"), "classes")
-    free_shuffles(spark)
-    labels = components(links(docs, classes, size, num, den))
-    labelled = classes.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "id", F.coalesce("label", "key").alias("label"))
-    labelled = written(labelled, "labelled")
-    least = labelled.groupBy("label").agg(F.min("id").alias("component"))
-    by_key = labelled.join(least, "label").select("key", "component")
-    out = rows.drop("bins").join(by_key, "key", "left")
+    rows = written(docs.select("*", F.xxhash64("text").alias("hash")).mapInArrow(_signatures(size, num, den), "id long, hash long, key binary, number long, n long, tag long, sketch binary"), "signatures")
+    with drop_all_but() as keep:
+        classes = written(rows.where("n > 0").groupBy("key").agg(F.min(F.struct("id", "tag", "number", "n", "sketch")).alias("rep")).select("key", "rep.*"), "classes")
+        labels = components(links(docs, classes, size, num, den))
+        labelled = classes.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "id", F.coalesce("label", "key").alias("label"))
+        labelled = written(labelled, "labelled")
+        least = written(labelled.groupBy("label").agg(F.min("id").alias("component")), "least")
+        by_key = keep(written(labelled.join(least, "label").select("key", "component"), "by-key"))
+    out = rows.drop("sketch").join(by_key, "key", "left")
     return out.select("id", "hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` without those that a document with a lower doc_id is connected to; repeated rows stay once."""
+    """The rows of ``docs`` without those that a document with a lower doc_id is connected to; repeated rows stay once.
+
+    Texts go through one exchange, where the key of a row that stays meets them and rows that repeat stand side by side.
+    """
     kept = similar(docs, size, num, den).where("id = component").select(F.col("id").alias("__id"), F.col("hash").alias("__hash"))
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__hash": F.xxhash64("text")})
-    return keyed.join(kept, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    kept = written(kept.distinct(), "kept")
+    mine, own = hidden(docs)
+    keyed = mine.withColumns({"__id": F.coalesce(F.col(own["doc_id"]).cast("long"), F.lit(NO_ID)), "__hash": F.xxhash64(own["text"])})
+    return keyed.join(kept, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*[F.col(own[c]).alias(c) for c in docs.columns])
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:

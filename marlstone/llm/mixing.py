@@ -3,19 +3,32 @@
 Each source's target is a share of the mix by weight, at most ``max_repeat``
 times its size; what a full source cannot take is reshared by weight among the
 others (water-filling). A source is taken in whole passes and one part of a
-pass. For a part, the source's documents are dealt by a keyed hash into
-permuted blocks; whole blocks are drawn until the quota is met, and the last
-document drawn is cut at the quota, so a source meets its target to the word.
-
-The blocks of all passes then go down a splitting tree: in each node the
-blocks stand in the order of a keyed hash and the first half goes left, so the
-sources' counts on each side are multivariate hypergeometric, the counts on
-both sides add up exactly, and shards are disjoint. Within a shard, rows are
-ordered by another keyed hash. All hashes are of (seed, id): reruns agree.
+pass.
+
+1. A keyed hash permutes each source's documents into blocks of about
+   ``BLOCK_DOCS`` documents. A pass takes a source's blocks in the order of
+   another keyed hash until its quota of words is met, so only the last block
+   of the part is cut. Block copies (source, pass, block) with their quotas of
+   words stand at the root of the tree.
+2. The splitting tree halves each node's copies, in the order of a keyed hash:
+   a draw without replacement, so the sources' block quotas on each side are
+   multivariate hypergeometric, add up to the node's exactly, and every copy
+   ends in one leaf, a shard.
+3. Documents meet the leaves of their block. What a document gives to the mix
+   is what the leaves' quotas take of it: all of it, or in a cut block what the
+   quota leaves over when the block's documents stand in hashed order. The last
+   document is cut at the quota, so a source meets its target to the word.
+4. Within a shard, copies are ordered by one more keyed hash.
+
+All hashes are of (seed, id): reruns agree. Blocks follow the sources' sizes,
+so a task that sorts one is as large at every scale, and the tree has a row for
+each ``BLOCK_DOCS`` documents.
 
 Defined cases: null text has no words and is not taken; a null source is a
-source, last in order; repeated rows are drawn as documents of their own;
-empty tables give empty results.
+source, last in order; null ids share a hash, so they stand in one block;
+repeated rows and ties are drawn as documents of their own, told apart by
+nothing but their words; a text of any length is one number here; empty tables
+give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +38,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm._shared import table, written
 
-WEIGHTS, SHARE, MAX_REPEAT, BLOCKS, DEPTH, SEED = (5, 2, 1), 1.5, 2, 256, 3, "mix-1"
+WEIGHTS, SHARE, MAX_REPEAT, BLOCK_DOCS, DEPTH, SEED = (5, 2, 1), 1.5, 2, 1024, 3, "mix-1"
 
 
 def n_words(text: Column) -> Column:
@@ -49,64 +62,64 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_repeat:
 
 
 def keyed(*what) -> Column:
-    return F.md5(F.concat_ws("/", F.lit(SEED), *[F.coalesce(w.cast("string"), F.lit("null")) for w in what]))
+    return F.xxhash64(F.lit(SEED), *[F.coalesce(w.cast("string"), F.lit("null")) for w in what])
+
 
+def dealt(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (doc_id, source, size) with their block, and a row for each source: source_size and its number of blocks."""
+    sizes = written(docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count(F.lit(1)) / block_docs).cast("long").alias("blocks")), "mix-sources")
+    n = sizes.select(F.col("source").alias("__source"), "blocks")
+    d = docs.join(n, docs["source"].eqNullSafe(n["__source"])).withColumn("block", F.pmod(keyed(F.lit("block"), F.col("doc_id")), F.col("blocks")))
+    return d.select("doc_id", "source", "size", "block"), sizes
 
-def draw(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_repeat: int = MAX_REPEAT, blocks: int = BLOCKS) -> DataFrame:
-    """doc_id, source, size, source_size, target, block, passes (whole ones) and part (words of one more).
 
-    ``docs``: doc_id, source, size; read several times.
-    """
-    sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    t = targets(sizes, weights, share, max_repeat).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+def tree(d: DataFrame, sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_repeat: int = MAX_REPEAT, depth: int = DEPTH) -> DataFrame:
+    """The leaves: source, source_size, target, block, block_size, pass (0 is the part), quota (words) and shard (0 .. 2**depth - 1)."""
+    t = targets(sizes.select("source", "source_size"), weights, share, max_repeat)
+    t = t.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     t = t.withColumn("rest", F.round(F.col("target")).cast("long") - F.col("passes") * F.col("source_size"))
-    d = docs.withColumn("block", F.conv(F.substring(keyed(F.lit("block"), F.col("doc_id")), 1, 8), 16, 10).cast("long") % blocks)
     b = d.groupBy("source", "block").agg(F.sum("size").alias("block_size"))
     b = b.alias("b").join(t.alias("t"), F.expr("b.source <=> t.source")).select("b.*", "t.source_size", "t.target", "t.passes", "t.rest")
-    w = Window.partitionBy("source").orderBy(keyed(F.lit("draw"), F.col("source"), F.col("block")), "block")
-    b = b.withColumn("start", F.sum("block_size").over(w) - F.col("block_size"))
-    b = b.withColumnsRenamed({"source": "__source", "block": "__block"})
-    d = d.join(b, d["source"].eqNullSafe(b["__source"]) & (d["block"] == b["__block"]))
-    # only in the block that the quota cuts does the order of the documents matter
-    cut = (F.col("start") < F.col("rest")) & (F.col("start") + F.col("block_size") > F.col("rest"))
-    order = Window.partitionBy("source", "block").orderBy(keyed(F.lit("doc"), F.col("doc_id")), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    inner = d.where(cut).withColumn("at", F.col("start") + F.sum("size").over(order) - F.col("size"))
-    inner = inner.withColumn("part", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("at")))).drop("at")
-    outer = d.where(~cut).withColumn("part", F.when(F.col("start") < F.col("rest"), F.col("size")).otherwise(0).cast("long"))
-    out = inner.unionByName(outer)
-    return out.select("doc_id", "source", "size", "source_size", "target", "block", "passes", "part")
-
-
-def split(drawn: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """source, pass, block, words and shard (0 .. 2**depth - 1): the splitting tree over blocks.
-
-    A row for each block of a source and pass, so the tree's size does not follow the corpus.
-    """
-    passes = F.explode(F.concat(
-        F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("passes"), F.lit(1).cast("long"))), lambda p: F.struct(p.alias("pass"), F.col("size").alias("words")))).otherwise(F.array().cast("array<struct<pass:bigint,words:bigint>>")),
-        F.array(F.struct(F.lit(0).cast("long").alias("pass"), F.col("part").alias("words"))),
-    ))
-    b = drawn.select("source", "block", passes.alias("x")).groupBy("source", "block", F.col("x.pass").alias("pass")).agg(F.sum("x.words").alias("words")).where(F.col("words") > 0)
-    b = b.withColumn("shard", F.lit(0).cast("long"))
+    drawn = Window.partitionBy("source").orderBy(keyed(F.lit("draw"), F.col("source"), F.col("block")), "block").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("block_size"), F.col("rest") - F.coalesce(F.sum("block_size").over(drawn), F.lit(0))))
+    copies = F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes")), lambda p: F.struct(p.alias("pass"), F.when(p == 0, F.col("part")).otherwise(F.col("block_size")).alias("quota")))
+    c = b.withColumn("part", part).withColumn("x", F.explode(copies)).select("source", "source_size", "target", "block", "block_size", "x.*").where(F.col("quota") > 0)
+    c = c.withColumn("shard", F.lit(0).cast("long"))
     for level in range(depth):
         node = Window.partitionBy("shard")
         order = node.orderBy(keyed(F.lit(f"tree{level}"), F.col("source"), F.col("block"), F.col("pass")), F.col("source"), "block", "pass")
         right = (F.row_number().over(order) * 2 > F.count(F.lit(1)).over(node) + 1).cast("long")
-        b = b.withColumn("shard", F.col("shard") * 2 + right)
-    return b.select("source", "pass", "block", "words", "shard")
+        c = c.withColumn("shard", F.col("shard") * 2 + right)
+    return c
+
+
+def drawn_copies(docs: DataFrame, block_docs: int = BLOCK_DOCS, **how) -> DataFrame:
+    """doc_id, source, size, source_size, target and copies (array of pass, shard, words, place), a row for each row of ``docs`` (doc_id, source, size)."""
+    d, sizes = dealt(docs, block_docs)
+    leaves = written(tree(d, sizes, **how), "mix-tree")
+    per_block = leaves.groupBy("source", "block").agg(
+        F.sort_array(F.collect_list(F.struct("pass", "shard", "quota"))).alias("leaves"),
+        F.max(F.when(F.col("quota") < F.col("block_size"), F.col("quota"))).alias("cut"),
+    ).withColumnsRenamed({"source": "__source", "block": "__block"})
+    t = targets(sizes.select("source", "source_size"), *[how.get(k, v) for k, v in (("weights", WEIGHTS), ("share", SHARE), ("max_repeat", MAX_REPEAT))]).withColumnRenamed("source", "__of")
+    d = d.join(per_block, d["source"].eqNullSafe(F.col("__source")) & (d["block"] == F.col("__block")), "left")
+    d = d.join(t, d["source"].eqNullSafe(F.col("__of"))).drop("__source", "__block", "__of")
+    # only in a block that a quota cuts does the order of the documents matter; there is one for each source
+    order = Window.partitionBy("source", "block").orderBy(keyed(F.lit("doc"), F.col("doc_id")), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inner = d.where("cut IS NOT NULL").withColumn("before", F.sum("size").over(order) - F.col("size"))
+    d = inner.unionByName(d.where("cut IS NULL").withColumn("before", F.lit(0).cast("long")))
+    of = lambda x: F.when(x["quota"] == F.col("cut"), F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), x["quota"] - F.col("before")))).otherwise(F.col("size"))
+    copies = F.transform(
+        F.coalesce("leaves", F.array().cast("array<struct<pass:bigint,shard:bigint,quota:bigint>>")),
+        lambda x: F.struct(x["pass"].alias("pass"), x["shard"].alias("shard"), of(x).alias("words"), keyed(F.lit("place"), x["shard"], x["pass"], F.col("doc_id")).alias("place")),
+    )
+    return d.select("doc_id", "source", "size", "source_size", "target", F.filter(copies, lambda x: x["words"] > 0).alias("copies"))
 
 
-def mix(docs: DataFrame, depth: int = DEPTH, max_repeat: int = MAX_REPEAT, **how) -> DataFrame:
-    """doc_id, source, pass, shard, words, place: every copy that the mix takes, with its shard and its place there."""
-    d = draw(docs, max_repeat=max_repeat, **how)
-    tree = split(d, depth).drop("words").withColumnsRenamed({"source": "__source", "block": "__block"})
-    copies = F.explode(F.concat(
-        F.array(F.struct(F.lit(0).cast("long").alias("pass"), F.col("part").alias("words"))),
-        F.transform(F.sequence(F.lit(1).cast("long"), F.lit(max_repeat).cast("long")), lambda p: F.struct(p.alias("pass"), F.when(p <= F.col("passes"), F.col("size")).otherwise(0).alias("words"))),
-    )).alias("x")
-    c = d.select("doc_id", "source", "block", copies).select("doc_id", "source", "block", "x.pass", "x.words").where(F.col("words") > 0)
-    c = c.join(tree.withColumnRenamed("pass", "__pass"), c["source"].eqNullSafe(tree["__source"]) & (c["block"] == F.col("__block")) & (c["pass"] == F.col("__pass")))
-    return c.select("doc_id", "source", "pass", "shard", "words", keyed(F.lit("place"), F.col("shard"), F.col("pass"), F.col("doc_id")).alias("place"))
+def mix(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, source, pass, shard, words, place: every copy that the mix takes, shard by shard, in the shard's own order."""
+    c = drawn_copies(docs, **how).select("doc_id", "source", F.explode("copies").alias("x")).select("doc_id", "source", "x.*")
+    return c.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place", "doc_id")
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -114,19 +127,12 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and shards (those that hold a copy): a row for each document, taken or not."""
-    d = draw(sized(docs))
-    tree = split(d)
-    shards = tree.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("shards"))
-    shards = shards.withColumnsRenamed({"source": "__source", "block": "__block"})
-    out = d.join(shards, d["source"].eqNullSafe(shards["__source"]) & (d["block"] == shards["__block"]), "left")
-    mine = F.filter("shards", lambda x: F.when(x["pass"] == 0, F.col("part") > 0).otherwise((x["pass"] <= F.col("passes")) & (F.col("size") > 0)))
-    return out.select(
-        "doc_id", "source", "size", "source_size", "target",
-        (F.col("passes") * F.col("size") + F.col("part")).alias("taken"),
-        F.array_join(F.transform(F.coalesce(mine, F.array().cast("array<struct<pass:bigint,shard:bigint>>")), lambda x: x["shard"].cast("string")), ",").alias("shards"),
-    )
+    """doc_id, source, size, source_size, target, taken, shards (those that hold a copy) and the copies: a row for each document, taken or not."""
+    d = drawn_copies(sized(docs))
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    shards = F.array_join(F.transform("copies", lambda x: x["shard"].cast("string")), ",")
+    return d.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), shards.alias("shards"), "copies")
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
-    return mix_report(table(spark, sf_dir, "documents")).drop("source")
+    return mix_report(table(spark, sf_dir, "documents")).drop("source", "copies")

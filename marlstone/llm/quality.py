@@ -20,11 +20,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm._shared import table, written
+from marlstone.llm._shared import collected, table, written
 
 SPACE = " \t\n\x0b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
 MIN_WORDS, FENCE, MIN_GROUP = 50, 3, 100
+GROUPS = 100_000  # so many groups' fences are broadcast at most, some ten megabytes
 #: Rate, least quartile distance, whether a low value is bad too.
 RATES = (("r_length", 60, True), ("r_symbols", 40, False), ("r_lines", 100, False), ("r_repeats", 100, False))
 
@@ -136,7 +137,9 @@ def fences(sketch: DataFrame, min_group: int = MIN_GROUP, fence: int = FENCE) ->
 def judge(docs: DataFrame, min_group: int = MIN_GROUP, fence: int = FENCE) -> DataFrame:
     """``docs`` (already measured, with lang and source) with base_failed and kept. ``docs`` should be cheap to read twice."""
     d = rates(docs)
-    f = fences(sketches(d), min_group, fence).withColumnsRenamed({"lang": "__lang", "source": "__source"})
+    f = written(fences(sketches(d), min_group, fence).withColumnsRenamed({"lang": "__lang", "source": "__source"}), "fences")
+    if collected(f.agg(F.count(F.lit(1)).alias("n")))[0]["n"] <= GROUPS:  # else the texts go to the fences
+        f = F.broadcast(f)
     out = d.join(f, d["lang"].eqNullSafe(f["__lang"]) & d["source"].eqNullSafe(f["__source"]), "left")
     inside = [F.col(r) <= F.col(f"hi_{r}") for r, _, _ in RATES] + [F.col(r) >= F.col(f"lo_{r}") for r, _, low in RATES if low]
     out = out.withColumn("base_failed", base_failed())

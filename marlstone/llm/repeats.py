@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import _words as W
-from marlstone.llm._shared import drop, free_shuffles, table, written
+from marlstone.llm._shared import drop, table, written
 
 SIZE, STEP, SEGMENT = 400, 16, 800_000
 U = np.uint64
@@ -214,7 +214,6 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, step: int = STEP) -> tuple
     often = rows.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
     held = written(rows.join(often, "core", "left_semi"), "anchors-held")
     drop(rows)
-    free_shuffles(spark)
     hulls = held.groupBy("core", "hull1", "hull2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at")).alias("rep"))
     hulls = written(hulls, "hulls")
     kinds = hulls.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"))
@@ -222,23 +221,19 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, step: int = STEP) -> tuple
     drop(held, hulls)
     done = judged.where("n > 1").select("id", F.col("hull_lo").alias("lo"), F.col("hull_hi").alias("hi"))
     left = judged.where((F.col("kinds") > 1) & ((F.col("n") == 1) | (F.col("rep") == F.struct("id", "at"))))
-    free_shuffles(spark)
 
     # digit 2: blocks of windows, where the core is shared but not the hull
     spots = left.groupBy("id").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("spots"))
     spots = spots.select(F.col("id.doc_id").alias("__doc"), F.col("id.hash").alias("__hash"), "spots")
     again = keyed.join(spots, F.col("id.doc_id").eqNullSafe(F.col("__doc")) & (F.col("id.hash") == F.col("__hash"))).select("id", "text", "spots")
     blocks = written(again.mapInArrow(_block_rows(size, step), BLOCKS.format(id=kind)), "blocks")
-    free_shuffles(spark)
     often = blocks.groupBy("core", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core", "block")
     held = written(blocks.join(often, ["core", "block"], "left_semi"), "blocks-held")
     drop(blocks)
-    free_shuffles(spark)
     hulls = held.where("hull1 IS NOT NULL").groupBy("core", "block", "hull1", "hull2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at")).alias("rep"))
     anchored = judged
     judged = written(held.join(hulls, ["core", "block", "hull1", "hull2"], "left").drop("block", "hull1", "hull2"), "blocks-judged")
     drop(held)
-    free_shuffles(spark)
     last = F.col("lo") + F.size("windows") - 1 + size
     done2 = judged.where("n > 1").select("id", "lo", last.alias("hi"))
     left = judged.where(F.col("n").isNull() | (F.col("n") == 1) | (F.col("rep") == F.struct("id", "at")))
@@ -288,7 +283,6 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     spans = ranges.groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     spans = written(spans.select(F.col("id.doc_id").alias("__doc"), F.col("id.hash").alias("__hash"), "spans"), "spans")
     drop(*tables)
-    free_shuffles(docs.sparkSession)
     d = docs.select("doc_id", F.xxhash64("text").alias("__h"), F.col("text").cast("binary").alias("text"))
     j = d.join(spans, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__h") == F.col("__hash")), "left").select("doc_id", "text", "spans")
     kind = d.schema["doc_id"].dataType.simpleString()

@@ -37,8 +37,11 @@ def near(rng, words, k):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("size,num,den", [(3, 90, 100), (5, 80, 100)])
-def test_components_match_brute_force(spark, monkeypatch, size, num, den):
+@pytest.mark.parametrize("size,num,den,hot", [(3, 90, 100, 4096), (5, 80, 100, 4096), (3, 90, 100, 1), (5, 80, 100, 1)])
+def test_components_match_brute_force(spark, monkeypatch, size, num, den, hot):
+    monkeypatch.setattr(jaccard, "HOT_LEAST", hot)
+    if hot == 1:  # nearly all shared tokens are salted
+        monkeypatch.setattr(jaccard, "HOT_TIMES", 0)
     monkeypatch.setattr(jaccard, "FEW", 4)
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 12)
     rng = random.Random(3)
@@ -59,3 +62,28 @@ def test_components_match_brute_force(spark, monkeypatch, size, num, den):
 
 def test_empty_table(spark):
     assert jaccard.similar(spark.createDataFrame([], "doc_id long, text string, key string"), 3, 90, 100).collect() == []
+
+
+def test_candidates_do_not_depend_on_batches():
+    """Postings in order, cut into batches at any place, give the same pairs and the same groups of stars."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    rows = sorted({(t, s, rng.randrange(20, 60), c, rng.randrange(5)) for t in range(6) for s in ([0] if t < 4 else [1, 2]) for c in rng.sample(range(300), (3, 9, 17, 90, 40, 70)[t])})
+    rows += rows[-1:]
+
+    def run(cuts):
+        cols = list(zip(*rows))
+        table = pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()))], ["token", "salt", "n", "number", "pos"]).select(["token", "salt", "number", "n", "pos"])
+        batches = [b for i, j in zip([0, *cuts], [*cuts, len(rows)]) for b in table.slice(i, j - i).combine_chunks().to_batches()]
+        out = [r for b in jaccard._candidates(80, 100)(iter(batches)) for r in b.to_pylist()]
+        return [{(r["kind"], r["token"], r["a"], r["b"]) for r in out if r["kind"] == k} for k in (0, 1, 2)]
+
+    whole = run([])
+    assert all(whole)
+    for _ in range(20):
+        pairs, stars, again = run(sorted(rng.sample(range(1, len(rows)), rng.randrange(1, 60))))
+        assert pairs == whole[0] and again == whole[2]
+        join = lambda edges: {(t, frozenset(x for _, u, a, b in edges if u == t and c == b for x in (a, b))) for _, t, _, c in edges}
+        assert {x for x in join(stars)} == {x for x in join(whole[1])}
+    assert run(range(1, len(rows)))[0] == whole[0]

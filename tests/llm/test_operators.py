@@ -83,7 +83,7 @@ def test_chat_round_trip(spark):
 def test_odd_tables(spark, rows):
     docs = spark.createDataFrame(rows, WIDE)
     bench = spark.createDataFrame([(1, "one two three"), (None, None)], "item_id long, text string")
-    assert line_dedup.dedup_lines(docs).count() == len(rows)
+    assert line_dedup.dedup_lines(docs).columns == docs.columns and line_dedup.line_report(docs).count() == len(rows)
     assert quality.verdicts(docs).count() == len(rows)
     assert mixing.mix_report(docs).count() == len(rows)
     assert decontam.contamination(docs, bench).count() == len(rows)

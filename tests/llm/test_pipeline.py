@@ -47,13 +47,14 @@ def test_each_stage_against_its_own_reference(spark):
     assert sorted(after.doc_id) == sorted(before.doc_id) and (after.taken <= 2 * after["size"]).all()
     for _, g in after.groupby("source"):
         assert abs(g.taken.sum() - g.target.iloc[0]) <= 1
+    assert [sum(c["words"] for c in x) for x in after.copies] == list(after.taken)
 
 
 @pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)], [(1, "a b", "en", "s", 3)] * 3])
 def test_odd_tables(spark, rows):
     import corpus_pipeline as P
 
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 AS size", "2 AS kept")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 AS size", "2 AS kept", "3 AS n_lines", "4 AS n_dropped", "5 AS __doc", "6 AS __hash", "7 AS words", "8 AS __id")
     for name, stage in P.STAGES:
         one = stage(spark, docs, SF)
         one.collect()
