@@ -2,43 +2,70 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept,
 and returns the columns of ``documents``; the last returns the mix, a row for
-each document left. What a stage returns is written and read again.
+each document left with all its copies, their shards and places. What a stage
+returns is written and read again before the next one is called, and a stage
+begins by removing what the one before kept for its own work.
+
+Defined cases, for all stages: null, empty and very long texts, null ids,
+languages and sources, repeated rows, ties and empty tables are taken as the
+operators define them; other columns, whatever their names, come out as they
+went in, but for the last stage, which leaves them out. No stage drops a
+repeated row but near duplicates, where one row of each group stays.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from marlstone.llm import decontam, jaccard, line_dedup, mixing, quality
-from marlstone.llm._shared import table, written
+from marlstone.llm._shared import drop_paths, live, table, written
+
+_last: list = []
+
+
+def _stage(f):
+    """The stage, without the tables that the last stage worked on: that stage's result stands in a table of its own by now."""
+
+    @functools.wraps(f)
+    def run(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_paths(_last)
+        before = live()
+        out = f(spark, docs, sf_dir)
+        _last[:] = [t for t in live() if t not in before]
+        return out
+
+    return run
 
 
+@_stage
 def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go; null texts are among them."""
     return quality.keep_good(docs)
 
 
+@_stage
 def line_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of many documents stay in one; ``n_chars`` follows the text. No document goes."""
-    out = line_dedup.dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    """Lines of many documents stay in one; ``n_chars`` follows the text. No document goes, a null text stays null."""
+    return line_dedup.dedup_lines(docs, recount="n_chars" if "n_chars" in docs.columns else None)
 
 
+@_stage
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, similarity 0.8."""
+    """One document of each group stays, that with the least id: five-word shingles, similarity 0.8. Texts without words are no group."""
     return jaccard.keep_one(docs, 5, 80, 100)
 
 
+@_stage
 def decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of the benchmark go."""
+    """Documents that hold a window of the benchmark go; texts without words stay."""
     return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes, and in which shards."""
+    """The mix: what it takes of each document, and in which shards and places. Documents of which it takes nothing have no copies."""
     return mixing.mix_report(docs)
 
 
