@@ -18,8 +18,10 @@ blocks. Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z is lowered
 
 Defined cases: null texts have no words and are not contaminated; a null
 item_id is dropped from the list of ids but its windows still hit; items or
-documents that repeat are treated each on their own, ids are listed once; an
-empty benchmark leaves every document clean; other columns are left alone.
+documents that repeat are treated each on their own, ids are listed once; ties
+in rarity go by hash; texts and items of any length are searched whole; an
+empty benchmark leaves every document clean, an empty table of documents gives
+an empty result; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import _words as W
 from marlstone.llm._shared import hidden, table, written
+from marlstone.llm._tally import tally
 
 SIZE, SHINGLE, BLOCK, BLOCK_CHARS = 10, 3, 200_000, 8 << 20
 
@@ -127,32 +130,24 @@ def _inside(w: W.Words, n: int, k: int) -> np.ndarray:
 
 def count_shingles(docs: DataFrame, wanted: dict) -> dict:
     """Shingle size -> (sorted hashes, documents that hold each), over all documents."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(wanted)
-
-    def counts(batches):
-        total = {k: np.zeros(len(v), np.int64) for k, v in shared.value.items()}
-        for batch in batches:
-            data, off = W.utf8(batch.column(0))
-            for i, j in W.slices(off):
-                w = W.Words(data, off, i, j, W.ALNUM)
-                row = w.rows()
-                for k, keys in shared.value.items():
-                    g = W.grams(w.hash, k)
-                    at = _found(keys, g)
-                    at = at[_inside(w, len(g), k)[at]]
-                    pair = np.unique(row[at] * len(keys) + np.searchsorted(keys, g[at])) if len(keys) else at
-                    np.add.at(total[k], pair % max(1, len(keys)), 1)
-        for k, v in total.items():
-            at = np.flatnonzero(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int64)), pa.array(v[at])], ["k", "at", "n"])
-
-    rows = docs.select("text").mapInArrow(counts, "k int, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).collect()
-    out = {k: (keys, np.zeros(len(keys), np.int64)) for k, keys in wanted.items()}
-    for r in rows:
-        out[r["k"]][1][r["at"]] = r["n"]
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    base = dict(zip(wanted, np.cumsum([0, *map(len, wanted.values())]).tolist()))
+
+    def codes(batch):
+        data, off = W.utf8(batch.column(0))
+        for i, j in W.slices(off):
+            w = W.Words(data, off, i, j, W.ALNUM)
+            row = w.rows()
+            for k, keys in shared.value.items():
+                g = W.grams(w.hash, k)
+                at = _found(keys, g)
+                at = at[_inside(w, len(g), k)[at]]
+                if len(at):  # once a document
+                    yield base[k] + np.unique(row[at] * len(keys) + np.searchsorted(keys, g[at])) % len(keys)
+
+    total = tally(docs.select("text"), codes, sum(map(len, wanted.values())))
     shared.unpersist()
-    return out
+    return {k: (keys, total[base[k] : base[k] + len(keys)]) for k, keys in wanted.items()}
 
 
 def hits(docs: DataFrame, index: Index) -> DataFrame:

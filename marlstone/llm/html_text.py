@@ -9,8 +9,10 @@ boilerplate. Nodes whose terminal capacity outweighs all their edges keep
 their side in every minimum cut, so only the doubtful ones enter the flow.
 
 Defined cases: null or empty html gives an empty text; broken or unclosed
-markup is read as far as it goes (a lone ``<`` is text); repeated rows are
-extracted alike; an empty table gives an empty result; other columns are ignored.
+markup is read as far as it goes (a lone ``<`` is text); pages of any length
+are read whole, in time that follows their length; a block whose costs tie is
+boilerplate; repeated rows are extracted alike; an empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ from pyspark.sql import DataFrame
 
 from marlstone.llm._shared import table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# no "<" inside a tag but in quotes, and no way back: what is unclosed is read once
+PLAIN = r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([A-Za-z][^\s/<>]*+)((?>[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+PLAIN, TOKEN = re.compile(PLAIN, re.S), re.compile(r"<!\[CDATA\[.*?\]\]>|" + PLAIN, re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 RAW = frozenset("script style noscript template iframe object svg math canvas textarea title select".split())
@@ -46,6 +50,7 @@ BAD = frozenset(
 GOOD = frozenset("article post entry story content main body text".split())
 TITLES = frozenset("header title heading headline".split())
 INSIDE, HARD = 6.0, 40.0
+DEPTH = 512  # elements below that stand beside each other, as in browsers
 NEXT, SIBLING = 0.8, 0.7
 
 
@@ -110,6 +115,7 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     top = Box("", None, "")
     stack, text, linked, anchors = [top], [], 0, 0
+    unclosed: set = set()
 
     def flush():
         nonlocal text, linked
@@ -122,9 +128,9 @@ def blocks_of(page: str) -> list[Block]:
     def close(k):
         del stack[k:]
 
-    at, size = 0, len(page)
+    at, size, sections = 0, len(page), page.rfind("]]>")
     while at < size:
-        m = TOKEN.search(page, at)
+        m = (TOKEN if at < sections else PLAIN).search(page, at)
         end = m.start() if m else size
         if end > at:
             text.append(page[at:end])
@@ -140,8 +146,10 @@ def blocks_of(page: str) -> list[Block]:
         tag, closing = m[2].lower(), bool(m[1])
         if tag in RAW:
             if not closing and not m[3].rstrip().endswith("/"):
-                e = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+                e = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b[^<>]*>", re.I).search(page, at)
                 at = e.end() if e else (size if tag in ("script", "style") else at)
+                if not e:
+                    unclosed.add(tag)
             text.append(" ")
             continue
         if tag == "a":
@@ -151,6 +159,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in BLOCK and tag != "button":
             if tag not in VOID and not closing and ("class" in m[3] or "id" in m[3] or "role" in m[3]) and Box(tag, stack[-1], m[3]).bad and not stack[-1].bad:
                 flush()  # an inline element that names itself an advert, notice, ...
+                close(DEPTH)
                 stack.append(Box(tag, stack[-1], m[3]))
             elif closing and stack[-1].tag == tag and len(stack) > 1:
                 flush()
@@ -177,6 +186,8 @@ def blocks_of(page: str) -> list[Block]:
             stack.append(Box(tag, top, m[3]))
             continue
         if tag not in VOID:
+            if len(stack) > DEPTH:
+                close(DEPTH)
             stack.append(Box(tag, stack[-1], m[3]))
     flush()
     return out
@@ -202,38 +213,70 @@ def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bo
             around[v] = {}
     rest = [v for v in range(len(s)) if side[v] is None]
     if rest:
-        source, sink = -1, -2
-        room: dict = {source: {}, sink: {}}
-        for v in rest:
-            room[v] = dict(around[v])
-        for v in rest:
-            if s[v] > 0:
-                room[source][v], room[v][source] = s[v], 0.0
-            else:
-                room[v][sink], room[sink][v] = -s[v], 0.0
-        while True:  # shortest augmenting paths
-            came, queue = {source: source}, deque([source])
-            while queue and sink not in came:
-                v = queue.popleft()
-                for u, w in room[v].items():
-                    if w > 1e-9 and u not in came:
-                        came[u] = v
-                        queue.append(u)
-            if sink not in came:
-                break
-            path, v = [], sink
-            while v != source:
-                path.append((came[v], v))
-                v = came[v]
-            flow = min(room[a][b] for a, b in path)
-            for a, b in path:
-                room[a][b] -= flow
-                room[b][a] = room[b].get(a, 0.0) + flow
-        for v in rest:
-            side[v] = v in came
+        place = {v: k for k, v in enumerate(rest)}
+        inner = [(place[v], place[u], w) for v in rest for u, w in around[v].items() if u > v]
+        for v, ok in zip(rest, max_flow([s[v] for v in rest], inner)):
+            side[v] = ok
     return side
 
 
+def max_flow(s: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """The nodes that the source still reaches when the flow is at its maximum, by levels and blocking flows."""
+    n = len(s)
+    to, room, out = [], [], [[] for _ in range(n + 2)]
+    source, sink = n, n + 1
+
+    def arc(a, b, w, back):
+        out[a].append(len(to))
+        out[b].append(len(to) + 1)
+        to.extend((b, a))
+        room.extend((w, back))
+
+    for v, x in enumerate(s):
+        if x > 0:
+            arc(source, v, x, 0.0)
+        elif x < 0:
+            arc(v, sink, -x, 0.0)
+    for a, b, w in edges:
+        arc(a, b, w, w)
+    while True:
+        level = [-1] * (n + 2)
+        level[source] = 0
+        queue = deque([source])
+        while queue:
+            v = queue.popleft()
+            for e in out[v]:
+                if room[e] > 1e-9 and level[to[e]] < 0:
+                    level[to[e]] = level[v] + 1
+                    queue.append(to[e])
+        if level[sink] < 0:
+            return [x >= 0 for x in level[:n]]
+        at, path, v = [0] * (n + 2), [], source
+        while True:
+            if v == sink:
+                flow = min(room[e] for e in path)
+                for k, e in enumerate(path):
+                    room[e] -= flow
+                    room[e ^ 1] += flow
+                k = next(k for k, e in enumerate(path) if room[e] <= 1e-9)
+                v = to[path[k] ^ 1]
+                del path[k:]
+                continue
+            while at[v] < len(out[v]):
+                e = out[v][at[v]]
+                if room[e] > 1e-9 and level[to[e]] == level[v] + 1:
+                    break
+                at[v] += 1
+            else:
+                if v == source:
+                    break
+                v = to[path.pop() ^ 1]
+                at[v] += 1
+                continue
+            path.append(e)
+            v = to[e]
+
+
 def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
     edges = []

@@ -20,11 +20,18 @@ of the suffix at a fixed place, and never looks beyond the threshold depth:
 
 No pairs are made, and each pass groups by hashes of more of the text than the
 one before, so a passage that a third of the texts hold is counted, map side
-first, and never gathered. Identity rests on 128 bits of hash.
+first, and never gathered. What a pass counted is written before it is joined:
+the join then reads two plain exchanges, of which Spark splits the partition of
+a frequent core. Identity rests on 128 bits of hash.
+
+The digits are those of the suffix at its window's anchor, not of the window's
+own start: a row for every byte would be many times the text.
 
 Defined cases: null or empty text has no bytes; texts under ``size`` bytes
-lose nothing; rows that repeat (with the same doc_id too) are occurrences of
-their own; an empty table gives an empty result; other columns are ignored.
+lose nothing; a longer text than ``SEGMENT`` is taken in segments that overlap;
+rows that repeat or tie (with the same doc_id too) are occurrences of their
+own; an empty table gives an empty result; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -211,39 +218,42 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, step: int = STEP) -> tuple
     rows = written(keyed.where(F.octet_length("text") >= size).mapInArrow(_anchor_rows(size), ANCHORS.format(id=kind)), "anchors")
 
     # digit 1: cores that occur more than once
-    often = rows.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+    often = written(rows.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"), "cores")
     held = written(rows.join(often, "core", "left_semi"), "anchors-held")
-    drop(rows)
-    hulls = held.groupBy("core", "hull1", "hull2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at")).alias("rep"))
-    hulls = written(hulls, "hulls")
-    kinds = hulls.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"))
-    judged = written(held.join(hulls, ["core", "hull1", "hull2"]).join(kinds, "core").drop("core", "hull1", "hull2"), "anchors-judged")
-    drop(held, hulls)
+    drop(rows, often)
+    hulls = written(held.groupBy("core", "hull1", "hull2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at")).alias("rep")), "hulls")
+    kinds = written(hulls.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "kinds")
+    # what is alone in its hull needs no partner from there
+    shared = written(hulls.where("n > 1"), "hulls-shared")
+    drop(hulls)
+    judged = written(held.join(kinds, "core", "left").join(shared, ["core", "hull1", "hull2"], "left").where("n > 1 OR kinds > 1").drop("core", "hull1", "hull2"), "anchors-judged")
+    drop(held, kinds, shared)
     done = judged.where("n > 1").select("id", F.col("hull_lo").alias("lo"), F.col("hull_hi").alias("hi"))
-    left = judged.where((F.col("kinds") > 1) & ((F.col("n") == 1) | (F.col("rep") == F.struct("id", "at"))))
+    left = judged.where((F.col("kinds") > 1) & (F.col("n").isNull() | (F.col("rep") == F.struct("id", "at"))))
 
     # digit 2: blocks of windows, where the core is shared but not the hull
     spots = left.groupBy("id").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("spots"))
     spots = spots.select(F.col("id.doc_id").alias("__doc"), F.col("id.hash").alias("__hash"), "spots")
     again = keyed.join(spots, F.col("id.doc_id").eqNullSafe(F.col("__doc")) & (F.col("id.hash") == F.col("__hash"))).select("id", "text", "spots")
     blocks = written(again.mapInArrow(_block_rows(size, step), BLOCKS.format(id=kind)), "blocks")
-    often = blocks.groupBy("core", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core", "block")
+    often = written(blocks.groupBy("core", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core", "block"), "block-cores")
     held = written(blocks.join(often, ["core", "block"], "left_semi"), "blocks-held")
-    drop(blocks)
-    hulls = held.where("hull1 IS NOT NULL").groupBy("core", "block", "hull1", "hull2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at")).alias("rep"))
+    drop(blocks, often)
+    hulls = held.where("hull1 IS NOT NULL").groupBy("core", "block", "hull1", "hull2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at")).alias("rep")).where("n > 1")
+    hulls = written(hulls, "block-hulls")
     anchored = judged
     judged = written(held.join(hulls, ["core", "block", "hull1", "hull2"], "left").drop("block", "hull1", "hull2"), "blocks-judged")
-    drop(held)
+    drop(held, hulls)
     last = F.col("lo") + F.size("windows") - 1 + size
     done2 = judged.where("n > 1").select("id", "lo", last.alias("hi"))
-    left = judged.where(F.col("n").isNull() | (F.col("n") == 1) | (F.col("rep") == F.struct("id", "at")))
+    left = judged.where(F.col("n").isNull() | (F.col("rep") == F.struct("id", "at")))
 
     # last digit: single windows
     single = left.select("core", "id", "at", "lo", F.posexplode("windows").alias("k", "window"))
     single = single.select("core", "window", (F.col("at") - F.col("lo") - F.col("k")).alias("delta"), "id", (F.col("lo") + F.col("k")).alias("lo"))
-    equal = single.groupBy("core", "window", "delta").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    equal = written(single.groupBy("core", "window", "delta").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "windows")
     done3 = single.join(equal, ["core", "window", "delta"], "left_semi").select("id", "lo", (F.col("lo") + size).alias("hi"))
-    return done.unionByName(done2).unionByName(done3), [anchored, judged]
+    return done.unionByName(done2).unionByName(done3), [anchored, judged, equal]
 
 
 def merge(spans: list) -> list:

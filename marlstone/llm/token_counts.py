@@ -8,11 +8,13 @@ left. The number popped is stored with the link, so counts come out without
 building pieces, in one step per byte (amortised).
 
 A batch's distinct words step through the automaton together, a byte at a
-time; each then counts as often as its texts hold it.
+time, while there are many of that length; the few longest go on one by one.
+Each then counts as often as its texts hold it.
 
-Defined cases: null or blank text has no words and no tokens; repeated rows
+Defined cases: null or blank text has no words and no tokens; words and texts
+of any length take time in proportion to their bytes; repeated rows and ties
 are counted alike; an empty table gives an empty result; other columns are
-ignored. Bytes the vocabulary lacks count as one token each.
+ignored, whatever their names. Bytes the vocabulary lacks count as one token each.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from marlstone.llm import _words as W
 from marlstone.llm._shared import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+FEW = 64  # so many words or fewer are walked one by one
 
 
 def read_pieces(path: str) -> list[bytes]:
@@ -72,6 +75,7 @@ class Automaton:
         keys = np.fromiter(edges.keys(), np.int64, len(edges))
         order = np.argsort(keys)
         self.keys, self.to = keys[order], np.fromiter(edges.values(), np.int64, len(edges))[order]
+        self.edges = self.links = None  # for walk, made where it is needed
 
     def step(self, state: np.ndarray, byte: np.ndarray, count: np.ndarray) -> np.ndarray:
         """The states after one byte more; ``count`` gets what was popped."""
@@ -88,6 +92,19 @@ class Automaton:
             state[open_] = self.fail[state[open_]]
         return out
 
+    def walk(self, state: int, word: bytes) -> tuple[int, int]:
+        """The state after all bytes of a word, and what was popped."""
+        if self.edges is None:
+            self.edges = dict(zip(self.keys.tolist(), self.to.tolist()))
+            self.links = self.fail.tolist(), self.pops.tolist()
+        edges, (fail, pops), n = self.edges, self.links, 0
+        for c in word:
+            while (nxt := edges.get(state << 8 | c)) is None:
+                n += pops[state]
+                state = fail[state]
+            state = nxt
+        return state, n
+
     def lengths(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: bytes = b" ") -> np.ndarray:
         """Pieces in ``before`` + data[starts:ends], for all words at once."""
         order = np.argsort(starts - ends, kind="stable")  # longest first: those still open are a prefix
@@ -98,6 +115,11 @@ class Automaton:
             state = self.step(state, np.full(len(s), c, np.int64), count)
         for k in range(int(n[0]) if len(n) else 0):
             m = int(np.searchsorted(-n, -k, "left"))
+            if m <= FEW:  # long words: one by one from here
+                for w in range(m):
+                    state[w], more = self.walk(int(state[w]), data[s[w] + k : s[w] + n[w]].tobytes())
+                    count[w] += more
+                break
             state[:m] = self.step(state[:m], data[s[:m] + k].astype(np.int64), count[:m])
         out = np.empty(len(s), np.int64)
         out[order] = count + self.rest[state]

@@ -97,3 +97,30 @@ def test_sweeps_count_all_bigrams_and_raise_the_likelihood(spark, monkeypatch):
     c = cls[model.units.of(h, e)]
     np.add.at(want, (np.append(cls[model.end], c[:-1]), c), 1)
     assert (want == after).all()
+
+
+def test_scores_match_a_class_model_by_hand(spark, monkeypatch):
+    """Transitions and emissions, counted again in plain Python from the classes that training gave."""
+    monkeypatch.setattr(C, "SCORED", 30)
+    monkeypatch.setattr(C, "CLASSES", 5)
+    data = rows()
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    tokens = [[*re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), ""] for _, t in data]
+    model, _ = C.train(spark.createDataFrame([(t,) for i, t in data if not held(i)], "text string"))
+    words = sorted({w for ws in tokens for w in ws if w})
+    w = C.W.Words(*C.W.utf8(C.pa.array(words)), 0, len(words), C.W.SPACED)
+    cls = dict(zip(words, model.cls[model.units.of(w.hash, C._endings(w))].tolist())) | {"": int(model.cls[model.end])}
+    size = len(model.out)
+    train = [ws for (i, _), ws in zip(data, tokens) if not held(i)]
+    count = Counter(x for ws in train for x in ws)
+    step = Counter((cls[a], cls[b]) for ws in train for a, b in zip(["", *ws], ws))
+    out = [0.5 * (sum(cls[x] == c for x in count) + 1) + sum(n for x, n in count.items() if cls[x] == c) for c in range(size)]
+    before = [sum(step[c, d] for d in range(size)) for c in range(size)]
+    assert math.isclose(sum(out[c] for c in range(size)), sum(count.values()) + 0.5 * (len(count) + size))
+    got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in C.score(docs).collect()}
+    for (i, _), ws in zip(data, tokens):
+        p = 0.0
+        for a, b in zip(["", *ws], ws):
+            p += math.log10((step[cls[a], cls[b]] + C.BACK * out[cls[b]] / sum(out)) / (before[cls[a]] + C.BACK)) + math.log10((count[b] + 0.5) / out[cls[b]])
+        assert math.isclose(got[i, len(ws)], p, rel_tol=1e-9)

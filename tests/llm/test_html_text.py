@@ -2,6 +2,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 import pytest
 
@@ -54,3 +55,39 @@ def test_pages_table(spark):
         inner = re.search(r"<article>(.*?)(</article>|<footer>)", r["html"], re.S)[1]
         want = [" ".join(html.unescape(re.sub(r"<[^>]*>", " " if False else "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
         assert H.main_text(r["html"]) == "\n\n".join(x for x in want if x)
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 80000, "<![CDATA[" * 20000, "<title>" * 20000, "<!" * 50000, "<div>" * 20000 + "</p>" * 20000, "<ul>" + "<div>" * 3000 + "<li>x</li>" * 5000,
+    "<a '\" " * 30000, "<!--" * 30000, "&amp" * 100000, "<p>one two three" * 100000,
+])
+def test_time_follows_the_length_of_broken_pages(page):
+    began = time.time()
+    H.main_text(page)
+    assert time.time() - began < 10
+
+
+def test_unclosed_section_costs_no_text():
+    assert H.main_text("<p>before it all goes on</p><![CDATA[ x ><p>after it all goes on</p>").count("goes on") == 2
+    assert "a < b" in H.main_text("<p>first words <![CDATA[a < b]]> last words</p>")
+
+
+def test_large_cut_in_time():
+    rng = random.Random(4)
+    n = 8000
+    s = [rng.uniform(-1, 1) for _ in range(n)]
+    edges = [(k - 1, k, 0.8) for k in range(1, n)] + [(k - 7, k, 0.7) for k in range(7, n)]
+    began = time.time()
+    side = H.min_cut(s, edges)
+    assert time.time() - began < 20
+    cost = lambda side: sum(v for v, x in zip(s, side) if v > 0 and not x) - sum(v for v, x in zip(s, side) if v < 0 and x) + sum(w for a, b, w in edges if side[a] != side[b])
+    best = cost(side)
+    for k in range(0, n, 37):  # no single change is cheaper
+        assert cost(side[:k] + [not side[k]] + side[k + 1 :]) >= best - 1e-6
+
+
+def test_megabyte_page(spark):
+    body = "".join(f"<p>Paragraph {k} is long enough to be told from a menu, is it not.</p>" for k in range(20000))
+    page = f"<html><body><nav><a href=x>Home</a></nav><article>{body}</article><footer>End of it</footer></body></html>"
+    (r,) = H.extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).collect()
+    assert r["text"].count("\n\n") == 19999 and "Home" not in r["text"] and r["n_chars"] == len(r["text"])

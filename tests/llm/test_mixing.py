@@ -43,7 +43,7 @@ def test_taken_and_shards_come_from_the_tree(spark):
         size = {s: sum(n for _, x, n in rows if x == s) for s in {x for _, x, _ in rows}}
         want = fill(size, share=share, most=most)
         for s in size:
-            assert sum(c["words"] for r in d if r["source"] == s for c in r["copies"]) == round(want[s])
+            assert abs(sum(c["words"] for r in d if r["source"] == s for c in r["copies"]) - want[s]) <= 0.5
         assert all(0 < c["words"] <= r["size"] and 0 <= c["shard"] < 8 for r in d for c in r["copies"])
         assert all(len(r["copies"]) <= most and len({c["pass"] for c in r["copies"]}) == len(r["copies"]) for r in d)
         m = mixing.mix(docs, **how)
