@@ -267,7 +267,7 @@ def merge(spans: list) -> list:
 
 
 def _cut(batches):
-    for batch in batches:
+    for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
         text, spans = batch.column(1), batch.column(2)
         out: list = [[], [], [], []]
         for k in range(batch.num_rows):
