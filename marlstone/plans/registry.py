@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from marlstone.plans import frames, notes, portable
+from marlstone.plans import frames, notes, portable, reqs
 
-QUERIES: dict = {k: portable.query(v) for k, v in portable.PLANS.items()} | frames.Q | notes.Q
-ORACLES: dict = {k: portable.oracle(v) for k, v in portable.PLANS.items()} | frames.O | notes.O
+QUERIES: dict = {k: portable.query(v) for k, v in portable.PLANS.items()} | frames.Q | notes.Q | reqs.Q
+ORACLES: dict = {k: portable.oracle(v) for k, v in portable.PLANS.items()} | frames.O | notes.O | reqs.O
 
 
 def queries() -> dict:
