@@ -84,8 +84,10 @@ def path_tokens(path: Column) -> Column:
 
 
 def slice_snippet(text: Column, most: int = 540) -> Column:
-    """At most ``most`` characters, without a broken last word."""
-    return F.when(F.char_length(text) <= most, text).otherwise(F.rtrim(F.regexp_replace(F.substring(text, 1, most), r"\S*$", "")))
+    """At most ``most`` characters, without a broken last word and white space at the end; the plain cut where one word fills it."""
+    cut = F.substring(text, 1, most)
+    whole = F.regexp_replace(F.regexp_replace(cut, r"\S*\z", ""), r"\s+\z", "")
+    return F.when(F.char_length(text) <= most, text).when(whole != "", whole).otherwise(cut)
 
 
 def code_chunks(body: Column, size: int = 60, step: int = 50) -> Column:

@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.operators.search import nlist, top
+from marlstone.operators.search import centroids, nlist, top
 from marlstone.sources.catalog import view
-from marlstone.sources.store import written
+from marlstone.sources.store import collected, written
 
 GATE = 0.98  # recall at 10 that a point of the calibration must reach
 OVERSAMPLES, PROBES = (4, 8, 16, 32, 64), (1, 2, 4, 8, 16, 32, 64, 128, 256)
@@ -131,6 +131,14 @@ def assign(spark, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir).rows.select("id", "cluster_id")
 
 
+def assign_given(spark, sf_dir: str) -> DataFrame:
+    """id and label: the given cluster whose centroid is nearest."""
+    v = view(spark, sf_dir, "vectors")
+    rows = sorted(collected(centroids(v)), key=lambda r: r["cluster_id"])
+    names = F.array(*[F.lit(r["cluster_id"]) for r in rows])
+    return assigned(v, np.array([r["vec"] for r in rows], np.float64)).select("id", F.get(names, F.col("cluster_id")).alias("label"))
+
+
 def index(spark, sf_dir: str) -> Index:
     v = view(spark, sf_dir, "vectors")
     centres = build(v)[1]
@@ -180,9 +188,9 @@ def _ranks(q: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return out
 
 
-def best(ix: Index, q: Queries, keep: int, probes: int | None = None) -> DataFrame:
-    """query_id, id, key, h, cluster_id, score of the ``keep`` first rows of each query: by score over all rows, or by
-    signature over the rows of the clusters probed; id on ties."""
+def best(ix: Index, q: Queries, keep: int, probes: int | None = None, by_signature: bool = False) -> DataFrame:
+    """query_id, id, key, h, cluster_id, score of the ``keep`` first rows of each query: by score (or signature) over all
+    rows, or by signature over the rows of the clusters probed; id on ties."""
     out = None if probes is None else _ranks(q.vecs, ix.centres) >= probes
     shared = ix.rows.sparkSession.sparkContext.broadcast((q, out))
     never = np.iinfo(np.int64).max
@@ -192,7 +200,7 @@ def best(ix: Index, q: Queries, keep: int, probes: int | None = None) -> DataFra
         held = None
         for ids, m, cluster in _slices(batches, len(q.ids)):
             micro, h = _micro(q.vecs, m), _hamming(q.vecs, m)
-            key = -micro if out is None else np.where(out[:, cluster], never >> 21, h)
+            key = (h if by_signature else -micro) if out is None else np.where(out[:, cluster], never >> 21, h)
             at = (key << 20) + np.arange(len(ids))  # rows are in the order of ids
             n = min(keep, len(ids))
             at = np.argpartition(at, n - 1, axis=1)[:, :n]
@@ -292,9 +300,69 @@ def funnel(spark, sf_dir: str, k: int = 10) -> DataFrame:
     return out
 
 
-def near_dup(spark, sf_dir: str, least: float = 0.95, size: int = 1 << 13) -> DataFrame:
-    """Pairs of all rows with a cosine above ``least``, whatever their labels: blocks of rows meet all rows, in slices."""
+def all_rows(spark, sf_dir: str) -> Index:
+    """The vectors as one cluster, for scans that need no index."""
+    v = view(spark, sf_dir, "vectors")
+    return Index(v.select("id", "n", "vec", F.lit(0).alias("cluster_id")), np.zeros((1, 1)))
+
+
+def scan(spark, sf_dir: str, k: int, by_signature: bool = False) -> DataFrame:
+    """query_id, id, score and distance of the first ``k`` rows for every EVERY-th vector, by score or by signature, over all rows."""
+    ix, out = all_rows(spark, sf_dir), None
+    for q in blocks(ix, EVERY, k):
+        found = best(ix, q, k, None, by_signature).select("query_id", "id", "score", F.col("h").cast("int").alias("distance"))
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], "query_id string, id string, score double, distance int") if out is None else out
+
+
+def measured(spark, sf_dir: str) -> DataFrame:
+    """query_id, id, cosine and distance of every EVERY-th vector with all rows, a block of queries at a time."""
+    ix, out = all_rows(spark, sf_dir), None
+    for q in blocks(ix, EVERY, 1 << 10):
+        shared = spark.sparkContext.broadcast(q)
+
+        def run(batches, shared=shared):
+            q = shared.value
+            size = np.sqrt((q.vecs**2).sum(1))
+            for ids, m, _ in _slices(batches, len(q.ids)):
+                both = size[:, None] * np.sqrt((m**2).sum(1))[None, :]
+                cosine = np.divide(q.vecs @ m.T, both, out=np.zeros(both.shape), where=both > 0)
+                h = _hamming(q.vecs, m)
+                names = pa.array([x.decode() for x in ids], pa.string())
+                for k, name in enumerate(q.ids):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), pa.string()), names, pa.array(cosine[k]), pa.array(h[k].astype(np.int32))], ["query_id", "id", "cosine", "distance"])
+
+        found = ix.rows.mapInArrow(run, "query_id string, id string, cosine double, distance int")
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], "query_id string, id string, cosine double, distance int") if out is None else out
+
+
+def probes(spark, sf_dir: str, most: int = 4) -> DataFrame:
+    """query_id and probe: the ``most`` given clusters whose centroids are nearest to every EVERY-th vector."""
+    v = view(spark, sf_dir, "vectors")
+    rows = sorted(collected(centroids(v)), key=lambda r: r["cluster_id"])
+    shared = spark.sparkContext.broadcast((np.array([r["cluster_id"] for r in rows], np.int32), np.array([r["vec"] for r in rows], np.float64)))
+
+    def run(batches):
+        names, centres = shared.value
+        for b in batches:
+            if b.num_rows:
+                order = np.argsort(-(_matrix(b.column(1)) @ centres.T), axis=1, kind="stable")[:, :most]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), order.shape[1]))), pa.array(names[order].ravel())], ["query_id", "probe"])
+
+    return v.where(F.col("n") % EVERY == 0).select("id", "vec").mapInArrow(run, "query_id string, probe int")
+
+
+def with_copies(v: DataFrame) -> DataFrame:
+    """Vectors and, for every tenth, one that is nearly the same."""
+    near = v.where("n % 10 = 0").select(F.concat("id", F.lit(":copy")).alias("id"), "n", F.transform("vec", lambda x: (x + 0.001).cast("float")).alias("vec"))
+    return v.select("id", "n", "vec").unionByName(near)
+
+
+def near_dup(spark, sf_dir: str, least: float = 0.95, size: int = 1 << 13, planted: bool = False) -> DataFrame:
+    """Pairs of all rows with a cosine above ``least``, whatever their labels: blocks of rows meet all rows, in slices. ``planted`` adds near copies."""
     v = view(spark, sf_dir, "vectors").select("id", "n", "vec")
+    v = with_copies(v) if planted else v
     parts = max(1, -(-v.count() // size))
     out = None
     for part in range(parts):

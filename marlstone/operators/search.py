@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import ranking, vector
 from marlstone.sources.catalog import view
+from marlstone.sources.postings import Lexical, lexical
+from marlstone.sources.store import collected, written
 
 QUERIES = [("q1", ["the", "and", "retry"]), ("q2", ["der", "die"]), ("q3", ["nosuchterm", "of"])]
 
@@ -21,28 +23,23 @@ def visible(d: DataFrame, principal="user2", groups=("g0", "g1"), tenant="defaul
     return d.where(F.coalesce(ok, F.lit(False)) if superseded else F.coalesce(ok & ~F.col("superseded"), F.lit(False)))
 
 
-def matches(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """Chunks that hold any term of a query: rank by length-normalised frequency, and whether all terms are there."""
-    m = postings.join(terms, "term").groupBy("query_id", "tenant", "id", "seq", "n_terms").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("found"), F.min("len").alias("len"))
+def matches(hits: DataFrame) -> DataFrame:
+    """Chunks that hold any term of a query: rank by length-normalised frequency, and whether all terms are there. ``hits``: postings of the terms."""
+    m = hits.groupBy("query_id", "tenant", "id", "seq", "n_terms").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("found"), F.min("len").alias("len"))
     return m.select("query_id", "tenant", "id", "seq", (F.col("tf") / (1 + F.ln("len"))).alias("rank"), (F.col("found") == F.col("n_terms")).alias("strict"))
 
 
-def bm25(postings: DataFrame, terms: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, id, seq, score. Corpus statistics are one row; frequencies only of the queries' terms."""
-    chunks = postings.select("tenant", "id", "seq", "len").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-    p = postings.join(terms, "term")
-    df = p.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    s = p.join(df, ["query_id", "term"]).crossJoin(chunks)
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    return s.groupBy("query_id", "tenant", "id", "seq").agg(F.sum(score).alias("score"))
+def bm25(ix: Lexical, terms: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query_id, tenant, id, seq, score. Weights go with the terms, so postings are read once and summed once."""
+    df = F.col("df")
+    weighted = ix.df(terms).withColumn("idf", F.ln(1 + (ix.chunks - df + 0.5) / (df + 0.5)))
+    score = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(ix.avgdl)))
+    return ix.of(weighted).groupBy("query_id", "tenant", "id", "seq").agg(F.sum(score).alias("score"))
 
 
-def df_prune(postings: DataFrame, terms: DataFrame, share: float = 0.15, keep: int = 3) -> DataFrame:
+def df_prune(ix: Lexical, terms: DataFrame, share: float = 0.15, keep: int = 3) -> DataFrame:
     """Terms in under ``share`` of the chunks; if a query has none, its ``keep`` rarest."""
-    n = postings.select("tenant", "id", "seq").distinct().agg(F.count(F.lit(1)).alias("n"))
-    df = terms.join(postings.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term", "left")
-    t = df.select("query_id", "term", F.coalesce("df", F.lit(0)).alias("df")).crossJoin(n).withColumn("rare", F.col("df") < share * F.col("n"))
+    t = ix.df(terms).withColumn("rare", F.col("df") < share * ix.chunks)
     w = Window.partitionBy("query_id")
     t = t.withColumns({"any_rare": F.max("rare").over(w), "rn": F.row_number().over(w.orderBy("df", "term"))})
     return t.where(F.when(F.col("any_rare"), F.col("rare")).otherwise(F.col("rn") <= keep)).select("query_id", "term", "df")
@@ -71,8 +68,8 @@ def fuse(arms: DataFrame, docs: DataFrame, limit: int, route: str = "docs") -> D
 
 def search_docs(spark, sf_dir: str, limit: int = 8) -> DataFrame:
     docs = visible(view(spark, sf_dir, "docs"))
-    p = view(spark, sf_dir, "postings").join(docs.select("tenant", "id"), ["tenant", "id"], "left_semi")
-    return fuse(lexical_arms(matches(p, query_terms(spark)), docs, limit), docs, limit)
+    hits = lexical(spark, sf_dir).of(query_terms(spark)).join(docs.select("tenant", "id"), ["tenant", "id"], "left_semi")
+    return fuse(lexical_arms(matches(hits), docs, limit), docs, limit)
 
 
 def phrase(spark, sf_dir: str, first: str = "of", second: str = "the") -> DataFrame:
@@ -85,41 +82,17 @@ def phrase(spark, sf_dir: str, first: str = "of", second: str = "the") -> DataFr
 
 
 def negation(spark, sf_dir: str) -> DataFrame:
-    p = view(spark, sf_dir, "postings")
+    p = lexical(spark, sf_dir).postings.where(F.col("term").isin("the", "and"))
     hit, out = p.where("term = 'the'").select("tenant", "id", "seq"), p.where("term = 'and'").select("tenant", "id", "seq")
     return hit.join(out, ["tenant", "id", "seq"], "left_anti").select("id", "seq")
 
 
 # vectors
-def vector_pairs(spark, sf_dir: str) -> DataFrame:
-    """Query vectors (every hundredth, in a literal-sized table) against all vectors."""
-    v = view(spark, sf_dir, "vectors")
-    q = v.where("n % 100 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qv"), F.col("cluster_id").alias("query_cluster"))
-    return v.join(F.broadcast(q) if q.count() <= 10_000 else q, F.lit(True))
-
-
 def top(df: DataFrame, k: int, *order) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(*order)
     return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
 
 
-def exact_topk(spark, sf_dir: str, k: int = 10) -> DataFrame:
-    s = vector_pairs(spark, sf_dir).withColumn("score", F.round(vector.dot(F.col("qv"), F.col("vec")), 6))
-    return top(s, k, F.desc("score"), "id").select("query_id", "id", "score")
-
-
-def hamming_topk(spark, sf_dir: str, k: int = 40) -> DataFrame:
-    s = vector_pairs(spark, sf_dir).withColumn("distance", vector.hamming(vector.signature(F.col("qv")), vector.signature(F.col("vec"))).cast("int"))
-    return top(s, k, "distance", "id").select("query_id", "id", "distance")
-
-
-def nearest_clusters(queries: DataFrame, centres: DataFrame, most: int) -> DataFrame:
-    """query_id, probe: the ``most`` centroids with the largest product; there are at most 16384 (``nlist``), whatever the rows."""
-    c = F.broadcast(centres.select(F.col("cluster_id").alias("probe"), F.col("vec").alias("centre")))
-    scored = queries.crossJoin(c).withColumn("s", vector.dot(F.col("qv"), F.col("centre")))
-    return top(scored, most, F.desc("s"), "probe").select("query_id", "probe")
-
-
 def centroids(v: DataFrame) -> DataFrame:
     """Unit mean vector of each cluster: partial sums by position, one row for each cluster."""
     e = v.select("cluster_id", F.posexplode("vec").alias("pos", "x")).groupBy("cluster_id", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
@@ -129,3 +102,24 @@ def centroids(v: DataFrame) -> DataFrame:
 
 def nlist(n: int) -> int:
     return max(16, min(16384, round(n**0.5)))
+
+
+def term_stats(spark, sf_dir: str) -> DataFrame:
+    """term, df and cf over all chunks: a chunk's terms are sorted in its row, where the first of each is told apart, and counted in one exchange."""
+    from marlstone.sources.catalog import terms
+
+    c = view(spark, sf_dir, "chunks").select(F.array_sort(terms(F.col("text"))).alias("s"))
+    x = c.select(F.explode(F.transform("s", lambda t, i: F.struct(t.alias("term"), ((i == 0) | (F.get("s", i - 1) != t)).cast("long").alias("first")))).alias("x"))
+    return x.groupBy("x.term").agg(F.sum("x.first").alias("df"), F.count(F.lit(1)).alias("cf"))
+
+
+def stride(df: DataFrame, key: str, every: int) -> DataFrame:
+    """Every ``every``-th row in the order of ``key``: places are counted part by part, not in one task."""
+    parts = written(df.repartitionByRange(key).withColumn("part", F.spark_partition_id()), "stride")
+    before, offsets = 0, []
+    for r in sorted(collected(parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))), key=lambda r: r["part"]):
+        offsets.append((r["part"], before))
+        before += r["n"]
+    offsets = df.sparkSession.createDataFrame(offsets, "part int, before long")
+    place = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(key))
+    return parts.join(F.broadcast(offsets), "part").withColumn("place", place).where(F.col("place") % every == 0).drop("part", "before", "place")

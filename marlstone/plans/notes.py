@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import markdown, pages, text
-from marlstone.operators import search as S
+from marlstone.operators import ivf
+from marlstone.plans.frames import SNIPPET
 from marlstone.plans.portable import oracle
 from marlstone.sources.catalog import view
 
@@ -17,7 +18,6 @@ Q: dict = {
     .select("id", F.explode(F.regexp_extract_all(F.lower("body"), F.lit("[a-z0-9_]+"), F.lit(0))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")),
 }
 
-SNIPPET = "CASE WHEN length(body) <= 540 THEN body ELSE rtrim(regexp_replace(substr(body, 1, 540), '\\S*$', ''), ' ') END"
 O: dict = {  # noqa: E741
     "first_heading": oracle("SELECT id, 'Note ' || id AS heading FROM {docs}"),
     "truncated_flag": oracle(f"SELECT id, length({SNIPPET}) < length(regexp_replace(body, '^\\W+|\\W+$', '', 'g')) AS truncated FROM {{docs}}"),
@@ -35,9 +35,9 @@ O["normalize_page"] = oracle(
     " sha256(CASE n % 4 WHEN 0 THEN '**Labels:** x,  Archived ' || chr(10) || chr(10) WHEN 1 THEN '**Labels:** x' || chr(10) || chr(10) ELSE '' END || body) AS digest, coalesce(acl_group, '') AS acl FROM {docs}"
 )
 
-Q["ivf_probe"] = lambda s, d: S.nearest_clusters(view(s, d, "vectors").where("n % 100 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qv")), S.centroids(view(s, d, "vectors")), 4)
+Q["ivf_probe"] = ivf.probes
 O["ivf_probe"] = oracle(
     "SELECT query_id, probe FROM (SELECT q.id AS query_id, c.cluster_id AS probe, row_number() OVER (PARTITION BY q.id ORDER BY list_dot_product(q.vec::DOUBLE[], c.vec) / sqrt(list_dot_product(c.vec, c.vec)) DESC, c.cluster_id) AS rn"
-    " FROM (SELECT id, vec FROM {vectors} WHERE n % 100 = 0) q CROSS JOIN (SELECT cluster_id, list(x ORDER BY pos) AS vec FROM (SELECT cluster_id, pos, avg(x::DOUBLE) AS x FROM"
+    " FROM (SELECT id, vec FROM {vectors} WHERE n % 20 = 0) q CROSS JOIN (SELECT cluster_id, list(x ORDER BY pos) AS vec FROM (SELECT cluster_id, pos, avg(x::DOUBLE) AS x FROM"
     " (SELECT cluster_id, unnest(range(1, len(vec) + 1)) AS pos, unnest(vec) AS x FROM {vectors}) GROUP BY cluster_id, pos) GROUP BY cluster_id) c) WHERE rn <= 4"
 )

@@ -67,7 +67,6 @@ PLANS = {
     "topk_frequent_queries": "SELECT query, CAST(count(*) AS BIGINT) AS n FROM {audit} WHERE ok AND result_count > 0 GROUP BY query ORDER BY n DESC, query LIMIT 10",
     "page_keyset": "SELECT id, seq FROM {chunks} WHERE id > 'doc:20' ORDER BY id, seq LIMIT 2000",
     "page_bytes": "SELECT id, substr(body, 8001, 8000) AS page, CAST(greatest(1, ceil(length(body) / 8000.0)) AS BIGINT) AS pages FROM {docs} WHERE length(body) > 8000",
-    "sample_stride": "SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM {docs}) x WHERE rn % 25 = 0",
     "sample_prefix": "SELECT id FROM {vectors} ORDER BY n LIMIT 200",
     "set_union_all_edges": "SELECT * FROM (SELECT src_id AS id, dst_id AS other, rel, 'out' AS way FROM {links} UNION ALL SELECT dst_id, src_id, rel, 'in' FROM {links}) x WHERE id = 'doc:12'",
     "set_requested_absent": "SELECT r.family FROM (SELECT 'jira' AS family UNION ALL SELECT 'vault' UNION ALL SELECT 'logs') r WHERE NOT EXISTS (SELECT 1 FROM {cursors} c WHERE substr(c.source, 1, instr(c.source, ':') - 1) = r.family)",
@@ -113,7 +112,6 @@ PLANS = {
   UNION ALL SELECT 'versions', count(*) FROM {blobs} WHERE expired
   UNION ALL SELECT 'blobs', count(*) FROM (SELECT tenant, digest FROM {blobs} GROUP BY tenant, digest HAVING count(*) FILTER (WHERE NOT expired) = 0) x""",
     "prune_facts": "SELECT a.id FROM {audit} a JOIN (SELECT max(day) AS last FROM {audit}) m ON true WHERE a.day >= m.last - INTERVAL '7' DAY",
-    "refresh_stats": "SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM {postings} GROUP BY term",
     "artifact_put": "SELECT tenant, digest, CAST(min(size) AS BIGINT) AS size, CAST(count(*) AS BIGINT) AS versions FROM {blobs} GROUP BY tenant, digest",
     "artifact_get": "SELECT tenant, native_id, digest FROM (SELECT *, row_number() OVER (PARTITION BY tenant, source, native_id ORDER BY revision DESC) AS rn FROM {blobs} WHERE NOT expired) x WHERE rn = 1",
     "artifact_retire": "SELECT tenant, source, native_id, revision FROM {blobs} WHERE revision % 15 = 0 AND NOT expired",
@@ -168,4 +166,6 @@ def query(sql: str):
 def oracle(sql: str) -> str:
     used = names_in(sql)
     body = re.sub(r"\{(\w+)\}", r"\1", sql).strip()
+    if body.startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + prelude(used) + ", " + body[len("WITH RECURSIVE ") :]
     return "WITH " + prelude(used) + (", " + body[5:] if body.startswith("WITH ") else "\n" + body)

@@ -32,7 +32,10 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+RULES = {n for n in registry.oracle_sql() if n.startswith("reqs_") and n not in ("reqs_verdicts", "reqs_lint", "reqs_scoring")}  # test_reqs.py has them
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.oracle_sql()) - RULES))
 def test_query_matches_oracle(spark, con, name):
     got = registry.queries()[name](spark, SF).toPandas()
     want = con.execute(registry.oracle_sql()[name]).df()
