@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators.search import centroids, nlist, top
 from marlstone.sources.catalog import view
-from marlstone.sources.store import collected, written
+from marlstone.sources.store import collected, state, written
 
 GATE = 0.98  # recall at 10 that a point of the calibration must reach
 OVERSAMPLES, PROBES = (4, 8, 16, 32, 64), (1, 2, 4, 8, 16, 32, 64, 128, 256)
@@ -282,6 +282,24 @@ def measure(ix: Index, k: int = 10) -> tuple[list, tuple | None]:
     return points, next(((p, o) for p, o, r in points if r >= GATE and p < size), None)
 
 
+class Built(NamedTuple):
+    index: Index
+    points: list  # nprobe, oversample, recall
+    chosen: tuple | None
+
+
+_built: dict = {}
+
+
+def built(spark, sf_dir: str) -> Built:
+    """The index of a folder's vectors with its calibration, built when it is first asked for and after they change."""
+    key, now = (spark.sparkContext.applicationId, sf_dir), state(spark, f"{sf_dir}/embeddings.parquet")
+    if key not in _built or _built[key][0] != now:
+        ix = index(spark, sf_dir)
+        _built[key] = now, Built(ix, *measure(ix))
+    return _built[key][1]
+
+
 def calibrate(spark, sf_dir: str) -> DataFrame:
     """Recall at 10 of the funnel for each number of probes, and which one is chosen; without one, search is exact."""
     points, chosen = measure(index(spark, sf_dir))
@@ -290,8 +308,7 @@ def calibrate(spark, sf_dir: str) -> DataFrame:
 
 def funnel(spark, sf_dir: str, k: int = 10) -> DataFrame:
     """Probe the nearest clusters, keep the nearest by signature, rescore exactly: as calibrated, or the exact scan."""
-    ix = index(spark, sf_dir)
-    chosen = measure(ix, k)[1]
+    ix, _, chosen = built(spark, sf_dir)
     probes, oversample = chosen or (None, 1)
     out = None
     for q in blocks(ix, EVERY, k * oversample):

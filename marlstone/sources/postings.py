@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.sources.catalog import view
-from marlstone.sources.store import collected, written
+from marlstone.sources.store import collected, state, written
 
 TERMS = 10_000  # distinct terms of one batch of queries that are looked up by value
 _built: dict = {}
@@ -33,15 +33,6 @@ class Lexical(NamedTuple):
         return terms.join(self.terms.join(terms.select("term").distinct(), "term", "left_semi").select("term", "df"), "term", "left").fillna(0, ["df"])
 
 
-def _state(spark: SparkSession, path: str) -> tuple:
-    """Files of a table with their sizes and times: a table that changed is indexed again."""
-    sc = spark.sparkContext
-    p = sc._jvm.org.apache.hadoop.fs.Path(path)
-    s = p.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(p)
-    t = p.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime()
-    return s.getFileCount(), s.getLength(), t
-
-
 def build(spark: SparkSession, sf_dir: str) -> Lexical:
     """Terms of one chunk are counted inside its row; the one exchange lays postings out by term and document, so a frequent term fills several files."""
     p = view(spark, sf_dir, "postings").repartitionByRange("term", "id").sortWithinPartitions("term", "tenant", "id", "seq")
@@ -53,7 +44,7 @@ def build(spark: SparkSession, sf_dir: str) -> Lexical:
 
 def lexical(spark: SparkSession, sf_dir: str) -> Lexical:
     """The index of the documents of a folder, built when it is first asked for and after they change."""
-    key, state = (spark.sparkContext.applicationId, sf_dir), _state(spark, f"{sf_dir}/documents.parquet")
-    if key not in _built or _built[key][0] != state:
-        _built[key] = state, build(spark, sf_dir)
+    key, now = (spark.sparkContext.applicationId, sf_dir), state(spark, f"{sf_dir}/documents.parquet")
+    if key not in _built or _built[key][0] != now:
+        _built[key] = now, build(spark, sf_dir)
     return _built[key][1]

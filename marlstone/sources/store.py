@@ -50,6 +50,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def state(spark: SparkSession, path: str) -> tuple:
+    """Files of a table with their sizes and times: what is built from a table is built again when this changes."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    s = fs.getContentSummary(p)
+    return s.getFileCount(), s.getLength(), fs.getFileStatus(p).getModificationTime()
+
+
 def collected(df: DataFrame) -> list:
     """The rows of a result whose size is bounded, without leaving shuffle files."""
     with tidy(df.sparkSession):
