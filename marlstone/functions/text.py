@@ -6,15 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Prefixes that look like ticket keys but name standards and formats.
-NOT_TICKETS = (
-    "SHA MD RSA DSA ECDSA AES DES HMAC PBKDF CRC BLAKE UTF UCS ASCII LATIN ISO CP BASE GB BIG HTTP HTTPS TLS SSL SSH FTP SMTP IMAP TCP UDP IP IPV"
-    " RFC IEEE ANSI NIST FIPS PKCS ECMA JSR PEP DIN EN CVE CWE GHSA CAPEC OWASP OAUTH SAML JWT JWE JWS OIDC LDAP ES CSS HTML XHTML SQL USB PCI ARM X H MP AV"
-).split()
+NOT_TICKETS = [
+    "SHA", "MD", "RSA", "DSA", "ECDSA", "AES", "DES", "HMAC", "PBKDF", "CRC", "BLAKE", "UTF", "UCS", "ASCII", "LATIN", "ISO", "CP", "BASE", "GB",
+    "BIG", "HTTP", "HTTPS", "TLS", "SSL", "SSH", "FTP", "SMTP", "IMAP", "TCP", "UDP", "IP", "IPV", "RFC", "IEEE", "ANSI", "NIST", "FIPS", "PKCS",
+    "ECMA", "JSR", "PEP", "DIN", "EN", "CVE", "CWE", "GHSA", "CAPEC", "OWASP", "OAUTH", "SAML", "JWT", "JWE", "JWS", "OIDC", "LDAP", "ES", "CSS",
+    "HTML", "XHTML", "SQL", "USB", "PCI", "ARM", "X", "H", "MP", "AV",
+]
 # Shapes of queries.
 TICKET = r"\b([A-Z][A-Z0-9]{1,9}-\d+)\b"
 PATH = r"\b(\S+/\S+\.\w{1,8}|\S+\.(?:java|py|go|ts|tsx|js|rb|kt|scala|sql))(?::\d+)?\b"
 QUOTED = r'"([^"]{3,})"'
 ERROR = r"\b(\w*(?:Exception|Error))\b"
+# Parameters that carry credentials.
 CREDENTIAL = r"([?&](?:token|api[-_]?key|access[-_]?token|password|secret|auth|pat|client[-_]?secret)=)[^&\s]*"
 
 

@@ -123,3 +123,12 @@ def stride(df: DataFrame, key: str, every: int) -> DataFrame:
     offsets = df.sparkSession.createDataFrame(offsets, "part int, before long")
     place = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(key))
     return parts.join(F.broadcast(offsets), "part").withColumn("place", place).where(F.col("place") % every == 0).drop("part", "before", "place")
+
+
+def lexicons(notes: DataFrame) -> DataFrame:
+    """Which of three lexicons a line of each note holds; entries may be broken by white space and in any case."""
+    from marlstone.reqs import tree
+
+    said = F.element_at(F.array(*[F.lit(x) for x in ("I  Think\tso", "it should\nbe fine", "To be  DECIDED later", "we measured it")]), (F.col("n") % 4 + 1).cast("int"))
+    outcome = F.element_at(F.array(*[F.lit(x) for x in ("An ALERT is sent", "done in 3 steps", "it looks nice")]), (F.col("n") % 3 + 1).cast("int"))
+    return notes.select("id", tree.holds(said, tree.HEDGES).alias("hedged"), tree.holds(said, tree.DEFERRALS).alias("defers"), tree.observable(outcome).alias("observable"))

@@ -110,8 +110,7 @@ plan("chunk_code", "SELECT id, a, least(a + 59, n) AS b, sha256(array_to_string(
 plan("embed_windows", """SELECT id, CAST(len(range(0, greatest(length(body) - (budget - step) - 1, 0) + 1, step)) AS INT) AS windows FROM
 (SELECT *, greatest(1, CAST(floor(budget * 0.75) AS INT)) AS step FROM (SELECT id, body, 1024 - length(substr(title || chr(10) || chr(10), 1, 512)) AS budget FROM {docs}))""")(
     lambda s, d: view(s, d, "docs").select("id", F.size(text.windows(F.col("body"), F.col("title"))).alias("windows")))
-plan("lexicon", "SELECT id, regexp_matches(lower(body), 'probably|not sure|roughly') AS hedged, regexp_matches(query, '[0-9]') AS observable FROM (SELECT d.id, d.body, x.query FROM {docs} d JOIN {notes} x ON d.id = x.id)")(
-    lambda s, d: view(s, d, "docs").join(view(s, d, "notes").select("id", "query"), "id").select("id", text.contains_any(F.col("body"), ["probably", "not sure", "roughly"]).alias("hedged"), F.col("query").rlike("[0-9]").alias("observable")))
+plan("lexicon", """SELECT id, CASE n % 4 WHEN 0 THEN true WHEN 1 THEN true ELSE false END AS hedged, n % 4 = 2 AS defers, n % 3 < 2 AS observable FROM {notes}""")(lambda s, d: S.lexicons(view(s, d, "notes")))
 plan("set_dedupe_first", "SELECT id, array_to_string(list_transform(list_filter(list_zip(t, range(1, len(t) + 1)), lambda x: list_position(t, x[1]) = x[2]), lambda x: x[1]), ' ') AS terms FROM (SELECT id, regexp_extract_all(lower(title), '[a-z0-9]+') AS t FROM {docs})")(
     lambda s, d: view(s, d, "docs").select("id", F.array_join(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("[a-z0-9]+"), F.lit(0))), " ").alias("terms")))
 plan("zip_unnest", "SELECT id, round(list_dot_product(vec::DOUBLE[], vec::DOUBLE[]), 6) AS score FROM {vectors}")(lambda s, d: view(s, d, "vectors").select("id", F.round(vector.dot(F.col("vec"), F.col("vec")), 6).alias("score")))

@@ -75,7 +75,7 @@ PLANS = {
     "vw_zero_results": "SELECT day, tenant, CAST(count(*) FILTER (WHERE result_count = 0) AS BIGINT) AS zero_calls, CAST(count(*) AS BIGINT) AS calls, round(count(*) FILTER (WHERE result_count = 0) * 1e0 / count(*), 3) AS zero_rate FROM {audit} WHERE tool = 'search_docs' GROUP BY day, tenant",
     "vw_two_phase": "SELECT tenant, round(count(*) FILTER (WHERE tool = 'get_doc') * 1e0 / nullif(count(*) FILTER (WHERE tool = 'search_docs'), 0), 3) AS fetch_rate FROM {audit} GROUP BY tenant",
     "vw_fetch_through": "SELECT tenant, round(count(*) FILTER (WHERE tool = 'get_doc') * 1e0 / nullif(sum(CASE WHEN tool = 'search_docs' THEN result_count END), 0), 4) AS fetch_through FROM {audit} GROUP BY tenant",
-    "vw_tool_latency": "SELECT day, tool, CAST(round(percentile_cont(0.5) WITHIN GROUP (ORDER BY duration_ms)) AS BIGINT) AS p50, CAST(round(percentile_cont(0.99) WITHIN GROUP (ORDER BY duration_ms)) AS BIGINT) AS p99 FROM {audit} GROUP BY day, tool",
+    "vw_tool_latency": "SELECT day, tool, CAST(round(percentile_cont(0.5) WITHIN GROUP (ORDER BY duration_ms)) AS BIGINT) AS p50, CAST(round(percentile_cont(0.95) WITHIN GROUP (ORDER BY duration_ms)) AS BIGINT) AS p95, CAST(round(percentile_cont(0.99) WITHIN GROUP (ORDER BY duration_ms)) AS BIGINT) AS p99 FROM {audit} GROUP BY day, tool",
     "vw_arm_mix": "SELECT route, executor, CAST(count(*) AS BIGINT) AS calls FROM {audit} GROUP BY route, executor",
     "vw_llm_calls": "SELECT day, provider, model, caller, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(count(*) FILTER (WHERE NOT ok) AS BIGINT) AS failures, round(avg(latency_ms), 4) AS latency FROM {spend} GROUP BY day, provider, model, caller",
     "vw_cost_per_run": "SELECT day, caller, CAST(count(*) AS BIGINT) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens FROM {spend} GROUP BY day, caller",
@@ -133,6 +133,7 @@ PLANS = {
     "src_elk_logs": "SELECT a.id, a.query, a.ts FROM {audit} a JOIN (SELECT max(ts) AS last FROM {audit}) m ON true WHERE a.ts >= m.last - INTERVAL '60' MINUTE AND NOT a.ok ORDER BY a.ts DESC, a.id LIMIT 50",
     "coverage": """SELECT family, CASE min(state) WHEN 0 THEN 'never_synced' WHEN 1 THEN 'failing' WHEN 2 THEN 'stale' ELSE 'current' END AS state, CAST(sum(item_failures) AS BIGINT) AS item_failures, min(state) = 3 AND sum(item_failures) = 0 AS complete
   FROM (SELECT substr(source, 1, instr(source, ':') - 1) AS family, item_failures, CASE WHEN age_hours IS NULL THEN 0 WHEN consecutive_failures > 0 THEN 1 WHEN age_hours > 24 THEN 2 ELSE 3 END AS state FROM {cursors}) x GROUP BY family""",
+    "win_dense_history": "SELECT id, principal, duration_ms, duration_ms - lag(duration_ms) OVER (PARTITION BY tenant, principal ORDER BY ts, id) AS change FROM {audit}",
     # evaluation
     "ir_recall": "SELECT j.run, j.query_id, round(j.hits * 1e0 / r.relevant, 6) AS recall FROM (SELECT r.run, r.query_id, count(q.doc_id) AS hits FROM {ranked} r LEFT JOIN {qrels} q ON r.query_id = q.query_id AND r.doc_id = q.doc_id AND q.grade > 0 WHERE r.rank <= 10 GROUP BY r.run, r.query_id) j JOIN (SELECT query_id, count(*) AS relevant FROM {qrels} WHERE grade > 0 GROUP BY query_id) r ON j.query_id = r.query_id",
     "ir_precision": "SELECT r.run, r.query_id, round(count(q.doc_id) * 1e0 / count(*), 6) AS prec FROM {ranked} r LEFT JOIN {qrels} q ON r.query_id = q.query_id AND r.doc_id = q.doc_id AND q.grade > 0 WHERE r.rank <= 10 GROUP BY r.run, r.query_id",

@@ -83,6 +83,12 @@ SELECT 'doc:' || CAST(doc_id AS STRING) AS id, doc_id AS n,
 FROM documents
 """
 
+FILES = """
+SELECT 'code:r' || CAST(doc_id % 3 AS STRING) || ':src/f' || CAST(doc_id AS STRING) || '.ts' AS id, doc_id AS n, 'r' || CAST(doc_id % 3 AS STRING) AS repo, 'src/f' || CAST(doc_id AS STRING) || '.ts' AS path,
+  'import ' || chr(123) || ' x ' || chr(125) || ' from "./f' || CAST(doc_id + 1 AS STRING) || '"' || chr(10) || 'export class C' || CAST(doc_id AS STRING) || ' ' || chr(123) || chr(125) || chr(10) || 'const v' || CAST(doc_id AS STRING) || ' = "lit ' || CAST(doc_id AS STRING) || '"' AS body
+FROM documents
+"""
+
 _CHUNKS = """
 SELECT tenant, id, CAST(row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS INT) AS seq, text, CAST(len AS INT) AS len FROM (
   SELECT tenant, id, i, parts[i] AS text, len(regexp_extract_all(lower(parts[i]), '[a-z0-9]+')) AS len
@@ -144,6 +150,7 @@ VIEWS = {
     "ranked": (_sql(RANKED, "documents"), RANKED),
     "spend": (_sql(SPEND, "orders"), SPEND),
     "notes": (_sql(NOTES, "documents"), NOTES),
+    "files": (_sql(FILES, "documents"), FILES),
     "blobs": (_sql(BLOBS, "documents"), BLOBS.replace("{sha}", "sha256")),
 }
 NEEDS = {"chunks": ["docs"], "postings": ["docs", "chunks"]}
