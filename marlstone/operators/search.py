@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions import ranking, vector
+from marlstone.functions import headline, markdown, ranking, vector
+from marlstone.sources.catalog import terms as terms_of
 from marlstone.sources.catalog import view
 from marlstone.sources.postings import Lexical, lexical
 from marlstone.sources.store import collected, written
@@ -72,6 +73,34 @@ def search_docs(spark, sf_dir: str, limit: int = 8) -> DataFrame:
     return fuse(lexical_arms(matches(hits), docs, limit), docs, limit)
 
 
+def answer(spark, sf_dir: str, query: str, docs: DataFrame, limit: int = 8) -> DataFrame:
+    """id, title, score, position, snippet, truncated and verified of a web-style query over the documents given.
+
+    All terms must be there for the strict arm; phrases and excluded words are tested on the chunks that match. Headlines are
+    made for what is shown alone. An answer whose best chunk is not found in its document's text is withheld.
+    """
+    words, phrases, negated = markdown.parse_query(query)
+    asked = list(dict.fromkeys([*words, *(w for p in phrases for w in p)]))
+    if not asked:
+        return spark.createDataFrame([], "id string, title string, score double, position int, snippet string, truncated boolean, verified boolean")
+    hits = lexical(spark, sf_dir).of(query_terms(spark, [("q", asked)])).join(docs.select("tenant", "id"), ["tenant", "id"], "left_semi")
+    m = matches(hits)
+    chunks = view(spark, sf_dir, "chunks").select("tenant", "id", "seq", "text").join(docs.select("tenant", "id"), ["tenant", "id"], "left_semi")
+    if phrases or negated:
+        folded = F.concat(F.lit(" "), F.array_join(terms_of(F.col("text")), " "), F.lit(" "))
+        ok = F.lit(True)
+        for p in phrases:
+            ok = ok & folded.contains(f" {' '.join(p)} ")
+        for w in negated:
+            ok = ok & ~folded.contains(f" {w} ")
+        m = m.join(chunks.where(ok).select("tenant", "id", "seq"), ["tenant", "id", "seq"], "left_semi")
+    best = m.groupBy("id").agg(F.min_by("seq", F.struct((~F.col("strict")).alias("loose"), (-F.col("rank")).alias("low"), "seq")).alias("seq"))
+    top = fuse(lexical_arms(m, docs, limit), docs, limit)
+    shown = top.join(best, "id").join(chunks, ["id", "seq"]).join(docs.select("id", "title", "body"), "id")
+    shown = shown.withColumn("h", headline.headline(F.array(*[F.lit(w) for w in asked]), F.col("text")))
+    return shown.select("id", "title", "score", "position", "h.snippet", "h.truncated", F.contains("body", "text").alias("verified")).where("verified")
+
+
 def phrase(spark, sf_dir: str, first: str = "of", second: str = "the") -> DataFrame:
     """Chunks where ``second`` follows ``first``: neighbours in the chunk's own term array, without positions on disk."""
     from marlstone.sources.catalog import terms

@@ -136,5 +136,7 @@ def win_budget(s, d, most: int = 16_000):
 
 plan("sample_random")(lambda s, d: view(s, d, "docs").select("id").orderBy(F.rand(42)).limit(20))
 plan("stream_tumbling", "SELECT date_trunc('hour', ts) AS start, CAST(count(*) AS BIGINT) AS calls, CAST(count(*) FILTER (WHERE result_count = 0) AS BIGINT) AS zero_calls FROM {audit} GROUP BY 1")(stream.tumbling)
+plan("stream_sliding", "SELECT time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE * k AS start, time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE * k + INTERVAL 1 HOUR AS \"end\", CAST(count(*) AS BIGINT) AS calls, round(sum(value), 4) AS total FROM (SELECT CAST(ts AS TIMESTAMP) AS ts, value FROM events) e, (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2")(lambda s, d: stream.windows(s, d, "sliding"))
+plan("stream_sessions", "WITH g AS (SELECT user_id, CAST(ts AS TIMESTAMP) AS ts, value, CASE WHEN ts < lag(ts) OVER w + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), k AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS \"end\", CAST(count(*) AS BIGINT) AS calls, round(sum(value), 4) AS total FROM k GROUP BY user_id, k")(lambda s, d: stream.windows(s, d, "sessions"))
 plan("stream_upsert")(stream.upsert)
 O["stream_upsert"] = "SELECT 'doc:' || CAST(doc_id AS VARCHAR) AS id, 1 AS revision FROM documents"

@@ -167,6 +167,8 @@ def query(sql: str):
 def oracle(sql: str) -> str:
     used = names_in(sql)
     body = re.sub(r"\{(\w+)\}", r"\1", sql).strip()
+    if not used:
+        return body
     if body.startswith("WITH RECURSIVE "):
         return "WITH RECURSIVE " + prelude(used) + ", " + body[len("WITH RECURSIVE ") :]
     return "WITH " + prelude(used) + (", " + body[5:] if body.startswith("WITH ") else "\n" + body)
