@@ -161,3 +161,10 @@ def lexicons(notes: DataFrame) -> DataFrame:
     said = F.element_at(F.array(*[F.lit(x) for x in ("I  Think\tso", "it should\nbe fine", "To be  DECIDED later", "we measured it")]), (F.col("n") % 4 + 1).cast("int"))
     outcome = F.element_at(F.array(*[F.lit(x) for x in ("An ALERT is sent", "done in 3 steps", "it looks nice")]), (F.col("n") % 3 + 1).cast("int"))
     return notes.select("id", tree.holds(said, tree.HEDGES).alias("hedged"), tree.holds(said, tree.DEFERRALS).alias("defers"), tree.observable(outcome).alias("observable"))
+
+
+def signatures(spark, sf_dir: str) -> DataFrame:
+    """The signature of each vector, bit by bit."""
+    v = view(spark, sf_dir, "vectors").withColumn("s", vector.signature(F.col("vec")))
+    bit = lambda i: F.call_function("getbit", F.get("s", F.floor(i / 64).cast("int")), (i % 64).cast("int")).cast("string")
+    return v.select("id", F.array_join(F.transform(F.sequence(F.lit(0), F.size("vec") - 1), bit), "").alias("bits"))

@@ -76,8 +76,7 @@ plan("topk_vec_docs", f"SELECT query_id, id, score FROM (SELECT query_id, id, ro
 plan("topk_hamming", f"SELECT query_id, id, distance FROM (SELECT query_id, id, CAST(h AS INT) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY h, id) AS rn FROM {PAIRS}) WHERE rn <= 40")(lambda s, d: ivf.scan(s, d, 40, by_signature=True).drop("score"))
 plan("vec_hamming", f"SELECT query_id, id, CAST(h AS INT) AS distance FROM {PAIRS}")(
     lambda s, d: ivf.measured(s, d).select("query_id", "id", "distance"))
-plan("vec_signature", "SELECT id, CAST(list_sum(list_transform(vec, lambda x: CASE WHEN x >= 0 THEN 1 ELSE 0 END)) AS INT) AS bits FROM {vectors}")(
-    lambda s, d: view(s, d, "vectors").select("id", F.aggregate(F.transform(vector.signature(F.col("vec")), F.bit_count), F.lit(0), lambda a, x: a + x).alias("bits")))
+plan("vec_signature", "SELECT id, array_to_string(list_transform(vec, lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), '') AS bits FROM {vectors}")(S.signatures)
 plan("vec_funnel")(ivf.funnel)
 CENTROIDS = "(SELECT cluster_id, pos, x / sqrt(sum(x * x) OVER (PARTITION BY cluster_id)) AS x FROM (SELECT cluster_id, pos, avg(x::DOUBLE) AS x FROM (SELECT cluster_id, unnest(range(0, len(vec))) AS pos, unnest(vec) AS x FROM {vectors}) GROUP BY cluster_id, pos))"
 plan("agg_centroid", f"SELECT cluster_id, CAST(pos AS INT) AS pos, round(x, 6) AS x FROM {CENTROIDS}")(

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import htmlmd, markdown, notes, paths
-from marlstone.operators import code, embed
+from marlstone.operators import code, embed, maintain
 from marlstone.plans.portable import oracle
 from marlstone.sources import rules
 from marlstone.sources.catalog import view
@@ -112,6 +112,30 @@ def backfill_vectors(s, d):
     return embed.backfill(c, have, model).groupBy("id", "seq").agg(F.count(F.lit(1)).cast("int").alias("windows"))
 
 
+# maintenance
+def _live(s, d):
+    return view(s, d, "docs").where("source = 'confluence' AND NOT tombstoned").select("tenant", "id", "n")
+
+
+@plan("reconcile", "SELECT id FROM {docs} WHERE source = 'confluence' AND NOT tombstoned AND n % 9 = 2")
+def reconcile(s, d):
+    """The listing has eight of nine documents that are live, and some that never were."""
+    listed = _live(s, d).where("n % 9 <> 2").unionByName(_live(s, d).withColumn("id", F.concat(F.lit("new:"), "id")))
+    return maintain.reconcile(_live(s, d), listed)[1].select("id")
+
+
+@plan("reconcile_subtree", "SELECT id FROM {docs} WHERE source = 'confluence' AND NOT tombstoned AND id LIKE 'doc:1%' AND n % 4 = 3")
+def reconcile_subtree(s, d):
+    return maintain.reconcile(_live(s, d), _live(s, d).where("n % 4 <> 3"), prefix="doc:1")[1].select("id")
+
+
+@plan("reconcile_verdicts", "SELECT * FROM (VALUES ('all there', 'retired'), ('broken off', 'incomplete'), ('nearly empty', 'refused')) AS t(listing, verdict)")
+def reconcile_verdicts(s, d):
+    few = _live(s, d).where("n % 9 = 2")
+    rows = [("all there", _live(s, d), True), ("broken off", few, False), ("nearly empty", few, True)]
+    return s.createDataFrame([(name, maintain.reconcile(_live(s, d), listed, complete)[0]) for name, listed, complete in rows], "listing string, verdict string")
+
+
 # evaluation
 @plan("run_eval", """WITH j AS (SELECT r.run, r.query_id, r.rank, coalesce(q.grade, 0) AS grade FROM {ranked} r LEFT JOIN {qrels} q ON r.query_id = q.query_id AND r.doc_id = q.doc_id WHERE r.rank <= 50),
 i AS (SELECT query_id, sum(CASE WHEN rn <= 10 THEN grade / log2(rn + 1) ELSE 0 END) AS ideal, count(*) FILTER (WHERE grade > 0) AS relevant FROM (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS rn FROM {qrels}) GROUP BY query_id),

@@ -16,7 +16,7 @@ PLANS = {
     "superseded_filter": f"SELECT id, superseded FROM {{docs}} d WHERE {VISIBLE}",
     "source_filter": "SELECT source, CAST(count(*) AS BIGINT) AS docs FROM {docs} WHERE source IN ('code', 'jira') GROUP BY source",
     "source_filter_empty": "SELECT id FROM {docs} WHERE source IN (SELECT source FROM {docs} WHERE false)",
-    "evidence_verified": "SELECT c.id, c.seq, coalesce(instr(d.body, c.text) > 0, false) AS verified FROM {chunks} c JOIN {docs} d ON c.tenant = d.tenant AND c.id = d.id",
+    "evidence_verified": "SELECT c.id, c.seq, coalesce(instr(d.body, CASE WHEN c.seq % 7 = 3 THEN c.text || ' (not in the text)' ELSE c.text END) > 0, false) AS verified FROM {chunks} c JOIN {docs} d ON c.tenant = d.tenant AND c.id = d.id",
     "model_match_filter": "SELECT id, cluster_id FROM {vectors} WHERE CASE WHEN n % 2 = 0 THEN 'm1' ELSE 'm2' END = 'm1'",
     "cluster_filter": "SELECT id FROM {vectors} WHERE cluster_id IN (1, 3, 5)",
     "code_filter": "SELECT id, title FROM {docs} WHERE source = 'code' AND acl_group = 'g1' AND tenant = 'other'",
@@ -33,7 +33,7 @@ PLANS = {
     "join_lexeme_left": "SELECT q.term, CAST(coalesce(s.df, 0) AS BIGINT) AS df FROM (SELECT 'the' AS term UNION ALL SELECT 'de' UNION ALL SELECT 'nosuchterm') q LEFT JOIN (SELECT term, count(*) AS df FROM {postings} GROUP BY term) s ON q.term = s.term",
     "semi_exists": "SELECT id FROM {docs} d WHERE EXISTS (SELECT 1 FROM {links} l WHERE l.tenant = d.tenant AND l.src_id = d.id AND l.rel = 'parent')",
     "anti_unembedded": "SELECT c.id, c.seq FROM {chunks} c WHERE NOT EXISTS (SELECT 1 FROM {vectors} v WHERE v.id = c.id)",
-    "anti_unchunked": "SELECT d.id FROM {docs} d WHERE NOT EXISTS (SELECT 1 FROM {chunks} c WHERE c.tenant = d.tenant AND c.id = d.id)",
+    "anti_unchunked": "SELECT d.id FROM {docs} d WHERE NOT EXISTS (SELECT 1 FROM (SELECT * FROM {chunks} WHERE len > 3) c WHERE c.tenant = d.tenant AND c.id = d.id AND d.n % 50 <> 7)",
     "anti_dangling": "SELECT l.src_id, l.dst_id, l.rel FROM {links} l WHERE NOT EXISTS (SELECT 1 FROM {docs} d WHERE d.tenant = l.tenant AND d.id = l.dst_id)",
     "anti_orphan_blob": "SELECT DISTINCT b.tenant, b.digest FROM {blobs} b WHERE NOT EXISTS (SELECT 1 FROM {blobs} v WHERE v.tenant = b.tenant AND v.digest = b.digest AND NOT v.expired)",
     "anti_listing": "SELECT d.id FROM {docs} d WHERE d.source = 'jira' AND NOT d.tombstoned AND NOT EXISTS (SELECT 1 FROM {docs} x WHERE x.tenant = d.tenant AND x.id = d.id AND x.n % 4 <> 1)",
@@ -103,10 +103,7 @@ PLANS = {
     "replace_links": "SELECT tenant, src_id, dst_id, rel FROM {links} WHERE src_id <> 'doc:12' UNION SELECT 'default', 'doc:12', 'doc:13', 'references'",
     "cursor_advance": "SELECT tenant, coalesce(min(CASE WHEN item_failures > 3 THEN age_hours END), max(CASE WHEN item_failures <= 3 THEN age_hours END)) AS target FROM {cursors} GROUP BY tenant",
     "cursor_health": "SELECT tenant, source, CASE WHEN item_failures = 0 THEN 0 ELSE consecutive_failures + 1 END AS consecutive_failures FROM {cursors}",
-    "reconcile": """SELECT d.id FROM {docs} d CROSS JOIN (SELECT count(*) AS live, count(*) FILTER (WHERE n % 9 <> 2) AS listed FROM {docs} WHERE source = 'confluence' AND NOT tombstoned) s
-  WHERE d.source = 'confluence' AND NOT d.tombstoned AND d.n % 9 = 2 AND s.listed >= s.live * 0.5""",
     "reconcile_refused": "SELECT d.id FROM {docs} d CROSS JOIN (SELECT count(*) AS live, count(*) FILTER (WHERE n % 9 = 2) AS listed FROM {docs} WHERE source = 'confluence' AND NOT tombstoned) s WHERE d.source = 'confluence' AND NOT d.tombstoned AND d.n % 9 <> 2 AND s.listed >= s.live * 0.5",
-    "reconcile_subtree": "SELECT id FROM {docs} WHERE id LIKE 'doc:1%' AND n % 4 = 3 AND NOT tombstoned",
     "quarantine_clear": "SELECT id, quarantined AND n % 38 <> 0 AS quarantined FROM {docs} WHERE quarantined",
     "purge_expired": """SELECT 'documents' AS what, CAST(count(*) AS BIGINT) AS n FROM {docs} WHERE tombstoned AND age_days > 7
   UNION ALL SELECT 'versions', count(*) FROM {blobs} WHERE expired
@@ -120,7 +117,7 @@ PLANS = {
     "claim_step": """SELECT id, CASE WHEN result_count = 4 AND duration_ms > 500 THEN 'dead_letter' WHEN result_count < 3 OR duration_ms > 500 THEN 'claimed' ELSE 'pending' END AS status,
   CASE WHEN result_count < 3 OR (duration_ms > 500 AND result_count < 4) THEN result_count + 1 ELSE result_count END AS attempts FROM {audit}""",
     # answers
-    "withhold_unverified": "SELECT d.id, CAST(count(*) FILTER (WHERE instr(d.body, c.text) > 0) AS BIGINT) AS kept, CAST(count(*) FILTER (WHERE NOT instr(d.body, c.text) > 0) AS BIGINT) AS withheld FROM {chunks} c JOIN {docs} d ON c.tenant = d.tenant AND c.id = d.id GROUP BY d.id",
+    "withhold_unverified": "SELECT d.id, CAST(count(*) FILTER (WHERE instr(d.body, CASE WHEN c.seq % 7 = 3 THEN c.text || ' (not in the text)' ELSE c.text END) > 0) AS BIGINT) AS kept, CAST(count(*) FILTER (WHERE NOT instr(d.body, CASE WHEN c.seq % 7 = 3 THEN c.text || ' (not in the text)' ELSE c.text END) > 0) AS BIGINT) AS withheld FROM {chunks} c JOIN {docs} d ON c.tenant = d.tenant AND c.id = d.id GROUP BY d.id",
     "evidence_bounds": "SELECT source, CASE WHEN count(age_days) = count(*) THEN max(age_days) END AS oldest, min(age_days) AS newest FROM {docs} GROUP BY source",
     "corpus_current_to": "SELECT tenant, CASE WHEN count(*) > 0 AND count(age_hours) = count(*) THEN max(age_hours) END AS hours FROM {cursors} GROUP BY tenant",
     "get_doc": f"SELECT d.id, d.title, substr(d.body, 1, 8000) AS page, CAST(greatest(1, ceil(length(d.body) / 8000.0)) AS BIGINT) AS pages FROM {{docs}} d WHERE d.id = 'doc:12' AND {VISIBLE} AND NOT d.superseded",
