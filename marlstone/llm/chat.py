@@ -10,9 +10,11 @@ Escape of bodies: ``<~*|`` gets one more ``~`` before the bar, so no body ever
 holds ``<|``. Roles: ``~``, LF and ``<`` become ``~0``, ``~1`` and ``~2``.
 
 Defined cases: null text or role counts as empty; a null conversation id is a
-conversation of its own; turns that tie are ordered by role, then text; an
-empty table gives an empty result; other columns are ignored. All turns of a
-conversation meet in one row, because its rendered text is one value.
+conversation of its own; turns that tie are ordered by role, then text, and
+rows that repeat are turns of their own; an empty table gives an empty result;
+other columns are ignored, whatever their names. All turns of a conversation
+meet in one row, because its rendered text is one value: a text may be as long
+as a value may be.
 """
 
 from __future__ import annotations

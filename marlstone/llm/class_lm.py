@@ -23,8 +23,11 @@ Counts of the ``SCORED`` most frequent words are broadcast (bounded); a text's
 other words meet their counts in a join.
 
 Defined cases: null text is an empty one (just the end); a null doc_id counts
-as remainder 0; repeated rows are scored alike; without training texts every
-token has the probability that smoothing alone gives; other columns are ignored.
+as remainder 0; repeated rows are scored alike, and each trains; words that tie
+in frequency stand in the order of their hashes; a text of any length is scored
+whole; without training texts every token has the probability that smoothing
+alone gives; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations

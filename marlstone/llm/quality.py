@@ -9,8 +9,10 @@ widened by ``FENCE`` times their distance; sources with fewer than
 fewer the whole corpus's. The thresholds are joined back and applied.
 
 Defined cases: null text has no words and fails the base rules; null language
-or source is a group of its own; empty tables give empty results; repeated
-rows are judged alike; other columns are left alone.
+or source is a group of its own; texts of any length are measured whole, by
+arrays of their words; values that tie share a bucket; empty tables give empty
+results; repeated rows are judged alike; other columns are left alone,
+whatever their names.
 """
 
 from __future__ import annotations
