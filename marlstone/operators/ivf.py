@@ -332,6 +332,23 @@ def scan(spark, sf_dir: str, k: int, by_signature: bool = False) -> DataFrame:
     return spark.createDataFrame([], "query_id string, id string, score double, distance int") if out is None else out
 
 
+def nearest(v: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score and rank0 of the ``k`` rows of ``v`` (id, n, vec) with the highest score for each query (query_id, vec), a block of queries at a time."""
+    ix = Index(v.select("id", "n", "vec", F.lit(0).alias("cluster_id")), np.zeros((1, 1)))
+    size, out = max(1, CELLS // 4 // k), None
+    total = collected(queries.agg(F.count(F.lit(1)).alias("n")))[0]["n"]
+    parts = -(-total // size)
+    for part in range(parts):
+        rows = collected(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).select("query_id", "vec"))
+        if rows:
+            found = best(ix, Queries([r["query_id"] for r in rows], np.array([r["vec"] for r in rows], np.float64)), k)
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        return v.sparkSession.createDataFrame([], "query_id string, id string, score double, rank0 int")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return out.select("query_id", "id", "score", (F.row_number().over(order) - 1).alias("rank0"))
+
+
 def measured(spark, sf_dir: str) -> DataFrame:
     """query_id, id, cosine and distance of every EVERY-th vector with all rows, a block of queries at a time."""
     ix, out = all_rows(spark, sf_dir), None

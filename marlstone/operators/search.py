@@ -73,6 +73,24 @@ def search_docs(spark, sf_dir: str, limit: int = 8) -> DataFrame:
     return fuse(lexical_arms(matches(hits), docs, limit), docs, limit)
 
 
+def search_hybrid(spark, sf_dir: str, vectors: DataFrame | None = None, limit: int = 8) -> DataFrame:
+    """As search_docs, with one arm more: the visible documents whose vectors are nearest to each query's.
+
+    ``vectors``: query_id, vec; the sample queries take the first vectors. A query without one has its lexical arms alone.
+    """
+    from marlstone.operators import ivf
+
+    docs = visible(view(spark, sf_dir, "docs"))
+    v = view(spark, sf_dir, "vectors")
+    if vectors is None:
+        sample = spark.createDataFrame([(q, n) for n, (q, _) in enumerate(QUERIES)], "query_id string, n long")
+        vectors = v.select("n", "vec").join(F.broadcast(sample), "n").select("query_id", "vec")
+    hits = lexical(spark, sf_dir).of(query_terms(spark)).join(docs.select("tenant", "id"), ["tenant", "id"], "left_semi")
+    arms = lexical_arms(matches(hits), docs, limit)
+    near = ivf.nearest(v.join(docs.select("id"), "id", "left_semi"), vectors, 3 * limit)
+    return fuse(arms.unionByName(near.select("query_id", "id", F.lit("vec").alias("arm"), "rank0")), docs, limit)
+
+
 def answer(spark, sf_dir: str, query: str, docs: DataFrame, limit: int = 8) -> DataFrame:
     """id, title, score, position, snippet, truncated and verified of a web-style query over the documents given.
 

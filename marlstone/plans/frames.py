@@ -30,14 +30,19 @@ TERMS = "(SELECT 'q1' AS query_id, 'the' AS term, 3 AS n_terms UNION ALL SELECT
 MODIFIER = "(CASE quality_tier WHEN 'curated' THEN 1.15e0 WHEN 'generated' THEN 0.9e0 WHEN 'raw' THEN 0.8e0 ELSE 1e0 END * coalesce(0.6e0 + 0.4e0 * power(2e0, -age_days / CASE WHEN quality_tier = 'curated' THEN 365e0 ELSE 180e0 END), 0.6e0))"
 MATCH = f"SELECT t.query_id, p.tenant, p.id, p.seq, sum(p.tf) / (1 + ln(min(p.len))) AS rank, count(*) = t.n_terms AS strict FROM {{postings}} p JOIN {TERMS} t ON p.term = t.term"
 
-plan("search_docs", f"""WITH v AS (SELECT * FROM {{docs}} d WHERE {VISIBLE} AND NOT d.superseded), m AS ({MATCH} JOIN v ON v.tenant = p.tenant AND v.id = p.id GROUP BY t.query_id, p.tenant, p.id, p.seq, t.n_terms),
+SEARCH = f"""WITH v AS (SELECT * FROM {{docs}} d WHERE {VISIBLE} AND NOT d.superseded), m AS ({MATCH} JOIN v ON v.tenant = p.tenant AND v.id = p.id GROUP BY t.query_id, p.tenant, p.id, p.seq, t.n_terms),
 b AS (SELECT m.*, v.source = 'code' AS code, row_number() OVER (PARTITION BY query_id, m.id ORDER BY strict DESC, rank DESC, seq) AS b FROM m JOIN v ON m.id = v.id),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id, code, strict ORDER BY rank DESC, id) AS k FROM b WHERE b = 1),
 a AS (SELECT query_id, id, rank, CASE WHEN code THEN 'fts_code_loose' ELSE 'fts_prose_loose' END AS arm FROM k WHERE k <= 24 UNION ALL SELECT query_id, id, rank, CASE WHEN code THEN 'fts_code' ELSE 'fts_prose' END FROM k WHERE k <= 24 AND strict),
 r AS (SELECT query_id, id, CASE WHEN arm LIKE 'fts_code%' THEN 0.6e0 ELSE 1e0 END / (60 + row_number() OVER (PARTITION BY query_id, arm ORDER BY rank DESC, id)) AS w FROM a),
 f AS (SELECT query_id, id, sum(w) AS fused FROM r GROUP BY query_id, id),
 s AS (SELECT query_id, f.id, round(fused * {MODIFIER}, 6) AS score FROM f JOIN v ON f.id = v.id)
-SELECT * FROM (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS position FROM s) WHERE position <= 8""")(S.search_docs)
+SELECT * FROM (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS position FROM s) WHERE position <= 8"""
+plan("search_docs", SEARCH)(S.search_docs)
+VEC = """n AS (SELECT query_id, id, 1e0 / (60 + rn) AS w FROM (SELECT q.query_id, x.id, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_dot_product(x.vec::DOUBLE[], q.vec::DOUBLE[]), 6) DESC, x.id) AS rn
+FROM {vectors} x JOIN v ON x.id = v.id CROSS JOIN (SELECT 'q' || CAST(n + 1 AS VARCHAR) AS query_id, vec FROM {vectors} WHERE n < 3) q) WHERE rn <= 24),
+f AS (SELECT query_id, id, sum(w) AS fused FROM (SELECT * FROM r UNION ALL SELECT * FROM n) GROUP BY query_id, id),"""
+plan("search_hybrid", SEARCH.replace("f AS (SELECT query_id, id, sum(w) AS fused FROM r GROUP BY query_id, id),", VEC))(S.search_hybrid)
 
 plan("lex_strict", f"SELECT query_id, id, seq FROM ({MATCH} GROUP BY t.query_id, p.tenant, p.id, p.seq, t.n_terms) WHERE strict")(
     lambda s, d: S.matches(lexical(s, d).of(S.query_terms(s))).where("strict").select("query_id", "id", "seq"))
