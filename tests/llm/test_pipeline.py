@@ -59,3 +59,12 @@ def test_odd_tables(spark, rows):
         one = stage(spark, docs, SF)
         one.collect()
         assert name == "mix" or one.columns == docs.columns
+
+
+def test_a_stage_called_again_leaves_its_first_result(spark):
+    import corpus_pipeline as P
+
+    docs = spark.createDataFrame([(k, f"some words of text number {k} " * 20, "en", "s", 9) for k in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in P.STAGES:
+        one, two = stage(spark, docs, SF), stage(spark, docs, SF)
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
