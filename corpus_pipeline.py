@@ -22,18 +22,23 @@ from pyspark.sql import DataFrame
 from marlstone.llm import decontam, jaccard, line_dedup, mixing, quality
 from marlstone.llm._shared import drop_paths, live, table, written
 
-_last: list = []
+_last: dict = {"stage": None, "tables": []}
 
 
 def _stage(f):
-    """The stage, without the tables that the last stage worked on: that stage's result stands in a table of its own by now."""
+    """The stage, without the tables that the stage before it worked on: that one's result stands in a table of its own by now.
+
+    The same stage called again drops nothing, so that its results can be held against each other.
+    """
 
     @functools.wraps(f)
     def run(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_paths(_last)
+        if _last["stage"] != f.__name__:
+            drop_paths(_last["tables"])
+            _last.update(stage=f.__name__, tables=[])
         before = live()
         out = f(spark, docs, sf_dir)
-        _last[:] = [t for t in live() if t not in before]
+        _last["tables"] += [t for t in live() if t not in before]
         return out
 
     return run
