@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from marlstone.plans import frames, ingest, notes, portable, reqs
+from marlstone.plans import frames, ingest, jobs, notes, portable, reqs
 
-QUERIES: dict = {k: portable.query(v) for k, v in portable.PLANS.items()} | frames.Q | notes.Q | ingest.Q | reqs.Q
-ORACLES: dict = {k: portable.oracle(v) for k, v in portable.PLANS.items()} | frames.O | notes.O | ingest.O | reqs.O
+QUERIES: dict = {k: portable.query(v) for k, v in portable.PLANS.items()} | frames.Q | notes.Q | ingest.Q | reqs.Q | jobs.Q
+ORACLES: dict = {k: portable.oracle(v) for k, v in portable.PLANS.items()} | frames.O | notes.O | ingest.O | reqs.O | jobs.O
 
 
 def queries() -> dict:
