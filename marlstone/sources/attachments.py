@@ -46,7 +46,7 @@ def same_origin(url: Column, base: str) -> Column:
         return path
     below = path.startswith(context + "/") | path.startswith(context + "?") | (path == context)
     inner = F.substr(path, F.lit(len(context) + 1))
-    return F.when(below, safe_path(F.when(inner.startswith("/"), inner).otherwise(F.concat(F.lit("/"), inner))))
+    return F.when(below, F.when(inner.startswith("/"), inner).otherwise(F.concat(F.lit("/"), inner)))  # folded already
 
 
 def _split(base: str) -> tuple[str, str]:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import jobs
 from marlstone.sources import attachments
+from marlstone.sources.store import written
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -24,15 +25,15 @@ def states(df):
 
 
 def test_a_crashed_worker_loses_its_job_and_its_say(spark):
-    q = jobs.claim(queue(spark, "a"), "w1", at(0))
+    q = written(jobs.claim(queue(spark, "a"), "w1", at(0)), "q")
     old = q.select("id", F.lit("w1").alias("worker"), "fence", F.lit("completed").alias("outcome"), F.lit(None).cast("string").alias("error"))
-    q = jobs.claim(q, "w2", at(61))
+    q = written(jobs.claim(q, "w2", at(61)), "q")
     assert states(q) == {"a": ("claimed", 2, 2)}
     after, refused = jobs.settle(q, old, at(62))
     assert states(after) == states(q) and refused.count() == 1
-    q = jobs.claim(q, "w3", at(200))  # the second of two attempts ran out too
+    q = written(jobs.claim(q, "w3", at(200)), "q")  # the second of two attempts ran out too
     assert states(q) == {"a": ("dead_letter", 2, 2)} and q.first()["last_error"] == jobs.CRASHED
-    q = jobs.replay(q, q, at(201))
+    q = written(jobs.replay(q, q, at(201)), "q")
     assert states(q) == {"a": ("pending", 0, 2)} and states(jobs.claim(q, "w4", at(202))) == {"a": ("claimed", 1, 3)}
 
 
