@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import chat, class_lm, decontam, html_text, jaccard, line_dedup, mixing, quality, repeats, token_counts
+from marlstone.llm import chat, class_lm, decontam, exact, html_text, jaccard, line_dedup, mixing, quality, repeats, token_counts
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_decontaminate": decontam.op9_decontaminate,
         "op10_token_counts": token_counts.op10_token_counts,
+        "op11_exact_dedup": exact.op11_exact_dedup,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_chat_format": chat.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op7_quality_rules": quality.ORACLE, "op9_decontaminate": decontam.ORACLE}
+    return {"op1_chat_format": chat.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op7_quality_rules": quality.ORACLE, "op9_decontaminate": decontam.ORACLE, "op11_exact_dedup": exact.ORACLE}
