@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import chat, class_lm, decontam, exact, html_text, jaccard, line_dedup, mixing, quality, repeats, runs, token_counts
+from marlstone.llm import chat, class_lm, decontam, exact, histogram, html_text, jaccard, line_dedup, mixing, quality, repeats, runs, token_counts
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_decontaminate": decontam.op9_decontaminate,
         "op10_token_counts": token_counts.op10_token_counts,
         "op11_exact_dedup": exact.op11_exact_dedup,
+        "op12_quantile_histogram": histogram.op12_quantile_histogram,
         "op13_word_runs": runs.op13_word_runs,
     }
 
