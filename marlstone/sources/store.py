@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _written: list = []
+_scopes: contextvars.ContextVar = contextvars.ContextVar("scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,7 +46,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/marlstone/{name}-{uuid.uuid4().hex}"
     with tidy(spark):
         df.write.parquet(path)
-    _written.append((spark, path))
+    for log in (_written, *_scopes.get()):
+        log.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._marlstone_path = path
     return out
@@ -85,17 +88,29 @@ def drop_paths(tables: list) -> None:
             _delete(*entry)
 
 
+@contextlib.contextmanager
+def scope():
+    """The list of the tables written inside, by this thread: other runs of the process have lists of their own."""
+    mine: list = []
+    token = _scopes.set((*_scopes.get(), mine))
+    try:
+        yield mine
+    finally:
+        _scopes.reset(token)
+
+
 @contextlib.contextmanager
 def drop_all_but():
     """At the end, remove every table written inside, except those that went through the function given."""
-    before, kept = live(), []
+    kept = []
 
     def keep(t: DataFrame) -> DataFrame:
         kept.append((t.sparkSession, t._marlstone_path))
         return t
 
-    yield keep
-    drop_paths([x for x in live() if x not in before and x not in kept])
+    with scope() as mine:
+        yield keep
+    drop_paths([x for x in mine if x not in kept])
 
 
 def _delete(spark: SparkSession, path: str) -> None:
