@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.sources.store import collected, drop, drop_all_but, drop_paths, live, shared_dir, tidy, written
+from marlstone.sources.store import collected, drop, drop_all_but, drop_paths, scope, shared_dir, tidy, written
 
-__all__ = ["collected", "drop", "drop_all_but", "drop_paths", "hidden", "live", "shared_dir", "table", "tidy", "written"]
+__all__ = ["collected", "drop", "drop_all_but", "drop_paths", "hidden", "scope", "shared_dir", "table", "tidy", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -68,3 +68,28 @@ def test_a_stage_called_again_leaves_its_first_result(spark):
     for _, stage in P.STAGES:
         one, two = stage(spark, docs, SF), stage(spark, docs, SF)
         assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
+def rows(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_stages_composed_without_writes(spark):
+    import corpus_pipeline as P
+
+    docs = first = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in P.STAGES:
+        docs = stage(spark, docs, SF)
+    assert rows(docs) == rows(P.run(spark, SF)) and len(rows(docs)) > 50
+    assert rows(P.quality_rules(spark, first, SF)) == rows(P.quality_rules(spark, first, SF))
+
+
+def test_a_run_leaves_its_result_alone(spark):
+    import corpus_pipeline as P
+    from marlstone.sources import store
+
+    lazy = P.quality_rules(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    before = store.live()
+    out = P.run(spark, SF)
+    assert [path for _, path in store.live() if (_, path) not in before] == [out._marlstone_path]
+    assert len(rows(lazy)) > 50  # its tables are another run's
