@@ -2,9 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept,
 and returns the columns of ``documents``; the last returns the mix, a row for
-each document left with all its copies, their shards and places. What a stage
-returns is written and read again before the next one is called, and a stage
-begins by removing what the one before kept for its own work.
+each document left with all its copies, their shards and places. Stages may be
+composed with or without a write between them: no stage removes a table. ``run``
+writes what a stage returns and reads it again for the next one; what the stage
+worked on, and what it was given, go when its result stands.
 
 Defined cases, for all stages: null, empty and very long texts, null ids,
 languages and sources, repeated rows, ties and empty tables are taken as the
@@ -15,60 +16,32 @@ repeated row but near duplicates, where one row of each group stays.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame
 
 from marlstone.llm import decontam, jaccard, line_dedup, mixing, quality
-from marlstone.llm._shared import drop_paths, live, table, written
-
-_last: dict = {"stage": None, "tables": []}
-
-
-def _stage(f):
-    """The stage, without the tables that the stage before it worked on: that one's result stands in a table of its own by now.
-
-    The same stage called again drops nothing, so that its results can be held against each other.
-    """
-
-    @functools.wraps(f)
-    def run(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if _last["stage"] != f.__name__:
-            drop_paths(_last["tables"])
-            _last.update(stage=f.__name__, tables=[])
-        before = live()
-        out = f(spark, docs, sf_dir)
-        _last["tables"] += [t for t in live() if t not in before]
-        return out
-
-    return run
+from marlstone.llm._shared import drop_paths, scope, table, written
 
 
-@_stage
 def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; null texts are among them."""
     return quality.keep_good(docs)
 
 
-@_stage
 def line_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of many documents stay in one; ``n_chars`` follows the text. No document goes, a null text stays null."""
     return line_dedup.dedup_lines(docs, recount="n_chars" if "n_chars" in docs.columns else None)
 
 
-@_stage
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the least id: five-word shingles, similarity 0.8. Texts without words are no group."""
     return jaccard.keep_one(docs, 5, 80, 100)
 
 
-@_stage
 def decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of the benchmark go; texts without words stay."""
     return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
-@_stage
 def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: what it takes of each document, and in which shards and places. Documents of which it takes nothing have no copies."""
     return mixing.mix_report(docs)
@@ -87,9 +60,14 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, given = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scope() as worked:
+            result = stage(spark, docs, sf_dir)
+        with scope() as stands:
+            docs = written(result, f"stage-{name}")
+        drop_paths([*worked, *given])
+        given = stands
     return docs
 
 
