@@ -51,7 +51,6 @@ plan("lex_rank", f"SELECT query_id, id, seq, round(rank, 6) AS rank FROM ({MATCH
 plan("lex_loose", f"SELECT DISTINCT t.query_id, p.id, p.seq FROM {{postings}} p JOIN {TERMS} t ON p.term = t.term")(
     lambda s, d: S.matches(lexical(s, d).of(S.query_terms(s))).select("query_id", "id", "seq"))
 plan("lex_index", "SELECT id, seq, term, tf FROM {postings}")(lambda s, d: lexical(s, d).postings.select("id", "seq", "term", "tf"))
-plan("lex_phrase", "SELECT id, seq FROM {chunks} WHERE regexp_matches(lower(text), '(^|[^a-z0-9])of[^a-z0-9]+the([^a-z0-9]|$)')")(S.phrase)
 plan("lex_negation", "SELECT id, seq FROM {postings} p WHERE term = 'the' AND NOT EXISTS (SELECT 1 FROM {postings} x WHERE x.id = p.id AND x.seq = p.seq AND x.term = 'and')")(S.negation)
 plan("bm25_score", f"""WITH t AS (SELECT * FROM {TERMS}), c AS (SELECT count(*) AS n, avg(len) AS avgdl FROM {{chunks}}), p AS (SELECT t.query_id, p.* FROM {{postings}} p JOIN t ON p.term = t.term), f AS (SELECT query_id, term, count(*) AS df FROM p GROUP BY query_id, term)
 SELECT p.query_id, p.id, p.seq, round(sum(ln(1 + (c.n - f.df + 0.5) / (f.df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.len / c.avgdl))), 5) AS score FROM p JOIN f ON p.query_id = f.query_id AND p.term = f.term CROSS JOIN c GROUP BY p.query_id, p.id, p.seq""")(

@@ -113,11 +113,16 @@ def _sql(text: str, table: str):
     return make
 
 
-def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Non-blank lines of the body, numbered densely inside a document: one pass over arrays, no window."""
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks with the heading above them, which is their document's title."""
     d = VIEWS["docs"][0](spark, sf_dir)
     kept = F.filter(F.transform(F.split("body", "\n", -1), lambda x: F.struct(x.alias("text"), F.size(terms(x)).alias("len"))), lambda x: x["len"] > 0)
-    return d.select("tenant", "id", F.posexplode(kept).alias("seq", "c")).select("tenant", "id", "seq", "c.text", "c.len")
+    return d.select("tenant", "id", F.col("title").alias("heading"), F.posexplode(kept).alias("seq", "c")).select("tenant", "id", "seq", "heading", "c.text", "c.len")
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-blank lines of the body, numbered densely inside a document: one pass over arrays, no window."""
+    return sections(spark, sf_dir).drop("heading")
 
 
 def runs(sorted_terms: str, starts: str):
