@@ -72,18 +72,48 @@ def secrets(text: Column) -> Column:
 
 
 def subtokens(identifier: Column) -> Column:
-    """Parts at case and acronym boundaries, and their letter and digit runs; lower case, two characters at least, first appearance."""
+    """Fixed rules: parts at case and acronym boundaries, and their letter and digit runs; lower case, two characters at least, first appearance."""
     parts = F.flatten(F.transform(F.split(identifier, r"[^A-Za-z0-9]+", -1), lambda x: F.split(x, r"(?<=[A-Z]{2})(?=[A-Z][a-z])|(?<=[a-z0-9])(?=[A-Z])", -1)))
     runs = lambda p: F.concat(F.array(p), F.when(p.rlike("[A-Za-z]") & p.rlike("[0-9]"), F.split(p, r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])", -1)).otherwise(F.array().cast("array<string>")))
     return F.array_distinct(F.filter(F.transform(F.flatten(F.transform(parts, runs)), F.lower), lambda x: F.char_length(x) >= 2))
 
 
+def tokenize(identifier: Column) -> Column:
+    """The identifier and its subtokens."""
+    whole = F.lower(identifier)
+    return F.array_distinct(F.concat(F.filter(F.array(whole), lambda x: F.char_length(x) >= 2), subtokens(identifier)))
+
+
+def path_parts(path: Column) -> tuple[Column, Column, Column]:
+    """Suffixes of a path (itself first), segments with the name without its extension, and subtokens; lower case, two characters at least."""
+    clean = F.regexp_replace(path, r"^/+", "")
+    segments = F.filter(F.split(clean, "/", -1), lambda x: x != "")
+    suffixes = F.transform(segments, lambda _, i: F.when(i == 0, clean).otherwise(F.array_join(F.slice(segments, i + 1, F.size(segments)), "/")))
+    bare = F.regexp_replace(F.coalesce(F.get(segments, F.size(segments) - 1), F.lit("")), r"\.[^.]+$", "")
+    kept = lambda a: F.array_distinct(F.filter(F.transform(a, F.lower), lambda x: F.char_length(x) >= 2))
+    return kept(suffixes), kept(F.concat(segments, F.array(bare))), subtokens(clean)
+
+
 def path_tokens(path: Column) -> Column:
-    """The path, its suffixes, segments and name without extension, and their subtokens."""
-    segments = F.split(path, "/", -1)
-    suffixes = F.transform(segments, lambda _, i: F.array_join(F.slice(segments, i + 1, F.size(segments)), "/"))
-    name = F.element_at(segments, -1)
-    return F.array_distinct(F.transform(F.concat(suffixes, segments, F.array(F.regexp_replace(name, r"\.[^.]*$", "")), subtokens(path)), F.lower))
+    """Suffixes, segments, name without extension and subtokens of a path."""
+    return F.array_distinct(F.concat(*path_parts(path)))
+
+
+def identifiers(text: Column) -> Column:
+    """Distinct identifiers of a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0)))
+
+
+def code_tokens(path: Column, text: Column) -> Column:
+    """All tokens under which a file is found."""
+    return F.array_distinct(F.concat(path_tokens(path), F.flatten(F.transform(identifiers(text), tokenize))))
+
+
+def query_tokens(query: Column) -> Column:
+    """Tokens of a query, by the rules of the index: words that look like paths give those of paths too."""
+    words = F.regexp_extract_all(query, F.lit(r"[A-Za-z0-9_$./-]+"), F.lit(0))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.concat(F.when(w.contains("/") | w.rlike(r"\.[A-Za-z0-9]{1,8}$"), path_tokens(w)).otherwise(none), tokenize(w)))))
 
 
 def slice_snippet(text: Column, most: int = 540) -> Column:
@@ -108,12 +138,3 @@ def windows(text: Column, heading: Column, most: int = 1024) -> Column:
     step = F.greatest(F.lit(1), F.floor(budget * 0.75)).cast("int")
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.char_length(text) - (budget - step) - 1), step)
     return F.transform(starts, lambda s: F.concat(head, F.substring(text, s + 1, budget)))
-
-
-def contains_any(text: Column, phrases) -> Column:
-    """Whether lower-cased, space-folded text holds one of the phrases."""
-    folded = F.regexp_replace(F.lower(text), r"\s+", " ")
-    out = F.lit(False)
-    for p in phrases:
-        out = out | folded.contains(p)
-    return out

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import paths, text
+from marlstone.sources.store import written
 
+# What an index entry is, by the shape of its line.
 MOST = 256  # fixed value: longer values are not indexed
 SYMBOL = r"\b(?:function|class|interface|type|const|let|var|def|func|struct|enum)\s+([A-Za-z_$][\w$]*)"
 IMPORT = r"""\bimport\s+(?:.+?\s+from\s+)?["']([^"']+)["']|\brequire\(["']([^"']+)["']\)"""
@@ -62,8 +64,15 @@ def normalize(files: DataFrame) -> DataFrame:
 
 def lookup(queries: DataFrame, index: DataFrame, files: DataFrame, limit: int = 8) -> DataFrame:
     """query_id, id, path, line, kind, text: the first citations of each query's value with lines around them, in order while
-    they fit the budget. ``queries``: query_id, query. One that does not fit is left out, and later ones may still fit."""
-    hits = index.join(queries.select("query_id", F.lower("query").alias("value")), "value").join(files.select("id", "path"), "id")
+    they fit the budget. One that does not fit is left out, and later ones may still fit.
+
+    ``queries``: query_id, query, and as filters kind, repo and path if it has them (null: any). ``files`` are those that may be seen.
+    """
+    hits = index.join(queries.select(F.lower("query").alias("value"), *[F.col(c).alias(f"asked_{c}") for c in queries.columns if c != "query"]), "value").withColumnRenamed("asked_query_id", "query_id")
+    hits = hits.join(files.select("id", "path", *(["repo"] if "repo" in files.columns else [])), "id")
+    for c in ("kind", "repo", "path"):
+        if c in queries.columns:
+            hits = hits.where(F.col(f"asked_{c}").isNull() | (F.col(f"asked_{c}") == F.col(c)))
     order = Window.partitionBy("query_id").orderBy("path", "line", "kind", "id")
     hits = hits.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= limit)  # bodies meet what is left
     cited = hits.join(files.select("id", F.split("body", "\n", -1).alias("lines")), "id")
@@ -78,8 +87,44 @@ def lookup(queries: DataFrame, index: DataFrame, files: DataFrame, limit: int =
     return rows.select("query_id", F.explode(F.filter("all", lambda x: F.array_contains(F.col("kept"), x["rn"]))).alias("x")).select("query_id", "x.id", "x.path", "x.line", "x.kind", "x.text")
 
 
-def score(matches: DataFrame) -> DataFrame:
-    """query_id, id, score from query_id, id, term, definition (whether the term is defined there), exact and factor: the best
-    match (by class, exactness and factor), and more for more distinct terms."""
-    best = F.when(F.col("definition"), 7000).otherwise(4000) + F.when(F.col("exact"), 500).otherwise(50) + 100 * F.col("factor")
-    return matches.groupBy("query_id", "id").agg((F.max(best) + (1 - 1 / F.countDistinct("term")) * 400).alias("score"))
+# What the kind of a symbol adds, by the word that declares it.
+FACTORS = {"class": 10.0, "struct": 9.5, "interface": 8.0, "type": 8.0, "function": 7.0, "def": 7.0, "func": 7.0, "const": 5.0, "let": 4.0, "var": 4.0}
+
+
+def token_index(files: DataFrame, index: DataFrame) -> DataFrame:
+    """token, id, path, match_class, factor and line: every token under which a file (id, path, body) is found, with the rule that made it.
+
+    exact is an identifier of the body, path_suffix and path_segment are parts of the path, subtoken a part of either. A token
+    of a name that ``index`` (of ``code_index``) says is declared in the file has the factor of the declaration, others 1.
+    Laid out by token, by value.
+    """
+    suffixes, segments, parts = text.path_parts(F.col("path"))
+    rule = lambda tokens, name: F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(name).alias("match_class")))
+    one = F.lit(1.0).alias("factor"), F.lit(1).alias("line")
+    of_path = files.select("id", "path", *one, F.explode(F.concat(rule(suffixes, "path_suffix"), rule(segments, "path_segment"), rule(parts, "subtoken"))).alias("x"))
+    named = lambda name: F.concat(rule(F.filter(F.array(F.lower(name)), lambda t: F.char_length(t) >= 2), "exact"), rule(text.subtokens(name), "subtoken"))
+    said = files.select("id", "path", F.explode(text.identifiers(F.col("body"))).alias("name")).select("id", "path", *one, F.explode(named(F.col("name"))).alias("x"))
+    factor = F.lit(1.0)
+    for kind, value in FACTORS.items():
+        factor = F.when(F.col("symbol_kind") == kind, value).otherwise(factor)
+    declared = index.where("kind = 'symbol'").join(files.select("id", "path"), "id").select("id", "path", factor.alias("factor"), "line", F.explode(named(F.col("raw_value"))).alias("x"))
+    rows = of_path.unionByName(said).unionByName(declared).select("x.token", "id", "path", "x.match_class", "factor", "line")
+    best = rows.groupBy("token", "id", "path", "match_class").agg(F.max(F.struct("factor", (-F.col("line")).alias("line"))).alias("b"))
+    best = best.select("token", "id", "path", "match_class", "b.factor", (-F.col("b.line")).alias("line"))
+    return written(best.repartitionByRange("token", "id").sortWithinPartitions("token", "id"), "code-tokens")
+
+
+def ranked(queries: DataFrame, tokens: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """query_id, id, path, line and score of the files that hold a token of a query (query_id, query), by the rules that made them.
+
+    The best match counts (by class, exactness and the factor of what is declared), never their sum; more distinct tokens add up to
+    400. ``line`` is that of the best match. ``files`` (id): those that may be seen.
+    """
+    asked = queries.select("query_id", F.explode(text.query_tokens(F.col("query"))).alias("token"))
+    hits = tokens.join(asked, "token")
+    if files is not None:
+        hits = hits.join(files.select("id"), "id", "left_semi")
+    exact = F.col("match_class") == "exact"
+    best = F.when(exact | (F.col("match_class") == "path_suffix"), 7000).otherwise(4000) + F.when(exact, 500).otherwise(50) + 100 * F.col("factor")
+    m = hits.groupBy("query_id", "id", "path").agg(F.max(F.struct(best.alias("best"), (-F.col("line")).alias("line"))).alias("b"), F.count_distinct("token").alias("n"))
+    return m.select("query_id", "id", "path", (-F.col("b.line")).alias("line"), (F.col("b.best") + (1 - 1 / F.col("n")) * 400).alias("score"))

@@ -63,7 +63,8 @@ def web_matches(ix: Fielded, queries: DataFrame, docs: DataFrame | None = None)
     m = hits.join(of, ["query_id", "part"]).groupBy("query_id", *CHUNK).agg(
         F.sum(F.when(~F.col("negated"), weight)).alias("weight"), F.count_if(~F.col("negated")).alias("found"), F.max("negated").alias("out"), F.min("len").alias("len"))
     m = m.where("found > 0 AND NOT out").join(asked, "query_id").withColumn("strict", F.col("found") == F.col("parts"))
-    return m.where("strict OR NOT excludes").select("query_id", *CHUNK, (F.col("weight") / (1 + F.ln("len"))).alias("rank"), "strict")
+    rank = F.round(F.col("weight") / (1 + F.ln("len")), 9)  # so that ties are ties in whatever order weights are summed
+    return m.where("strict OR NOT excludes").select("query_id", *CHUNK, rank.alias("rank"), "strict")
 
 
 def field_rank(ix: Fielded, words: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from marlstone.functions import htmlmd, markdown, notes, paths
+from marlstone.functions import htmlmd, markdown, notes, paths, text
 from marlstone.operators import code, embed, maintain
 from marlstone.plans.portable import oracle
 from marlstone.sources import rules
@@ -85,14 +85,36 @@ def code_route(s, d):
     return code.lookup(q, code.code_index(f), f).select("query_id", "id", "line", "kind", F.sha2("text", 256).alias("digest"))
 
 
-@plan("code_score", "SELECT 'q' AS query_id, id, CASE WHEN n % 2 = 0 THEN 7500 + 100 * (n % 3) + 200.0 ELSE 4050 + 100 * (n % 3) END AS score FROM {files}")
-def code_score(s, d):
-    """Even files define the name exactly and mention a second one; odd ones mention it."""
-    f = view(s, d, "files").select(F.lit("q").alias("query_id"), "id", "n", F.explode(F.when(F.col("n") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))).alias("term"))
-    m = f.select("query_id", "id", "term", ((F.col("n") % 2 == 0) & (F.col("term") == "a")).alias("definition"), (F.col("n") % 2 == 0).alias("exact"), (F.col("n") % 3).cast("double").alias("factor"))
-    return code.score(m)
+# the tokens of a file of the view, by the rules that make them, and the queries of every twentieth file
+RULES = [
+    ("path_suffix", "1.0", 1, "path, 'f' || n || '.ts'"), ("path_segment", "1.0", 1, "'src', 'f' || n || '.ts', 'f' || n"), ("subtoken", "1.0", 1, "'src', 'f' || n, n, 'ts', m"),
+    *[(rule, "1.0", 1, "'import', 'from', 'f' || m, 'export', 'class', 'const', 'lit'") for rule in ("exact", "subtoken")],
+    ("exact", "10.0", 2, "'c' || n"), ("subtoken", "10.0", 2, "'c' || n, n"), ("exact", "5.0", 3, "'v' || n"), ("subtoken", "5.0", 3, "'v' || n, n"),
+]
+EMITTED = "SELECT * FROM (" + " UNION ALL ".join(f"SELECT id, '{rule}' AS match_class, {factor} AS factor, {line} AS line, unnest([{tokens}]) AS token FROM (SELECT id, path, CAST(n AS VARCHAR) AS n, CAST(n + 1 AS VARCHAR) AS m FROM {{files}})" for rule, factor, line, tokens in RULES) + ") WHERE length(token) >= 2"
+ASKED = """SELECT query_id, unnest([t for t in tokens if length(t) >= 2]) AS token FROM (SELECT 's' || n AS query_id, ['c' || n, n] AS tokens FROM n UNION ALL SELECT 'p' || n, ['f' || n || '.ts', 'f' || n, n, 'ts'] FROM n
+UNION ALL SELECT 'w' || n, ['src/f' || n || '.ts', 'f' || n || '.ts', 'src', 'f' || n, n, 'ts'] FROM n UNION ALL SELECT 'm' || n, ['class', 'v' || n, n] FROM n)"""
 
 
+def code_queries(f):
+    """A symbol, a file name, a path and two words for every twentieth file."""
+    n = F.col("n").cast("string")
+    shapes = [("s", F.concat(F.lit("C"), n)), ("p", F.concat(F.lit("f"), n, F.lit(".ts"))), ("w", F.concat(F.lit("src/f"), n, F.lit(".ts"))), ("m", F.concat(F.lit("class v"), n))]
+    return f.where("n % 20 = 0").select(F.explode(F.array(*[F.struct(F.concat(F.lit(k), n).alias("query_id"), q.alias("query")) for k, q in shapes])).alias("q")).select("q.*")
+
+
+def tokens_of(s, d):
+    f = view(s, d, "files")
+    return code.token_index(f, code.code_index(f))
+
+
+plan("code_tokens", f"SELECT id, token, match_class, max(factor) AS factor FROM ({EMITTED}) GROUP BY id, token, match_class")(lambda s, d: tokens_of(s, d).select("id", "token", "match_class", "factor"))
+plan("query_tokens", f"WITH n AS (SELECT CAST(n AS VARCHAR) AS n FROM {{files}} WHERE n % 20 = 0) {ASKED}")(
+    lambda s, d: code_queries(view(s, d, "files")).select("query_id", F.explode(text.query_tokens(F.col("query"))).alias("token")))
+plan("code_score", f"""WITH n AS (SELECT CAST(n AS VARCHAR) AS n FROM {{files}} WHERE n % 20 = 0), e AS ({EMITTED}), a AS ({ASKED}) SELECT query_id, id, max(CASE WHEN match_class IN ('exact', 'path_suffix') THEN 7000 ELSE 4000 END + CASE WHEN match_class = 'exact' THEN 500 ELSE 50 END + 100 * factor)
++ (1 - 1 / count(DISTINCT token)) * 400 AS score FROM e JOIN a USING (token) GROUP BY query_id, id""")(
+    lambda s, d: code.ranked(code_queries(view(s, d, "files")), tokens_of(s, d)).select("query_id", "id", "score"))
+
 # vectors
 plan("embed_fake", "SELECT id, 1 AS vectors, 32 AS dim, 1.0 AS norm FROM {notes}")(
     lambda s, d: embed.backfill(view(s, d, "notes").select("id", F.lit(0).alias("seq"), F.lit("").alias("heading"), "query"). withColumnRenamed("query", "text"), s.createDataFrame([], "id string, seq int, model string"), embed.embedder("fake"))

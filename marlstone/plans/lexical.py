@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.operators import evaluate, lexical
+from marlstone.operators import answers, evaluate, lexical
 from marlstone.operators import search as S
 from marlstone.plans.portable import VISIBLE, oracle
 from marlstone.sources import catalog
@@ -127,3 +127,45 @@ plan("run_eval_queries", f"WITH {SCORES}, {PHRASED} SELECT query_id, returned, r
     lambda s, d: measures(s, d).select("query_id", "returned", "relevant", *[F.round(n, 6).alias(n) for n in NAMES]))
 plan("run_eval_search", f"WITH {SCORES}, {PHRASED} SELECT count(*) AS queries, count(*) FILTER (WHERE relevant > 0) AS judged, " + ", ".join(f"round(avg({n}), 6) AS {n}" for n in NAMES) + " FROM m")(
     lambda s, d: evaluate.summary(measures(s, d)))
+
+
+# answers: three words of each item, over bodies of which every tenth lost its blanks after it was indexed
+ASKED = f"SELECT 'b' || CAST(b.item_id AS VARCHAR) AS query_id, list_distinct(({ITEM})[1:3]) AS w FROM benchmark b WHERE len({ITEM}) >= 3"
+MOVED = "CASE WHEN n % 10 = 4 THEN replace(body, ' ', '') ELSE body END"
+MODIFIER = "(CASE quality_tier WHEN 'curated' THEN 1.15e0 WHEN 'generated' THEN 0.9e0 WHEN 'raw' THEN 0.8e0 ELSE 1e0 END * coalesce(0.6e0 + 0.4e0 * power(2e0, -age_days / CASE WHEN quality_tier = 'curated' THEN 365e0 ELSE 180e0 END), 0.6e0))"
+ANSWERS = f"""k AS ({TOKENS}), v AS (SELECT d.*, {MOVED} AS moved FROM {{docs}} d WHERE {VISIBLE} AND NOT d.superseded), q AS ({ASKED}), u AS (SELECT query_id, len(w) AS n, unnest(w) AS w FROM q),
+m AS (SELECT u.query_id, k.tenant, k.id, k.seq, v.source = 'code' AS code, round(sum(len(list_filter(h, lambda x: x = u.w)) + 0.2 * len(list_filter(t, lambda x: x = u.w))) / (1 + ln(min(len(h) + len(t)))), 9) AS rank, count(*) = min(u.n) AS strict
+ FROM k JOIN v ON v.tenant = k.tenant AND v.id = k.id JOIN u ON list_contains(h, u.w) OR list_contains(t, u.w) GROUP BY u.query_id, k.tenant, k.id, k.seq, v.source),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY strict DESC, rank DESC, seq) AS b FROM m), c AS (SELECT * FROM b WHERE b = 1),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id, code, strict ORDER BY rank DESC, id) AS k FROM c),
+a AS (SELECT query_id, id, rank, CASE WHEN code THEN 'fts_code_loose' ELSE 'fts_prose_loose' END AS arm FROM p WHERE k <= 24 UNION ALL SELECT query_id, id, rank, CASE WHEN code THEN 'fts_code' ELSE 'fts_prose' END FROM p WHERE k <= 24 AND strict),
+r AS (SELECT *, CASE WHEN arm LIKE 'fts_code%' THEN 0.6e0 ELSE 1e0 END / (60 + row_number() OVER (PARTITION BY query_id, arm ORDER BY rank DESC, id)) AS x FROM a),
+f AS (SELECT query_id, id, sum(x) AS fused FROM r GROUP BY query_id, id),
+s AS (SELECT f.query_id, f.id, c.seq, v.age_days, round(fused * {MODIFIER}, 6) AS score, contains(v.moved, t.text) AS verified FROM f JOIN v ON f.id = v.id JOIN c ON c.query_id = f.query_id AND c.id = f.id JOIN {{chunks}} t ON t.id = c.id AND t.seq = c.seq),
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS position FROM s WHERE verified)"""
+
+
+def answered(s, d):
+    text = F.array_join(F.slice("w", F.lit(1), F.lit(3)), " ")
+    asked = items(s, d).where(F.size("w") >= 3).select("query_id", text.alias("query"))
+    docs = seen(s, d).withColumn("body", F.when(F.col("n") % 10 == 4, F.replace("body", F.lit(" "), F.lit(""))).otherwise(F.col("body")))
+    return answers.answer(fielded(s, d, english=False), asked, docs, catalog.view(s, d, "chunks"))
+
+
+plan("search_answers", f"WITH {ANSWERS} SELECT query_id, id, CAST(seq AS INT) AS seq, score, CAST(position AS INT) AS position FROM z WHERE position <= 8")(lambda s, d: answered(s, d).results.select("query_id", "id", "seq", "score", "position"))
+plan("search_contract", f"""WITH {ANSWERS}, o AS (SELECT query_id, count(*) AS returned, max(score) AS top_score, round(max(score) - coalesce(max(score) FILTER (WHERE position = 5), min(score)), 6) AS score_gap, CASE WHEN count(age_days) = count(*) THEN max(age_days) END AS oldest_age, min(age_days) AS newest_age
+ FROM z WHERE position <= 8 GROUP BY query_id), t AS (SELECT z.query_id, count(*) AS n_above_threshold FROM z JOIN o ON z.query_id = o.query_id WHERE position <= 8 AND score >= 0.95 * top_score GROUP BY z.query_id),
+e AS (SELECT query_id, string_agg(DISTINCT arm, '+' ORDER BY arm) AS executor FROM a GROUP BY query_id), x AS (SELECT query_id, count(*) FILTER (WHERE NOT verified) AS unverified_excluded FROM s GROUP BY query_id)
+SELECT q.query_id, 'docs' AS route, coalesce(executor, 'none') AS executor, coalesce(returned, 0) AS returned, top_score, score_gap, coalesce(n_above_threshold, 0) AS n_above_threshold, oldest_age, newest_age, coalesce(unverified_excluded, 0) AS unverified_excluded
+FROM q LEFT JOIN o USING (query_id) LEFT JOIN t USING (query_id) LEFT JOIN e USING (query_id) LEFT JOIN x USING (query_id)""")(lambda s, d: answered(s, d).contract)
+
+FAMILY = "SELECT substr(source, 1, instr(source, ':') - 1) AS family, min(CASE WHEN age_hours IS NULL THEN 0 WHEN consecutive_failures > 0 THEN 1 WHEN age_hours > 24 THEN 2 ELSE 3 END) AS state, CASE WHEN count(age_hours) = count(*) THEN max(age_hours) END AS age_hours, max(consecutive_failures) AS consecutive_failures, CAST(sum(item_failures) AS BIGINT) AS item_failures FROM {cursors} WHERE tenant = 'default' GROUP BY 1"
+plan("coverage_sources", f"SELECT family, ['never_synced', 'failing', 'stale', 'current'][state + 1] AS state, age_hours, consecutive_failures, item_failures FROM ({FAMILY})")(
+    lambda s, d: answers.coverage(catalog.view(s, d, "cursors"), answers.readable(s, d, "user2", ("g0", "g1"), "default"), "default")[0])
+plan("coverage_whole", f"""SELECT count(*) AS families, CAST(sum(item_failures) AS BIGINT) AS item_failures, 'wiki' AS absent, (SELECT count(*) FROM {{docs}} d WHERE d.tenant = 'default' AND NOT d.tombstoned AND d.quarantined AND NOT d.superseded AND (d.owner = 'user2' OR d.acl_group IN ('g0', 'g1')) AND d.source = 'jira') AS quarantined, false AS complete
+FROM ({FAMILY}) WHERE family = 'jira'""")(lambda s, d: answers.coverage(catalog.view(s, d, "cursors"), answers.readable(s, d, "user2", ("g0", "g1"), "default"), "default", ["jira", "wiki"])[1])
+plan("expand_all", f"""WITH v AS (SELECT * FROM {{docs}} d WHERE {VISIBLE} AND NOT d.superseded), h AS (SELECT id FROM {{docs}} WHERE tenant = 'default' AND id NOT IN (SELECT id FROM v)),
+f AS (SELECT id AS focal_id FROM {{docs}} WHERE n % 20 = 2), e AS (SELECT src_id AS focal_id, dst_id AS id, rel, 'out' AS direction FROM {{links}} WHERE tenant = 'default' UNION ALL SELECT dst_id, src_id, rel, 'in' FROM {{links}} WHERE tenant = 'default'),
+k AS (SELECT e.*, v.title, row_number() OVER (PARTITION BY e.focal_id, direction ORDER BY e.id, rel) AS k FROM e JOIN f ON e.focal_id = f.focal_id LEFT JOIN v ON v.id = e.id WHERE e.focal_id NOT IN (SELECT id FROM h) AND e.id NOT IN (SELECT id FROM h))
+SELECT focal_id, id, rel, direction, title, title IS NOT NULL AS ingested FROM k WHERE k <= 50""")(
+    lambda s, d: answers.neighbours(catalog.view(s, d, "links"), catalog.view(s, d, "docs"), seen(s, d), catalog.view(s, d, "docs").where("n % 20 = 2").select(F.col("id").alias("focal_id")), "default").drop("truncated"))

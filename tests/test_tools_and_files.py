@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from marlstone import tools
 from marlstone.functions import headline, issues
 from marlstone.sources import files, rules
+from marlstone.sources.catalog import view
+from marlstone.sources.fielded import fielded
 from marlstone.streaming import events
 
 SF = "/root/testdata/sf0.001"
@@ -29,13 +31,56 @@ def test_calls_are_checked_and_recorded(spark, monkeypatch):
     assert len(rows) == 11 and [r["ok"] for r in rows].count(True) == 3 and rows[-1]["result_count"] == len(edges)
 
 
+def common(spark, n=2):
+    """The most frequent indexed words."""
+    return [r["stem"] for r in fielded(spark, SF).terms.where("length(stem) > 3").orderBy(F.desc("df"), "stem").limit(n).collect()]
+
+
 def test_search_answers(spark):
-    r = tools.call(spark, SF, WHO, "search_docs", query="the and -zzz")
+    a, b = common(spark)
+    r = tools.call(spark, SF, WHO, "search_docs", query=f"{a} {b} -zzz")
     assert 0 < len(r["results"]) <= 8 and [x["position"] for x in r["results"]] == list(range(1, len(r["results"]) + 1))
-    assert all(x["verified"] and "**" in x["snippet"] for x in r["results"]) and r["top_score"] >= r["results"][-1]["score"] and r["score_gap"] >= 0
-    word = next(w.strip("*") for w in r["results"][0]["snippet"].split() if w.startswith("**"))
-    left = tools.call(spark, SF, WHO, "search_docs", query=f"the -{word.lower()}")["results"]
-    assert all(f"**{word}**" not in x["snippet"] for x in left) and tools.call(spark, SF, WHO, "search_docs", query="  ")["results"] == []
+    assert all(x["evidence_verified"] for x in r["results"]) and any("**" in x["snippet"] for x in r["results"]) and r["top_score"] >= r["results"][-1]["score"] and r["score_gap"] >= 0
+    assert r["route"] == "docs" and "fts_prose" in r["executor"] and r["unverified_excluded"] == 0 and {c["family"] for c in r["coverage"]["sources"]} == {"code", "confluence", "jira"} and not r["coverage"]["complete"]
+    left = tools.call(spark, SF, WHO, "search_docs", query=f"{a} -{b}")["results"]
+    assert all(f"**{b}**" not in x["snippet"].lower() for x in left)
+    only = tools.call(spark, SF, WHO, "search_docs", query=a, sources=["jira", "wiki"])
+    assert {x["source"] for x in only["results"]} == {"jira"} and only["coverage"]["requested_absent"] == ["wiki"]
+    none = tools.call(spark, SF, WHO, "search_docs", query="  ")
+    assert none["results"] == [] and none["executor"] == "none" and none["top_score"] is None and none["n_above_threshold"] == 0
+
+
+def test_documents_by_section(spark, monkeypatch):
+    monkeypatch.setattr(tools, "SECTION", 10)
+    r = tools.call(spark, SF, WHO, "get_doc", id="doc:2", section=1)
+    assert len(r["body"]) == 10 and r["total_sections"] > 2
+    assert "hint" in tools.call(spark, SF, WHO, "get_doc", id="doc:46") and "body" in tools.call(spark, SF, WHO, "get_doc", id="doc:46", include_superseded=True)
+    assert "hint" not in tools.call(spark, SF, WHO, "get_doc", id="doc:3")
+
+
+def test_edges_fail_closed_at_both_ends(spark):
+    nobody = tools.Viewer("nobody", "default")
+    for n in (2, 12, 24):
+        assert tools.call(spark, SF, nobody, "expand", id=f"doc:{n}")["edges"] == []
+    for n in (2, 6, 12):
+        for e in tools.call(spark, SF, WHO, "expand", id=f"doc:{n}")["edges"]:
+            there = view(spark, SF, "docs").where((F.col("id") == e["id"]) & (F.col("tenant") == "default")).count()
+            assert e["ingested"] == bool(there) and (not there or "body" in tools.call(spark, SF, WHO, "get_doc", id=e["id"]))
+
+
+def test_code_and_logs(spark, monkeypatch):
+    r = tools.call(spark, SF, WHO, "search_code", query="c6")
+    assert [(x["line"], x["kind"]) for x in r["results"]] == [(2, "symbol")] and "class C6" in r["results"][0]["text"] and [c["family"] for c in r["coverage"]["sources"]] == ["code"]
+    assert tools.call(spark, SF, WHO, "search_code", query="c6", repo="r1")["results"] == [] and "kind" in tools.call(spark, SF, WHO, "search_code", query="c6", kind="x")["error"]
+    assert tools.call(spark, SF, WHO, "search_code", query="c3")["results"] == []  # another tenant's
+    near = tools.call(spark, SF, WHO, "search_code", query="class f6.ts")
+    assert near["results"] == [] and near["similar"][0]["path"] == "src/f6.ts" and near["similar"][0]["score"] > near["similar"][-1]["score"]
+    assert "not configured" in tools.call(spark, SF, WHO, "fetch_logs", query="x")["error"]
+    monkeypatch.setenv("MARLSTONE_LOGS_URL", "https://h.example")
+    assert "no reader" in tools.call(spark, SF, WHO, "fetch_logs", query="x")["error"]
+    monkeypatch.setitem(tools.READERS, "logs", lambda query, minutes, index: [{"ts": k, "message": f"{query} https://h.example/?token=s{k}"} for k in range(minutes)])
+    got = tools.call(spark, SF, WHO, "fetch_logs", query="x", limit=3)["results"]
+    assert [g["ts"] for g in got] == [59, 58, 57] and all("token=***" in g["message"] for g in got)
 
 
 def test_manifest_and_jobs():
