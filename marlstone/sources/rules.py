@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import email.utils
 import hashlib
+import http.client
 import random
 import re
+import socket
+import time
 from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
@@ -94,12 +98,45 @@ def stable(listing: Callable[[], list], most: int = 3) -> tuple[list, bool]:
     return last or [], False
 
 
+class HttpError(Exception):
+    """A completed response that is no success, with the seconds that the server asks to wait, if it does."""
+
+    def __init__(self, status: int, message: str = "", retry_after: float | None = None):
+        super().__init__(f"HTTP {status} {message}".strip())
+        self.status, self.retry_after = status, retry_after
+
+
+# Statuses that another attempt may mend, beside those of the server's own faults.
+TRANSIENT = (408, 425, 429)
+
+
+def retryable(e: Exception) -> bool:
+    """Whether asking again may help: transient statuses and faults of the transport; what is refused or not there stays so."""
+    if isinstance(e, HttpError):
+        return e.status in TRANSIENT or 500 <= e.status <= 599
+    return isinstance(e, (TimeoutError, ConnectionError, socket.gaierror, http.client.IncompleteRead)) or isinstance(getattr(e, "reason", None), (OSError, TimeoutError))
+
+
+def retry_after(value: str | None, now: Callable[[], float] = time.time) -> float | None:
+    """Seconds of a Retry-After header, which is a number or a date; null if it is neither, or in the past."""
+    if value is None:
+        return None
+    if re.fullmatch(r"\d+", value.strip()):
+        return float(value)
+    try:
+        seconds = email.utils.parsedate_to_datetime(value).timestamp() - now()
+    except (TypeError, ValueError):
+        return None
+    return seconds if seconds > 0 else None
+
+
 def backoff(attempt: int, base: float = 1.0, cap: float = 60.0, after: float | None = None, rand: Callable[[], float] = random.random) -> float:
-    """Seconds to wait before a retry: what the server asks for, else a random share of a doubling bound."""
-    return min(cap, after) if after is not None else rand() * min(cap, base * 2**attempt)
+    """Seconds to wait before a retry: a random share of a doubling bound, or what the server asks for if that is longer."""
+    jitter = rand() * min(cap, base * 2**attempt)
+    return jitter if after is None else min(cap, max(after, jitter))
 
 
-def retried(call: Callable, attempts: int = 5, again: Callable[[Exception], bool] = lambda e: True, sleep: Callable[[float], None] = lambda s: None, **how):
+def retried(call: Callable, attempts: int = 5, again: Callable[[Exception], bool] = retryable, sleep: Callable[[float], None] = time.sleep, **how):
     for k in range(attempts):
         try:
             return call()

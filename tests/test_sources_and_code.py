@@ -41,7 +41,7 @@ def test_listing_and_retries():
     def call():
         tries.append(1)
         if len(tries) < 3:
-            raise OSError
+            raise ConnectionError
         return "ok"
 
     assert R.retried(call, sleep=waits.append, rand=lambda: 1.0) == "ok" and waits == [1, 2]

@@ -78,9 +78,9 @@ def test_code_and_logs(spark, monkeypatch):
     assert "not configured" in tools.call(spark, SF, WHO, "fetch_logs", query="x")["error"]
     monkeypatch.setenv("MARLSTONE_LOGS_URL", "https://h.example")
     assert "no reader" in tools.call(spark, SF, WHO, "fetch_logs", query="x")["error"]
-    monkeypatch.setitem(tools.READERS, "logs", lambda query, minutes, index: [{"ts": k, "message": f"{query} https://h.example/?token=s{k}"} for k in range(minutes)])
+    monkeypatch.setitem(tools.READERS, "logs", lambda query, minutes, index: [{"ts": f"2024-01-01T00:{k:02}", "message": f"{query} https://h.example/?token=s{k}"} for k in range(minutes)])
     got = tools.call(spark, SF, WHO, "fetch_logs", query="x", limit=3)["results"]
-    assert [g["ts"] for g in got] == [59, 58, 57] and all("token=***" in g["message"] for g in got)
+    assert [g["ts"][-2:] for g in got] == ["59", "58", "57"] and all("token=***" in g["message"] for g in got)
 
 
 def test_manifest_and_jobs():
