@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marlstone.functions.secrets import SHAPES
+
 # Prefixes that look like ticket keys but name standards and formats.
 NOT_TICKETS = [
     "SHA", "MD", "RSA", "DSA", "ECDSA", "AES", "DES", "HMAC", "PBKDF", "CRC", "BLAKE", "UTF", "UCS", "ASCII", "LATIN", "ISO", "CP", "BASE", "GB",
@@ -67,8 +69,7 @@ def redact(text: Column) -> Column:
 
 def secrets(text: Column) -> Column:
     """Names of the secret rules that match."""
-    rules = {"aws-key-id": r"\bAKIA[0-9A-Z]{16}\b", "pem": "-----BEGIN [A-Z ]*PRIVATE KEY-----", "jwt": r"\beyJ[\w-]+\.eyJ[\w-]+\.[\w-]+", "url-credentials": r"://[^\s/@:]+:[^\s/@]+@"}
-    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in rules.items()]))
+    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in SHAPES.items()]))
 
 
 def subtokens(identifier: Column) -> Column:

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from marlstone.functions import secrets
 from marlstone.plans.portable import oracle
 from marlstone.sources import blobs, versions
 from marlstone.sources.catalog import view
@@ -69,3 +70,15 @@ plan("stream_late_dedup", f"WITH {ARRIVED} SELECT strftime(ts, '%Y-%m-%d') AS da
     lambda s, d: clicks(s, d)[0].groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "kind").agg(F.count(F.lit(1)).alias("clicks"), F.round(F.sum("value"), 2).alias("total")))
 plan("stream_progress", f"WITH {ARRIVED} SELECT CAST(row_number() OVER (ORDER BY m) AS INT) AS run, count(*) FILTER (WHERE late) AS late FROM k GROUP BY m")(
     lambda s, d: clicks(s, d)[1].selectExpr("row_number() OVER (ORDER BY batch) AS run", "late"))
+
+
+# secrets: those of every fifth document are accepted wherever they stand
+EVEN = """t AS (SELECT doc_id AS n, text, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9+/=_-]{20,}'))) AS s FROM documents), p AS (SELECT n, text, s, unnest(CASE WHEN length(s) <= 64 THEN [s] ELSE [substr(s, k, 40) for k in range(1, length(s) - 38, 20)] END) AS piece FROM t),
+h AS (SELECT n, text, s, max(round(list_sum([-c / length(piece) * log2(c / length(piece)) for c in [length(piece) - length(replace(piece, x, '')) for x in list_distinct(string_split(piece, ''))]]), 9)) AS bits FROM p GROUP BY n, text, s),
+f AS (SELECT n, CASE WHEN regexp_matches(s, '^[0-9a-fA-F]{32,}$') AND bits >= 3.0 THEN 'hex-entropy' WHEN bits >= 4.5 THEN 'base64-entropy' END AS rule, substr(s, 1, 4) || ':' || substr(sha256(s), 1, 8) AS hint, CAST(instr(text, s) AS INT) AS start FROM h WHERE regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]'))"""
+
+
+@plan("secret_findings", f"WITH {EVEN} SELECT n AS doc_id, rule, hint, start FROM f WHERE rule IS NOT NULL AND (rule, hint) NOT IN (SELECT (rule, hint) FROM f WHERE n % 5 = 0 AND rule IS NOT NULL)")
+def secret_findings(s, d):
+    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    return secrets.findings(docs, "doc_id", secrets.findings(docs.where("doc_id % 5 = 0"), "doc_id"))
