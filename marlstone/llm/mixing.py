@@ -13,7 +13,10 @@ pass.
 2. The splitting tree halves each node's copies, in the order of a keyed hash:
    a draw without replacement, so the sources' block quotas on each side are
    multivariate hypergeometric, add up to the node's exactly, and every copy
-   ends in one leaf, a shard.
+   ends in one leaf, a shard. A node's copies are side by side in that order, so
+   a copy finds its way down by its rank and the nodes' sizes alone; ranks are
+   counted range by range. The depth follows the number of copies, so that a
+   shard has about ``PER_SHARD`` of them.
 3. Documents meet the leaves of their block. What a document gives to the mix
    is what the leaves' quotas take of it: all of it, or in a cut block what the
    quota leaves over when the block's documents stand in hashed order. The last
@@ -21,8 +24,8 @@ pass.
 4. Within a shard, copies are ordered by one more keyed hash.
 
 All hashes are of (seed, id): reruns agree. Blocks follow the sources' sizes,
-so a task that sorts one is as large at every scale, and the tree has a row for
-each ``BLOCK_DOCS`` documents.
+so a task that sorts one is as large at every scale; the tree has a row for
+each ``BLOCK_DOCS`` documents, and no node of it is gathered.
 
 Defined cases: null text has no words and is not taken; a null source is a
 source, last in order; null ids share a hash, so they stand in one block;
@@ -33,12 +36,14 @@ give empty results; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm._shared import table, written
+from marlstone.llm._shared import collected, table, written
 
-WEIGHTS, SHARE, MAX_REPEAT, BLOCK_DOCS, DEPTH, SEED = (5, 2, 1), 1.5, 2, 1024, 3, "mix-1"
+WEIGHTS, SHARE, MAX_REPEAT, BLOCK_DOCS, PER_SHARD, SEED = (5, 2, 1), 1.5, 2, 1024, 4, "mix-1"
 
 
 def n_words(text: Column) -> Column:
@@ -73,8 +78,8 @@ def dealt(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> tuple[DataFrame, Dat
     return d.select("doc_id", "source", "size", "block"), sizes
 
 
-def tree(d: DataFrame, sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_repeat: int = MAX_REPEAT, depth: int = DEPTH) -> DataFrame:
-    """The leaves: source, source_size, target, block, block_size, pass (0 is the part), quota (words) and shard (0 .. 2**depth - 1)."""
+def tree(d: DataFrame, sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_repeat: int = MAX_REPEAT, per_shard: int = PER_SHARD) -> DataFrame:
+    """The leaves: source, source_size, target, block, block_size, pass (0 is the part), quota (words) and shard."""
     t = targets(sizes.select("source", "source_size"), weights, share, max_repeat)
     t = t.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     t = t.withColumn("rest", F.round(F.col("target")).cast("long") - F.col("passes") * F.col("source_size"))
@@ -84,13 +89,19 @@ def tree(d: DataFrame, sizes: DataFrame, weights=WEIGHTS, share: float = SHARE,
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("block_size"), F.col("rest") - F.coalesce(F.sum("block_size").over(drawn), F.lit(0))))
     copies = F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes")), lambda p: F.struct(p.alias("pass"), F.when(p == 0, F.col("part")).otherwise(F.col("block_size")).alias("quota")))
     c = b.withColumn("part", part).withColumn("x", F.explode(copies)).select("source", "source_size", "target", "block", "block_size", "x.*").where(F.col("quota") > 0)
-    c = c.withColumn("shard", F.lit(0).cast("long"))
-    for level in range(depth):
-        node = Window.partitionBy("shard")
-        order = node.orderBy(keyed(F.lit(f"tree{level}"), F.col("source"), F.col("block"), F.col("pass")), F.col("source"), "block", "pass")
-        right = (F.row_number().over(order) * 2 > F.count(F.lit(1)).over(node) + 1).cast("long")
-        c = c.withColumn("shard", F.col("shard") * 2 + right)
-    return c
+    order = ["key", F.col("source"), "block", "pass"]
+    c = c.withColumn("key", keyed(F.lit("tree"), F.col("source"), F.col("block"), F.col("pass")))
+    c = written(c.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "mix-copies")
+    parts = written(c.groupBy("part").agg(F.count(F.lit(1)).alias("n")), "mix-parts")  # a row for each range
+    n = collected(parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")))[0]["n"]
+    before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    c = c.join(F.broadcast(before), "part").withColumns({"rank": rank, "in_node": F.lit(n).cast("long"), "shard": F.lit(0).cast("long")})
+    for _ in range(max(0, round(math.log2(max(1, n) / per_shard)))):
+        left = F.floor((F.col("in_node") + 1) / 2)
+        right = F.col("rank") >= left
+        c = c.select(*[x for x in c.columns if x not in ("rank", "in_node", "shard")], F.when(right, F.col("rank") - left).otherwise(F.col("rank")).alias("rank"), F.when(right, F.col("in_node") - left).otherwise(left).alias("in_node"), (F.col("shard") * 2 + right.cast("long")).alias("shard"))
+    return c.drop("key", "part", "before", "rank", "in_node")
 
 
 def drawn_copies(docs: DataFrame, block_docs: int = BLOCK_DOCS, **how) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -56,3 +57,17 @@ def test_shards_stand_in_their_own_order(spark):
     m = mixing.mix(spark.createDataFrame([(k, "ab"[k % 2], 3) for k in range(300)], "doc_id long, source string, size long"), block_docs=8)
     rows = [(r["shard"], r["place"]) for r in m.collect()]
     assert rows == sorted(rows) and [r for r in rows] != sorted(rows, key=lambda x: x[1])
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 300, 5000])
+def test_shards_follow_the_number_of_copies(spark, n):
+    docs = spark.createDataFrame([(k, "abc"[k % 7 % 3], 3) for k in range(n)], "doc_id long, source string, size long")
+    leaves = mixing.tree(*mixing.dealt(docs, 8)).toPandas()
+    spread = leaves.groupby("shard").size()
+    shards = 2 ** max(0, round(math.log2(max(1, len(leaves)) / 4)))
+    assert len(spread) == (shards if n else 0) and (not n or spread.max() - spread.min() <= 1)
+    if n == 5000:  # sources stand in a shard as a draw without replacement has it
+        for s, g in leaves.groupby("source"):
+            share = g.groupby("shard").size().reindex(range(shards), fill_value=0)
+            p, m = len(g) / len(leaves), len(leaves) / shards
+            assert abs(share.mean() - p * m) < 1e-6 and 0.5 < share.var() / (m * p * (1 - p)) < 1.6
