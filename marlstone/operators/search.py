@@ -114,12 +114,8 @@ def nlist(n: int) -> int:
 
 
 def term_stats(spark, sf_dir: str) -> DataFrame:
-    """term, df and cf over all chunks: a chunk's terms are sorted in its row, where the first of each is told apart, and counted in one exchange."""
-    from marlstone.sources.catalog import terms
-
-    c = view(spark, sf_dir, "chunks").select(F.array_sort(terms(F.col("text"))).alias("s"))
-    x = c.select(F.explode(F.transform("s", lambda t, i: F.struct(t.alias("term"), ((i == 0) | (F.get("s", i - 1) != t)).cast("long").alias("first")))).alias("x"))
-    return x.groupBy("x.term").agg(F.sum("x.first").alias("df"), F.count(F.lit(1)).alias("cf"))
+    """term, df and cf over all chunks, from the stored postings: a posting is a term in a chunk, with how often it is there."""
+    return lexical(spark, sf_dir).postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.col("tf").cast("long")).alias("cf"))
 
 
 def stride(df: DataFrame, key: str, every: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.operators import answers, evaluate, lexical
+from marlstone.operators import answers, evaluate, lexical, maintain
 from marlstone.operators import search as S
 from marlstone.plans.portable import VISIBLE, oracle
 from marlstone.sources import catalog
@@ -169,3 +169,11 @@ f AS (SELECT id AS focal_id FROM {{docs}} WHERE n % 20 = 2), e AS (SELECT src_id
 k AS (SELECT e.*, v.title, row_number() OVER (PARTITION BY e.focal_id, direction ORDER BY e.id, rel) AS k FROM e JOIN f ON e.focal_id = f.focal_id LEFT JOIN v ON v.id = e.id WHERE e.focal_id NOT IN (SELECT id FROM h) AND e.id NOT IN (SELECT id FROM h))
 SELECT focal_id, id, rel, direction, title, title IS NOT NULL AS ingested FROM k WHERE k <= 50""")(
     lambda s, d: answers.neighbours(catalog.view(s, d, "links"), catalog.view(s, d, "docs"), seen(s, d), catalog.view(s, d, "docs").where("n % 20 = 2").select(F.col("id").alias("focal_id")), "default").drop("truncated"))
+
+
+plan("integrity", """WITH c AS (SELECT tenant, id, count(*) AS chunks FROM {chunks} GROUP BY tenant, id), v AS (SELECT DISTINCT id FROM {vectors}), s AS (SELECT d.*, coalesce(c.chunks, 0) AS chunks, v.id IS NOT NULL AS embedded FROM {docs} d LEFT JOIN c ON c.tenant = d.tenant AND c.id = d.id LEFT JOIN v ON v.id = d.id)
+SELECT 'docs_total' AS check_name, count(*) AS n FROM s UNION ALL SELECT 'docs_without_chunks', count(*) FROM s WHERE NOT quarantined AND chunks = 0 UNION ALL SELECT 'docs_unowned', count(*) FROM s WHERE owner = '' UNION ALL SELECT 'docs_empty_body', count(*) FROM s WHERE length(body) < 40
+UNION ALL SELECT 'docs_html_residue', count(*) FROM s WHERE source <> 'code' AND (body LIKE '%</div>%' OR body LIKE '%</p>%' OR body LIKE '%<ac:%') UNION ALL SELECT 'chunks_null_tsv', count(*) FROM {chunks} WHERE len = 0 UNION ALL SELECT 'docs_quarantined', count(*) FROM s WHERE quarantined
+UNION ALL SELECT 'chunks_unembedded', CAST(coalesce(sum(chunks) FILTER (WHERE NOT embedded), 0) AS BIGINT) FROM s UNION ALL SELECT 'links_dangling_dst', count(*) FROM {links} l WHERE NOT EXISTS (SELECT 1 FROM {docs} d WHERE d.tenant = l.tenant AND d.id = l.dst_id)
+UNION ALL SELECT 'stale_sources', count(*) FROM {cursors} WHERE age_hours > 24 UNION ALL SELECT 'ok', CAST(count(*) = 0 AS BIGINT) FROM s WHERE owner = '' OR (NOT quarantined AND chunks = 0)""")(
+    lambda s, d: maintain.integrity(*[catalog.view(s, d, v) for v in ("docs", "chunks", "vectors", "links", "cursors")]))

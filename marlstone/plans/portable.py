@@ -85,12 +85,6 @@ PLANS = {
     "alert_cursor_stale": "SELECT tenant, source FROM {cursors} WHERE age_hours > 24 OR age_hours IS NULL",
     "alert_zero_spike": "SELECT day, tenant FROM {audit} WHERE tool = 'search_docs' GROUP BY day, tenant HAVING count(*) >= 10 AND count(*) FILTER (WHERE result_count = 0) > 0.3 * count(*)",
     "alert_recall_drop": "SELECT run FROM (SELECT r.run, avg(CASE WHEN r.rank <= 10 THEN 1e0 ELSE 0e0 END) AS recall FROM {ranked} r JOIN {qrels} q ON r.query_id = q.query_id AND r.doc_id = q.doc_id AND q.grade > 0 GROUP BY r.run) x WHERE recall < 0.9",
-    "integrity": """SELECT 'unowned' AS check_name, CAST(count(*) AS BIGINT) AS n FROM {docs} WHERE owner = ''
-  UNION ALL SELECT 'empty', count(*) FROM {docs} WHERE length(body) < 40
-  UNION ALL SELECT 'unchunked', count(*) FROM {docs} d WHERE NOT EXISTS (SELECT 1 FROM {chunks} c WHERE c.tenant = d.tenant AND c.id = d.id)
-  UNION ALL SELECT 'dangling', count(*) FROM {links} l WHERE NOT EXISTS (SELECT 1 FROM {docs} d WHERE d.tenant = l.tenant AND d.id = l.dst_id)
-  UNION ALL SELECT 'unembedded', count(*) FROM {docs} d WHERE NOT EXISTS (SELECT 1 FROM {vectors} v WHERE v.id = d.id)
-  UNION ALL SELECT 'stale_sources', count(*) FROM {cursors} WHERE age_hours > 24""",
     "drift": "SELECT d.id, d.content_hash <> b.digest AS drifted FROM {docs} d JOIN {blobs} b ON b.tenant = d.tenant AND b.revision = d.n + 2",
     "index_stats": "SELECT d.source, CAST(count(DISTINCT d.id) AS BIGINT) AS docs, CAST(count(c.seq) AS BIGINT) AS chunks, CAST(count(*) FILTER (WHERE length(c.text) > 1024) AS BIGINT) AS oversize FROM {docs} d LEFT JOIN {chunks} c ON d.tenant = c.tenant AND d.id = c.id GROUP BY d.source",
     "ivf_status": "SELECT CAST(count(*) AS BIGINT) AS embedded, CAST(count(cluster_id) AS BIGINT) AS clustered FROM {vectors}",
