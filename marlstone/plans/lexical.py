@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.operators import answers, evaluate, lexical, maintain
+from marlstone.operators import answers, evaluate, ground, lexical, maintain
 from marlstone.operators import search as S
 from marlstone.plans.portable import VISIBLE, oracle
 from marlstone.sources import catalog
@@ -177,3 +177,26 @@ UNION ALL SELECT 'docs_html_residue', count(*) FROM s WHERE source <> 'code' AND
 UNION ALL SELECT 'chunks_unembedded', CAST(coalesce(sum(chunks) FILTER (WHERE NOT embedded), 0) AS BIGINT) FROM s UNION ALL SELECT 'links_dangling_dst', count(*) FROM {links} l WHERE NOT EXISTS (SELECT 1 FROM {docs} d WHERE d.tenant = l.tenant AND d.id = l.dst_id)
 UNION ALL SELECT 'stale_sources', count(*) FROM {cursors} WHERE age_hours > 24 UNION ALL SELECT 'ok', CAST(count(*) = 0 AS BIGINT) FROM s WHERE owner = '' OR (NOT quarantined AND chunks = 0)""")(
     lambda s, d: maintain.integrity(*[catalog.view(s, d, v) for v in ("docs", "chunks", "vectors", "links", "cursors")]))
+
+
+# grounding: twelve words of each item as a question, held against curated documents, then authored ones, then searched for
+OPEN = f"SELECT 'b' || CAST(b.item_id AS VARCHAR) AS query_id, ({ITEM})[1:12] AS w FROM benchmark b WHERE len({ITEM}) >= 3"
+FITS = """y AS (SELECT query_id, list_distinct(list_filter(w, lambda x: length(x) >= 3 AND x NOT IN (%s))) AS c FROM o),
+l AS (SELECT *, trim(regexp_replace(p, '\\s+', ' ', 'g')) AS t FROM (SELECT id, quality_tier, unnest(regexp_split_to_array(body, '\\n\\s*\\n')) AS p, unnest(range(0, len(regexp_split_to_array(body, '\\n\\s*\\n')))) AS nth FROM v)),
+g AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY hits DESC, nth) AS b FROM (SELECT y.query_id, l.id, l.quality_tier, l.nth, l.t, len(c) AS n, len(list_filter(c, lambda x: contains(lower(l.t), x))) AS hits FROM y, l) WHERE hits >= 2 AND hits / n >= 0.6),
+r1 AS (SELECT query_id, id, t, row_number() OVER (PARTITION BY query_id ORDER BY id) AS k FROM g WHERE b = 1 AND quality_tier = 'curated'),
+r2 AS (SELECT query_id, id, t, row_number() OVER (PARTITION BY query_id ORDER BY id) AS k FROM g WHERE b = 1 AND quality_tier = 'authored' AND query_id NOT IN (SELECT query_id FROM r1)),""" % ", ".join(f"'{w}'" for w in sorted(ground.NO_TOPIC))
+GROUND = ANSWERS.replace(f"q AS ({ASKED})", f"o AS ({OPEN}), q AS (SELECT query_id, list_distinct(w) AS w FROM o)").replace(MOVED, "body")
+
+
+@plan("ground_questions", f"""WITH {GROUND}, {FITS}
+x AS (SELECT query_id, count(*) AS returned, max(score) AS top_score, round(max(score) - coalesce(max(score) FILTER (WHERE position = 5), min(score)), 6) AS score_gap FROM z WHERE position <= 8 GROUP BY query_id),
+h AS (SELECT z.query_id, count(*) FILTER (WHERE score >= 0.95 * top_score) AS near FROM z JOIN x ON x.query_id = z.query_id WHERE position <= 8 GROUP BY z.query_id),
+j AS (SELECT g.query_id, g.id, g.t, row_number() OVER (PARTITION BY g.query_id ORDER BY hits DESC, z.position, g.id) AS k FROM g JOIN z ON z.query_id = g.query_id AND z.id = g.id JOIN x ON x.query_id = g.query_id JOIN h ON h.query_id = g.query_id WHERE b = 1 AND position <= least(greatest(near, 1), 3) AND top_score >= {ground.TOP_FLOOR!r} AND score_gap >= {ground.GAP_FLOOR!r})
+SELECT query_id, 'context' AS rung, id, t AS answer, NULL AS top_score, NULL AS score_gap FROM r1 WHERE k = 1 UNION ALL SELECT query_id, 'project_docs', id, t, NULL, NULL FROM r2 WHERE k = 1
+UNION ALL SELECT o.query_id, CASE WHEN j.id IS NULL THEN 'human' ELSE 'knowledge_base' END, j.id, j.t, x.top_score, x.score_gap FROM o LEFT JOIN x ON x.query_id = o.query_id LEFT JOIN j ON j.query_id = o.query_id AND j.k = 1 WHERE o.query_id NOT IN (SELECT query_id FROM r1) AND o.query_id NOT IN (SELECT query_id FROM r2)""")
+def ground_questions(s, d):
+    docs, w = seen(s, d), items(s, d).where(F.size("w") >= 3)
+    rung = lambda tier: docs.where(F.col("quality_tier") == tier).select("id", F.lit(0).cast("long").alias("rank"), "body")
+    search = lambda q: answers.answer(fielded(s, d, english=False), q, docs, catalog.view(s, d, "chunks"))
+    return ground.resolve(w.select("query_id", F.array_join(F.slice("w", F.lit(1), F.lit(12)), " ").alias("question")), [("context", rung("curated")), ("project_docs", rung("authored"))], search, docs)
