@@ -57,6 +57,11 @@ def _git(repo: str, *args: str) -> str:
     return subprocess.run(["git", "-C", repo, *args], check=True, capture_output=True, text=True).stdout
 
 
+def knows(repo: str, revision: str) -> bool:
+    """Whether a clone has a revision."""
+    return subprocess.run(["git", "-C", repo, "cat-file", "-e", f"{revision}^{{commit}}"], capture_output=True).returncode == 0
+
+
 def repository(spark: SparkSession, repo: str, since: str | None = None, include: tuple = (), exclude: tuple = ()) -> tuple[DataFrame, str]:
     """Changes of a local clone since a revision, and the head: path, status (A, M or D; a rename is a D and an A), committed.
 
@@ -64,8 +69,7 @@ def repository(spark: SparkSession, repo: str, since: str | None = None, include
     revision is the head; the caller keeps the head as the next cursor once every change has landed.
     """
     head = _git(repo, "rev-parse", "HEAD").strip()
-    known = since and subprocess.run(["git", "-C", repo, "cat-file", "-e", f"{since}^{{commit}}"], capture_output=True).returncode == 0
-    if known:
+    if since and knows(repo, since):
         fields = _git(repo, "diff", "--name-status", "--no-renames", "-z", since, head).split("\0")
         changes = [(path, status[0]) for status, path in zip(fields[0::2], fields[1::2])]
     else:

@@ -136,6 +136,22 @@ class Catalog:
             "revisions": self.read("revisions", m, only).unionByName(changed.select(*keys, "revision", "content_hash", "seen_at")),
         }, only)
 
+    def retire(self, gone: DataFrame, at: int) -> int:
+        """Tombstone ``gone`` (tenant, id): their chunks and links go, they and their revisions stay; the version that holds it."""
+        m = self.manifest()
+        keys = ["tenant", "id"]
+        only = [r["b"] for r in collected(gone.select(self.bucket("id", m["buckets"]).alias("b")).distinct())]
+        if not only:
+            return m["version"]
+        out = gone.select(*keys).distinct()
+        old = self.read("documents", m, only)
+        marked = old.join(out, keys, "left_semi").withColumns({"seen_at": F.when(F.col("tombstoned"), F.col("seen_at")).otherwise(F.lit(at).cast("long")), "tombstoned": F.lit(True)})
+        return self.commit(m, {
+            "documents": old.join(out, keys, "left_anti").unionByName(marked),
+            "chunks": self.read("chunks", m, only).join(out, keys, "left_anti"),
+            "links": self.read("links", m, only).join(out.withColumnRenamed("id", "src_id"), ["tenant", "src_id"], "left_anti"),
+        }, only)
+
     def embed(self, vectors: DataFrame) -> int:
         """Set the vectors of chunks by their text: ``vectors`` (tenant, text_hash, vector)."""
         m = self.manifest()
