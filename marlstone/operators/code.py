@@ -87,6 +87,23 @@ def lookup(queries: DataFrame, index: DataFrame, files: DataFrame, limit: int =
     return rows.select("query_id", F.explode(F.filter("all", lambda x: F.array_contains(F.col("kept"), x["rn"]))).alias("x")).select("query_id", "x.id", "x.path", "x.line", "x.kind", "x.text")
 
 
+def worth(defining, exact, factor) -> Column:
+    """What a match counts for: its class, whether it is exact, and the factor of its kind."""
+    return F.when(defining, 7000).otherwise(4000) + F.when(exact, 500).otherwise(50) + 100 * factor
+
+
+def more_terms(n: Column) -> Column:
+    """What more distinct terms add, up to 400."""
+    return (1 - 1 / n) * 400
+
+
+def score(matches: DataFrame) -> DataFrame:
+    """query_id, id, score from query_id, id, term, definition (whether the term is defined there), exact and factor: the best
+    match, and more for more distinct terms."""
+    best = worth(F.col("definition"), F.col("exact"), F.col("factor"))
+    return matches.groupBy("query_id", "id").agg((F.max(best) + more_terms(F.countDistinct("term"))).alias("score"))
+
+
 # What the kind of a symbol adds, by the word that declares it.
 FACTORS = {"class": 10.0, "struct": 9.5, "interface": 8.0, "type": 8.0, "function": 7.0, "def": 7.0, "func": 7.0, "const": 5.0, "let": 4.0, "var": 4.0}
 
@@ -125,6 +142,6 @@ def ranked(queries: DataFrame, tokens: DataFrame, files: DataFrame | None = None
     if files is not None:
         hits = hits.join(files.select("id"), "id", "left_semi")
     exact = F.col("match_class") == "exact"
-    best = F.when(exact | (F.col("match_class") == "path_suffix"), 7000).otherwise(4000) + F.when(exact, 500).otherwise(50) + 100 * F.col("factor")
+    best = worth(exact | (F.col("match_class") == "path_suffix"), exact, F.col("factor"))
     m = hits.groupBy("query_id", "id", "path").agg(F.max(F.struct(best.alias("best"), (-F.col("line")).alias("line"))).alias("b"), F.count_distinct("token").alias("n"))
-    return m.select("query_id", "id", "path", (-F.col("b.line")).alias("line"), (F.col("b.best") + (1 - 1 / F.col("n")) * 400).alias("score"))
+    return m.select("query_id", "id", "path", (-F.col("b.line")).alias("line"), (F.col("b.best") + more_terms(F.col("n"))).alias("score"))
