@@ -4,20 +4,19 @@ import json
 
 import pytest
 
-from marlstone.plans import reqs as plans
 from marlstone.reqs import rules, samples, tree
 from marlstone.sources.store import written
 
 
 @pytest.fixture(scope="module")
 def trees(spark):
-    t = tree.read(plans.bodies(spark))
+    t = tree.read(spark.createDataFrame(samples.bodies(), "body_id string, body string").coalesce(1))
     return tree.Trees(written(t.bodies, "test-bodies"), written(t.nodes, "test-nodes"))
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return plans.docs(spark)
+    return spark.createDataFrame(samples.DOCS, "doc_id string, text string")
 
 
 def test_there_are_46_rules():
