@@ -9,12 +9,13 @@ of text; a text starts as after an end.
   the hash of their last three bytes, in ``TAIL`` units. Unit bigrams of all
   training texts are counted into one matrix, and exchange clustering puts the
   units in classes: they start by frequency, and each in turn moves to the class
-  that raises the class-bigram likelihood most, until a sweep moves none (or
-  ``SWEEPS``). There are as many classes as the cube root of the words clustered.
+  that raises the class-bigram likelihood most, until a sweep raises it by less
+  than ``GAIN`` nats a token. There are as many classes as the cube root of the words clustered.
 * Middle words, all others that occur ``LEAST`` times or more, start in their
   ending's class. Their bigrams stand in a table by word; a sweep over it moves
   each word of one half to its best class against the class totals, and holds
-  where the likelihood of all bigrams rises. Rarer words keep their ending's class.
+  where the likelihood of all bigrams rises; it ends when a sweep over both
+  halves raises it by less than ``GAIN`` nats a token. Rarer words keep their ending's class.
 * Score: log10 P(class | last class) + log10 P(word | class). Transitions are
   interpolated with class frequencies; emissions get 1/2 added to each count
   and to one unknown word in each class, so the probabilities sum to one.
@@ -45,11 +46,12 @@ from marlstone.llm._tally import tally
 
 U = np.uint64
 FOLDS, HELD_OUT = 5, 1
-HEAD, TAIL_BITS, CLASSES, SWEEPS, SCORED = 1024, 10, 64, 8, 1 << 19
+HEAD, TAIL_BITS, CLASSES, SCORED = 1024, 10, 64, 1 << 19
 TAIL = 1 << TAIL_BITS
 BASE = HEAD + TAIL  # the first middle word's unit
-LEAST, HALVES, BUCKET, FLUSH = 5, 4, 1 << 20, 1 << 21
-END, MARK = U(0x454E44), U(0x4D41524B)
+LEAST, BUCKET, FLUSH = 5, 1 << 20, 1 << 21
+GAIN = 0.01  # nats a token that a sweep must raise the likelihood by for another one to follow
+END = U(0x454E44)
 BACK = 4.0  # transitions: counts that the class frequencies are worth
 
 
@@ -112,8 +114,8 @@ def classes_for(words: int) -> int:
     return max(CLASSES, round(words ** (1 / 3)))
 
 
-def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """Class of each unit, from counts of unit bigrams (a square matrix)."""
+def exchange(pairs: np.ndarray, classes: int = CLASSES, least: float | None = None) -> np.ndarray:
+    """Class of each unit, from counts of unit bigrams (a square matrix); sweeps go on while each gains ``least`` nats a token."""
     size = len(pairs)
     weight = pairs.sum(0) + pairs.sum(1)
     order = np.argsort(-weight, kind="stable")
@@ -124,8 +126,9 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     to, frm = pairs @ one, pairs.T @ one  # counts of a unit before / after each class
     n = one.T @ to
     f = lambda x: x * np.log(np.maximum(x, 1))
-    for _ in range(sweeps):
-        moved = 0
+    least, moved = (GAIN if least is None else least) * pairs.sum(), True
+    while moved:
+        moved, gained = False, 0.0
         for u in order:
             if not weight[u]:
                 break
@@ -151,13 +154,13 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
             n[:, b] += s
             n[b, b] += self_pair
             if b != a:
-                moved += 1
+                moved, gained = True, gained + gain[b] - gain[a]
                 cls[u] = b
                 to[:, a] -= pairs[:, u]
                 to[:, b] += pairs[:, u]
                 frm[:, a] -= pairs[u]
                 frm[:, b] += pairs[u]
-        if not moved:
+        if gained < least:
             break
     return cls
 
@@ -297,21 +300,25 @@ def moves(bigrams: DataFrame, cls: np.ndarray, n: np.ndarray, half: int) -> tupl
     return tuple(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r[x], np.int64) for r in rows)]) for x in ("word", "class"))
 
 
-def sweep(bigrams: DataFrame, cls: np.ndarray, n: np.ndarray, halves: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of all units and counts of class bigrams after the sweeps over middle words; ``n`` are the counts before."""
+def sweep(bigrams: DataFrame, cls: np.ndarray, n: np.ndarray, least: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all units and counts of class bigrams after the sweeps over middle words; ``n`` are the counts before.
+
+    The halves take turns until two in a row raise the likelihood by less than ``least`` nats a token together.
+    """
+    least = (GAIN if least is None else least) * n.sum()
     fixed = n - class_counts(bigrams, cls, len(n))
-    failed = 0
-    for k in range(HALVES if halves is None else halves):
-        words, best = moves(bigrams, cls, n, k % 2)
-        new = cls.copy()
-        new[BASE + words] = best
-        counts = fixed + class_counts(bigrams, new, len(n)) if len(words) else n
-        if len(words) and likelihood(counts) > likelihood(n):
-            cls, n, failed = new, counts, 0
-        else:
-            failed += 1
-            if failed == 2:
-                break
+    now, gains = likelihood(n), [np.inf]
+    while sum(gains[-2:]) >= least:
+        words, best = moves(bigrams, cls, n, (len(gains) - 1) % 2)
+        gains.append(0.0)
+        if len(words):
+            new = cls.copy()
+            new[BASE + words] = best
+            counts = fixed + class_counts(bigrams, new, len(n))
+            after = likelihood(counts)
+            if after > now:
+                gains[-1] = after - now
+                cls, n, now = new, counts, after
     return cls, n
 
 
@@ -419,8 +426,7 @@ def _score(model):
                 base = word - m.base
                 cut = lambda v: np.add.reduceat(v, first[:-1]) if len(first) > 1 else np.zeros(0)
                 row = np.repeat(np.arange(j - i), np.diff(first))[rare]
-                some = np.unique(row)  # their rows get one MARK each, which counts the rows that repeat
-                row, hr = np.concatenate([row, some]), np.concatenate([h[rare], np.full(len(some), MARK)])
+                hr = h[rare]
                 o = np.lexsort((hr, row))
                 row, hr = row[o], hr[o]
                 new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (hr[1:] != hr[:-1])])) if len(row) else np.zeros(0, np.int64)
@@ -444,15 +450,12 @@ def score(docs: DataFrame) -> DataFrame:
     kind = d.schema["id"].dataType.simpleString()
     out = d.mapInArrow(_score(spark.sparkContext.broadcast(model)), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<h:long,k:int>>")
     out = written(out, "scores")
-    # rare words: log10(c + 1/2) each; rows that repeat bring the same words, and one MARK each
+    # rare words: log10(c + 1/2) each; rows that repeat bring the same words, so what they bring is shared among them
     rare = out.select("id", F.explode("rare").alias("x")).select("id", "x.h", "x.k")
     rare = rare.join(counts.withColumnsRenamed({"h": "__h", "n": "c"}), F.col("h") == F.col("__h"), "left")
-    word = F.col("h") != int(MARK)
-    more = rare.groupBy("id").agg(
-        F.sum(F.when(word & F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("known"),
-        F.sum(F.when(word, F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).otherwise(0.0)).alias("more"),
-        F.sum(F.when(word, 0).otherwise(F.col("k"))).alias("copies"),
-    )
+    rows = out.where(F.size("rare") > 0).select("id", F.lit(0).alias("known"), F.lit(0.0).alias("more"), F.lit(1).alias("copies"))
+    words = rare.select("id", F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0).alias("known"), (F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.lit(0).alias("copies"))
+    more = words.unionByName(rows).groupBy("id").agg(F.sum("known").alias("known"), F.sum("more").alias("more"), F.sum("copies").alias("copies"))
     more = more.withColumns({"known": F.expr("known div copies"), "more": F.col("more") / F.col("copies")})
     more = written(more.select(F.col("id.doc_id").alias("__doc"), F.col("id.hash").alias("__hash"), "known", "more"), "rare-scores")
     j = out.drop("rare").join(more, F.col("id.doc_id").eqNullSafe(F.col("__doc")) & (F.col("id.hash") == F.col("__hash")), "left")

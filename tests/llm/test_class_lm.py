@@ -49,7 +49,7 @@ def test_exchange_finds_two_classes():
 
 def test_exchange_ends_where_no_move_helps():
     m = np.random.default_rng(2).integers(0, 9, (12, 12)).astype(float)
-    cls = C.exchange(m, 3, sweeps=50)
+    cls = C.exchange(m, 3, 0.0)
     best = likelihood(m, cls, 3)
     for u in range(12):
         for b in range(3):
