@@ -3,10 +3,12 @@
 Each text gets word, symbol, line and repetition counts. Four integer rates
 are gathered into quantile sketches for each language and source: histograms
 with buckets of 6 significant bits (relative error below 1/32), which merge
-by adding counts, exactly and in any order, so reruns agree. Thresholds are the quartiles
-widened by ``FENCE`` times their distance; sources with fewer than
-``MIN_GROUP`` texts take their language's merged sketch, and languages with
-fewer the whole corpus's. The thresholds are joined back and applied.
+by adding counts, exactly and in any order, so reruns agree. Thresholds are a low
+and a high quantile (deciles of word lengths, quartiles of rates that are zero
+in most texts) widened by ``FENCE`` times their distance. A group's quantiles are drawn
+to its language's, and those to the whole corpus's, as if ``WEIGHT`` texts of
+the wider group came with it, so a group's own texts count the more the more
+there are, at every size. The thresholds are joined back and applied.
 
 Defined cases: null text has no words and fails the base rules; null language
 or source is a group of its own; texts of any length are measured whole, by
@@ -26,10 +28,10 @@ from marlstone.llm._shared import collected, table, written
 
 SPACE = " \t\n\x0b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
-MIN_WORDS, FENCE, MIN_GROUP = 50, 3, 100
+MIN_WORDS, FENCE, WEIGHT = 50, 3, 100
 GROUPS = 100_000  # so many groups' fences are broadcast at most, some ten megabytes
-#: Rate, least quartile distance, whether a low value is bad too.
-RATES = (("r_length", 60, True), ("r_symbols", 40, False), ("r_lines", 100, False), ("r_repeats", 100, False))
+#: Rate, share of the texts in each tail (one in so many), least distance of the quantiles, whether a low value is bad too.
+RATES = (("r_length", 10, 20, True), ("r_symbols", 4, 40, False), ("r_lines", 4, 100, False), ("r_repeats", 4, 100, False))
 
 
 def words_of(text: Column) -> Column:
@@ -109,41 +111,43 @@ def rates(d: DataFrame) -> DataFrame:
 
 def sketches(d: DataFrame) -> DataFrame:
     """lang, source, rate, bucket, n: the mergeable sketch of each group, over texts that pass the base rules."""
-    one = F.explode(F.array(*[F.struct(F.lit(r).alias("rate"), bucket(F.col(r)).alias("bucket")) for r, _, _ in RATES])).alias("x")
+    one = F.explode(F.array(*[F.struct(F.lit(r).alias("rate"), bucket(F.col(r)).alias("bucket")) for r, _, _, _ in RATES])).alias("x")
     return d.where(~base_failed()).select("lang", "source", one).groupBy("lang", "source", "x.rate", "x.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """total, and the low and the high quantile, of each rate in the groups by ``keys``."""
     merged = sketch.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys, "rate")
     merged = merged.withColumns({"total": F.sum("n").over(w), "cum": F.sum("n").over(w.orderBy("bucket"))})
-    q = lambda p: F.min(F.when(F.col("cum") * 4 >= F.col("total") * p, F.col("bucket")))
-    return merged.groupBy(*keys, "rate").agg(F.max("total").alias("total"), q(1).alias("q1"), q(3).alias("q3"))
+    tail = F.expr("CASE rate " + " ".join(f"WHEN '{r}' THEN {t}" for r, t, _, _ in RATES) + " END")
+    q = lambda p: F.min(F.when(F.col("cum") * tail >= F.col("total") * p, F.col("bucket")))
+    return merged.groupBy(*keys, "rate").agg(F.max("total").alias("total"), q(F.lit(1)).alias("low"), q(tail - 1).alias("high"))
 
 
-def fences(sketch: DataFrame, min_group: int = MIN_GROUP, fence: int = FENCE) -> DataFrame:
+def fences(sketch: DataFrame, weight: int = WEIGHT, fence: int = FENCE) -> DataFrame:
     """lang, source and for each rate its lowest and highest accepted value."""
-    by_source, by_lang, by_all = quartiles(sketch, ["lang", "source"]), quartiles(sketch, ["lang"]), quartiles(sketch, [])
-    b = by_source.alias("s").join(by_lang.alias("l"), F.expr("s.rate = l.rate AND s.lang <=> l.lang"), "left").join(by_all.alias("a"), F.expr("s.rate = a.rate"), "left")
-    pick = lambda c: F.when(F.col("s.total") >= min_group, F.col(f"s.{c}")).when(F.col("l.total") >= min_group, F.col(f"l.{c}")).otherwise(F.col(f"a.{c}"))
-    b = b.select(F.col("s.lang").alias("lang"), F.col("s.source").alias("source"), F.col("s.rate").alias("rate"), pick("q1").alias("q1"), pick("q3").alias("q3"))
+    by_source, by_lang, by_all = quantiles(sketch, ["lang", "source"]), quantiles(sketch, ["lang"]), quantiles(sketch, [])
+    b = by_source.alias("s").join(by_lang.alias("l"), F.expr("s.rate = l.rate AND s.lang <=> l.lang")).join(by_all.alias("a"), F.expr("s.rate = a.rate"))
+    drawn = lambda c: F.expr(f"(s.total * s.{c} + {weight} * ((l.total * l.{c} + {weight} * a.{c}) div (l.total + {weight}))) div (s.total + {weight})")
+    b = b.select("s.lang", "s.source", "s.rate", drawn("low").alias("low"), drawn("high").alias("high"))
     aggs = []
-    for r, least, low in RATES:
-        mine, spread = F.col("rate") == r, fence * F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
-        aggs.append(F.max(F.when(mine, F.col("q3") + spread)).alias(f"hi_{r}"))
+    for r, _, least, low in RATES:
+        mine, spread = F.col("rate") == r, fence * F.greatest(F.col("high") - F.col("low"), F.lit(least))
+        aggs.append(F.max(F.when(mine, F.col("high") + spread)).alias(f"hi_{r}"))
         if low:
-            aggs.append(F.max(F.when(mine, F.col("q1") - spread)).alias(f"lo_{r}"))
+            aggs.append(F.max(F.when(mine, F.col("low") - spread)).alias(f"lo_{r}"))
     return b.groupBy("lang", "source").agg(*aggs)
 
 
-def judge(docs: DataFrame, min_group: int = MIN_GROUP, fence: int = FENCE) -> DataFrame:
+def judge(docs: DataFrame, weight: int = WEIGHT, fence: int = FENCE) -> DataFrame:
     """``docs`` (already measured, with lang and source) with base_failed and kept. ``docs`` should be cheap to read twice."""
     d = rates(docs)
-    f = written(fences(sketches(d), min_group, fence).withColumnsRenamed({"lang": "__lang", "source": "__source"}), "fences")
+    f = written(fences(sketches(d), weight, fence).withColumnsRenamed({"lang": "__lang", "source": "__source"}), "fences")
     if collected(f.agg(F.count(F.lit(1)).alias("n")))[0]["n"] <= GROUPS:  # else the texts go to the fences
         f = F.broadcast(f)
     out = d.join(f, d["lang"].eqNullSafe(f["__lang"]) & d["source"].eqNullSafe(f["__source"]), "left")
-    inside = [F.col(r) <= F.col(f"hi_{r}") for r, _, _ in RATES] + [F.col(r) >= F.col(f"lo_{r}") for r, _, low in RATES if low]
+    inside = [F.col(r) <= F.col(f"hi_{r}") for r, _, _, _ in RATES] + [F.col(r) >= F.col(f"lo_{r}") for r, _, _, low in RATES if low]
     out = out.withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(reduce(lambda a, b: a & b, inside), F.lit(True)))
 
@@ -197,25 +201,28 @@ WITH t AS (
     SELECT lang, source, 'r_lines', r_lines FROM d WHERE NOT base_failed UNION ALL
     SELECT lang, source, 'r_repeats', r_repeats FROM d WHERE NOT base_failed) GROUP BY ALL
 ), qs AS (
-  SELECT lang, source, rate, max(total) AS total, min(bucket) FILTER (WHERE cum * 4 >= total) AS q1, min(bucket) FILTER (WHERE cum * 4 >= total * 3) AS q3
+  SELECT lang, source, rate, max(total) AS total, min(bucket) FILTER (WHERE cum * (CASE rate WHEN 'r_length' THEN 10 ELSE 4 END) >= total) AS low,
+    min(bucket) FILTER (WHERE cum * (CASE rate WHEN 'r_length' THEN 10 ELSE 4 END) >= total * (CASE rate WHEN 'r_length' THEN 9 ELSE 3 END)) AS high
   FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, rate) AS total, sum(n) OVER (PARTITION BY lang, source, rate ORDER BY bucket) AS cum FROM s) GROUP BY ALL
 ), ql AS (
-  SELECT lang, rate, max(total) AS total, min(bucket) FILTER (WHERE cum * 4 >= total) AS q1, min(bucket) FILTER (WHERE cum * 4 >= total * 3) AS q3
+  SELECT lang, rate, max(total) AS total, min(bucket) FILTER (WHERE cum * (CASE rate WHEN 'r_length' THEN 10 ELSE 4 END) >= total) AS low,
+    min(bucket) FILTER (WHERE cum * (CASE rate WHEN 'r_length' THEN 10 ELSE 4 END) >= total * (CASE rate WHEN 'r_length' THEN 9 ELSE 3 END)) AS high
   FROM (SELECT *, sum(n) OVER (PARTITION BY lang, rate) AS total, sum(n) OVER (PARTITION BY lang, rate ORDER BY bucket) AS cum FROM (SELECT lang, rate, bucket, sum(n) AS n FROM s GROUP BY ALL)) GROUP BY ALL
 ), qa AS (
-  SELECT rate, min(bucket) FILTER (WHERE cum * 4 >= total) AS q1, min(bucket) FILTER (WHERE cum * 4 >= total * 3) AS q3
+  SELECT rate, max(total) AS total, min(bucket) FILTER (WHERE cum * (CASE rate WHEN 'r_length' THEN 10 ELSE 4 END) >= total) AS low,
+    min(bucket) FILTER (WHERE cum * (CASE rate WHEN 'r_length' THEN 10 ELSE 4 END) >= total * (CASE rate WHEN 'r_length' THEN 9 ELSE 3 END)) AS high
   FROM (SELECT *, sum(n) OVER (PARTITION BY rate) AS total, sum(n) OVER (PARTITION BY rate ORDER BY bucket) AS cum FROM (SELECT rate, bucket, sum(n) AS n FROM s GROUP BY ALL)) GROUP BY ALL
 ), f AS (
   SELECT qs.lang, qs.source, qs.rate,
-    CASE WHEN qs.total >= 100 THEN qs.q1 WHEN ql.total >= 100 THEN ql.q1 ELSE qa.q1 END AS q1,
-    CASE WHEN qs.total >= 100 THEN qs.q3 WHEN ql.total >= 100 THEN ql.q3 ELSE qa.q3 END AS q3,
-    CASE qs.rate WHEN 'r_length' THEN 60 WHEN 'r_symbols' THEN 40 ELSE 100 END AS least
-  FROM qs LEFT JOIN ql ON qs.rate = ql.rate AND qs.lang IS NOT DISTINCT FROM ql.lang LEFT JOIN qa ON qs.rate = qa.rate
+    (qs.total * qs.low + 100 * ((ql.total * ql.low + 100 * qa.low) // (ql.total + 100))) // (qs.total + 100) AS low,
+    (qs.total * qs.high + 100 * ((ql.total * ql.high + 100 * qa.high) // (ql.total + 100))) // (qs.total + 100) AS high,
+    CASE qs.rate WHEN 'r_length' THEN 20 WHEN 'r_symbols' THEN 40 ELSE 100 END AS least
+  FROM qs JOIN ql ON qs.rate = ql.rate AND qs.lang IS NOT DISTINCT FROM ql.lang JOIN qa ON qs.rate = qa.rate
 ), g AS (
   SELECT lang, source,
-    max(q3 + 3 * greatest(q3 - q1, least)) FILTER (WHERE rate = 'r_length') AS hl, max(q1 - 3 * greatest(q3 - q1, least)) FILTER (WHERE rate = 'r_length') AS ll,
-    max(q3 + 3 * greatest(q3 - q1, least)) FILTER (WHERE rate = 'r_symbols') AS hs, max(q3 + 3 * greatest(q3 - q1, least)) FILTER (WHERE rate = 'r_lines') AS hi,
-    max(q3 + 3 * greatest(q3 - q1, least)) FILTER (WHERE rate = 'r_repeats') AS hr
+    max(high + 3 * greatest(high - low, least)) FILTER (WHERE rate = 'r_length') AS hl, max(low - 3 * greatest(high - low, least)) FILTER (WHERE rate = 'r_length') AS ll,
+    max(high + 3 * greatest(high - low, least)) FILTER (WHERE rate = 'r_symbols') AS hs, max(high + 3 * greatest(high - low, least)) FILTER (WHERE rate = 'r_lines') AS hi,
+    max(high + 3 * greatest(high - low, least)) FILTER (WHERE rate = 'r_repeats') AS hr
   FROM f GROUP BY ALL
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

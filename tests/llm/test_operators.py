@@ -105,3 +105,15 @@ def test_all_thirteen_are_registered():
     import __spark_entry__ as e
 
     assert {int(n[2:].split("_")[0]) for n in e.queries() if n.startswith("op")} == set(range(1, 14)) and "pipeline" in e.queries()
+
+
+def test_a_group_is_drawn_to_its_language_by_its_size(spark):
+    """The high fence of word lengths as the group grows: from its language's to its own, without a jump."""
+    rows = [("en", "wide", "r_length", b, 10_000) for b in (400, 600)] + [(lang, src, r, 0, 10_000) for lang, src in (("en", "wide"),) for r in ("r_symbols", "r_lines", "r_repeats")]
+    highs = []
+    for n in (1, 99, 100, 101, 100_000):
+        mine = [("en", "own", "r_length", b, n) for b in (500, 504)] + [("en", "own", r, 0, n) for r in ("r_symbols", "r_lines", "r_repeats")]
+        f = quality.fences(spark.createDataFrame(rows + mine, "lang string, source string, rate string, bucket long, n long"))
+        highs.append({r["source"]: r["hi_r_length"] for r in f.collect()}["own"])
+    assert highs == sorted(highs, reverse=True) and highs[0] > 1150 and highs[-1] == 504 + 3 * 20
+    assert abs(highs[1] - highs[3]) < 10
