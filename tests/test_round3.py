@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.operators import lexical
-from marlstone.sources import fielded, scan
+from marlstone.sources import fielded, postings, scan
 from marlstone.streaming import events
 
 
@@ -58,3 +58,14 @@ def test_texts_give_what_the_index_gives(spark, monkeypatch, block):
     for some in (None, seen):
         want = _rows(lexical.top_documents(ix, w, 7, some), "query_id", "id", "score", "rank")
         assert _rows(lexical.top_documents(texts, w, 7, some), "query_id", "id", "score", "rank") == want and want
+
+
+def test_a_few_words_need_no_index(spark, tmp_path):
+    spark.createDataFrame([(1, "The cat and the dog"), (2, "a dog\n\nthe end"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    few = postings.asked(spark, str(tmp_path), ["the", "dog", "nowhere"], counted=True)
+    assert (spark.sparkContext.applicationId, str(tmp_path)) not in postings._built
+    whole = postings.build(spark, str(tmp_path))
+    want = _rows(whole.postings.where("term IN ('the', 'dog')"), "id", "seq", "term", "tf", "len")
+    assert _rows(few.postings, "id", "seq", "term", "tf", "len") == want == [("doc:1", 0, "dog", 1, 5), ("doc:1", 0, "the", 2, 5), ("doc:2", 0, "dog", 1, 2), ("doc:2", 1, "the", 1, 2)]
+    asked = spark.createDataFrame([("dog",), ("nowhere",)], "term string")
+    assert (few.chunks, few.avgdl, _rows(few.df(asked), "term", "df")) == (whole.chunks, whole.avgdl, _rows(whole.df(asked), "term", "df"))
