@@ -44,7 +44,7 @@ def at(*parts) -> Column:
 
 
 def blank(c: Column) -> Column:
-    return F.coalesce(F.regexp_replace(c, T.SPACES, "") == "", F.lit(True))
+    return F.coalesce(~c.rlike(T.WORDY), F.lit(True))
 
 
 def not_(c: Column) -> Column:
@@ -65,9 +65,19 @@ def several(*frames: DataFrame) -> DataFrame:
 
 def passes(t: Trees) -> DataFrame:
     """body_id, id, p and where: the score and all passes of every node."""
-    own = t.nodes.select("body_id", F.col("n.id").alias("id"), F.col("n.score").alias("p"), at(".score").alias("where"))
-    past = t.nodes.select("body_id", F.col("n.id").alias("id"), F.posexplode("n.scoreHistory").alias("i", "p"))
-    return own.unionByName(past.select("body_id", "id", "p", F.concat("id", F.lit(".scoreHistory."), "i").alias("where")))
+    one = lambda p, where: F.struct(p.alias("p"), where.alias("where"))
+    d = _listed(t.nodes.select("body_id", n["id"].alias("id"), _together(F.array(one(n["score"], at(".score"))), F.transform(n["scoreHistory"], lambda p, i: one(p, at(".scoreHistory.", i)))).alias("x")))
+    return d.select("body_id", "id", "x.*")
+
+
+def _together(*lists: Column) -> Column:
+    """The members of lists, none of one that is absent."""
+    return F.flatten(F.filter(F.array(*lists), lambda x: x.isNotNull()))
+
+
+def _listed(d: DataFrame) -> DataFrame:
+    """A row for each member of ``x``, so that all that stands in a row is read at once."""
+    return d.withColumn("x", F.explode("x"))
 
 
 def steps(t: Trees) -> DataFrame:
@@ -197,6 +207,7 @@ def root_id(t: Trees) -> DataFrame:
 def _repeated(d: DataFrame, key: Column) -> DataFrame:
     """Rows whose key stands earlier in walking order, with ``first``, the row that has it."""
     w = Window.partitionBy("body_id", key).orderBy("place")
+    d = d.select("body_id", "place", F.struct(n["id"].alias("id"), n["nodeKey"].alias("nodeKey")).alias("n"))
     return d.withColumns({"first": F.first("n").over(w), "nth": F.row_number().over(w)}).where("nth > 1")
 
 
@@ -379,7 +390,7 @@ def has_outcome(t: Trees) -> DataFrame:
 
 @rule("AC-004")
 def criterion_ids(t: Trees) -> DataFrame:
-    c = T.criteria(t)
+    c = T.criteria(t).select("body_id", "place", "node", "i", F.struct("ac.id").alias("ac"))
     w = Window.partitionBy("body_id", "ac.id").orderBy("place", "i")
     twice = c.withColumns({"first": F.first("node").over(w), "nth": F.row_number().over(w)}).where("nth > 1")
     form = c.where(not_(F.col("ac.id").rlike(r"^AC-[0-9]+\z")))
@@ -399,27 +410,42 @@ def stakeholder_named(t: Trees) -> DataFrame:
 
 # prose
 def prose(t: Trees) -> DataFrame:
-    """body_id, path, text: everything an author wrote; quotes are not among it."""
-    title = t.bodies.select("body_id", F.lit("metadata.title").alias("path"), F.col("b.metadata.title").alias("text"))
-    said = t.nodes.select("body_id", at(".statement").alias("path"), n["statement"].alias("text"))
-    notes = passes(t).select("body_id", F.concat("where", F.lit(".note")).alias("path"), F.col("p.note").alias("text"))
-    c = T.criteria(t)
-    clauses = [c.select("body_id", _ac(f".{f}").alias("path"), F.col(f"ac.{f}").alias("text")) for f in ("given", "when")]
-    then = c.select("body_id", "node", "i", F.posexplode("ac.then").alias("k", "text")).select("body_id", _ac(".then.", F.col("k")).alias("path"), "text")
-    q = clarifications(t)
-    under = lambda a, *b: F.concat(F.lit(a), "i", *[x if isinstance(x, Column) else F.lit(x) for x in b])
-    asked = q.select("body_id", under("clarifications.", ".question").alias("path"), F.col("c.question").alias("text"))
-    o = q.select("body_id", "i", F.posexplode("c.options").alias("k", "o"))
-    options = [o.select("body_id", under("clarifications.", ".options.", F.col("k"), f".{f}").alias("path"), F.col(f"o.{f}").alias("text")) for f in ("text", "implication")]
-    carried = residuals(t).select("body_id", under("residuals.", ".statement").alias("path"), F.col("r.statement").alias("text"))
-    return several(title, said, notes, *clauses, then, asked, *options, carried, decided(t)).where("text IS NOT NULL")
+    """body_id, path, text: everything an author wrote; quotes are not among it. Bodies and nodes are read once each."""
+    passed = _together(F.array(_said(at(".statement"), n["statement"]), _said(at(".score.note"), n["score"]["note"])), F.transform(n["scoreHistory"], lambda p, i: _said(at(".scoreHistory.", i, ".note"), p["note"])))
+    stated = lambda ac, i: _together(
+        F.array(*[_said(at(".acceptanceCriteria.", i, f".{f}"), ac[f]) for f in ("given", "when")]),
+        F.transform(ac["then"], lambda x, k: _said(at(".acceptanceCriteria.", i, ".then.", k), x)),
+    )
+    nodes = t.nodes.select("body_id", _together(passed, F.flatten(F.transform(n["acceptanceCriteria"], stated))).alias("x"))
+    return _texts(nodes).unionByName(_texts(t.bodies.select("body_id", _together(F.array(_said(F.lit("metadata.title"), F.col("b.metadata.title"))), _asked(True), _carried(True)).alias("x"))))
+
+
+def _said(path: Column, text: Column) -> Column:
+    return F.struct(path.alias("path"), text.alias("text"))
+
+
+def _texts(d: DataFrame) -> DataFrame:
+    return _listed(d).select("body_id", "x.*").where("text IS NOT NULL")
+
+
+def _asked(whole: bool) -> Column:
+    """What is recorded as decided in clarifications, or all that is written there."""
+    under = lambda i, *more: F.concat(F.lit("clarifications."), i.cast("string"), *[x.cast("string") if isinstance(x, Column) else F.lit(x) for x in more])
+    option = lambda i: lambda o, k: F.array(*[_said(under(i, ".options.", k, f".{f}"), o[f]) for f in ("text", "implication")])
+    detail = lambda c, i: F.array(_said(under(i, ".resultingDetail"), c["resultingDetail"]))
+    every = lambda c, i: _together(detail(c, i), F.array(_said(under(i, ".question"), c["question"])), F.flatten(F.transform(c["options"], option(i))))
+    return F.flatten(F.transform(F.col("b.clarifications"), every if whole else detail))
+
+
+def _carried(whole: bool) -> Column:
+    """What is recorded as decided in residuals, or all that is written there."""
+    fields = ("mitigation", "statement") if whole else ("mitigation",)
+    return F.flatten(F.transform(F.col("b.residuals"), lambda r, i: F.array(*[_said(F.concat(F.lit("residuals."), i.cast("string"), F.lit(f".{f}")), r[f]) for f in fields])))
 
 
 def decided(t: Trees) -> DataFrame:
     """body_id, path, text: what was recorded as decided."""
-    q = clarifications(t).select("body_id", F.concat(F.lit("clarifications."), "i", F.lit(".resultingDetail")).alias("path"), F.col("c.resultingDetail").alias("text"))
-    r = residuals(t).select("body_id", F.concat(F.lit("residuals."), "i", F.lit(".mitigation")).alias("path"), F.col("r.mitigation").alias("text"))
-    return q.unionByName(r)
+    return _texts(t.bodies.select("body_id", _together(_asked(False), _carried(False)).alias("x")))
 
 
 def _defers(d: DataFrame) -> DataFrame:
@@ -471,10 +497,10 @@ def quote_is_verbatim(t: Trees, docs: DataFrame | None = None) -> DataFrame:
     c = T.citations(t)
     if docs is None:
         return found(c.where(F.lit(False)), F.col("path"), F.lit(""))
-    cited = c.join(docs.select(F.col("doc_id").alias("cited"), F.trim(T.fold("text")).alias("text")), F.col("g.docId") == F.col("cited"), "left")
-    missing = cited.where("text IS NULL")
-    bad = cited.where(F.col("text").isNotNull() & ~F.contains("text", F.trim(T.fold(F.col("g.quote")))))
-    return several(found(missing, F.concat("path", F.lit(".docId")), say("document ", F.col("g.docId"), " is not there")), found(bad, F.concat("path", F.lit(".quote")), say("not verbatim in ", F.col("g.docId"))))
+    cited = c.join(docs.select(F.col("doc_id").alias("cited"), "text"), F.col("g.docId") == F.col("cited"), "left")
+    absent = F.col("text").isNull()
+    bad = cited.where(absent | ~T.quoted(F.col("text"), F.col("g.quote")))
+    return found(bad, F.concat("path", F.when(absent, ".docId").otherwise(".quote")), F.when(absent, say("document ", F.col("g.docId"), " is not there")).otherwise(say("not verbatim in ", F.col("g.docId"))))
 
 
 @rule("CLARIFY-006", "warning")
