@@ -6,19 +6,24 @@ the first ``n - ceil(t n) + 1`` tokens. Three orders are used: by frequency
 (rare first) and two random ones; candidates must share prefix tokens under
 all of them, be of fitting length and position, and are then verified exactly.
 
-* Frequencies come from a count sketch of fixed size over all documents. An
-  order need only be the same everywhere, so the sketch costs no exactness.
+* Frequencies come from a count sketch over all documents, of about a cell for
+  each ``PER_CELL`` shingles, up to a bound. An order need only be the same
+  everywhere, so the sketch costs no exactness; but a sketch that is too small
+  for its table cannot tell rare tokens from others, and these then tie sets.
 * Order 0 proposes: prefix tokens meet in one exchange, sorted by token and
   set size, and are read once in that order. A token that up to ``FEW`` classes
   have in their prefix gives pairs. The classes of a more frequent one are cut
   into runs where the next size in order is too large to be similar; a run of
   up to ``FEW`` gives pairs, a larger one a star. Tokens that the sketch calls
   hot are salted: each salt ties the sets of one size to one of them, and these
-  few are read once more without salt.
+  few are read once more without salt; as each stands for those tied to it, no
+  filter takes what ties them.
 * Orders 1 and 2 and the sizes of bins dispose, before any set is sent: every
   class carries a bitmap of its prefix under either order, and bitmaps of a
   pair must intersect; counts of its tokens in ``BINS`` bins may differ in sum
-  by no more than the sets may. No link goes with what they drop.
+  by no more than the sets may. No link goes with what they drop. Pairs meet
+  sums of the bins first, which are short. The sets of a star that is not of a
+  hot token fall into the components of what these filters leave.
   Components of the rest are groups, and no link leaves one.
 * A group that fits a block of bounded size is verified there: pairs must share
   prefix tokens under all orders, then matrix products over the sets' common
@@ -54,10 +59,10 @@ from marlstone.llm._tally import tally
 from marlstone.llm.components import components
 
 U = np.uint64
-CELL_BITS = 20
+CELL_BITS, MOST_BITS, PER_CELL, STEPS = 20, 24, 128, 8  # cells of the sketch, the most of them, shingles a cell; levels in a doubling of the count
 FEW, BLOCK_SETS, BLOCK_TOKENS, COLUMNS = 16, 1024, 1_500_000, 8192
 NO_ID = -(1 << 63)
-BINS, BITMAP = 256, 64  # bytes of a class's bins, and of its bitmap under one order
+BINS, BITMAP, FOLDED = 256, 64, 32  # bytes of a class's bins, of its bitmap under one order, and of its bins' sums
 HOT_TIMES, HOT_LEAST, SALTS = 4, 4096, 1024  # a sketch cell is hot beyond so many times the mean and so many shingles
 SALT = [U(0), U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25)]
 
@@ -135,7 +140,7 @@ class Sets:
         """Places in h, each row's in a global order."""
         key = W.mix(self.h ^ SALT[order])
         if order == 0:
-            key = (levels[(self.h >> U(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64) << U(56)) | (key >> U(8))
+            key = (level_of(self.h, levels).astype(np.uint64) << U(56)) | (key >> U(8))
         return np.argsort((self.r.astype(np.uint64) << U(43)) | (key >> U(21)), kind="stable")
 
     def prefixes(self, order: int, levels: np.ndarray | None, num: int, den: int):
@@ -163,14 +168,23 @@ def _i64(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def cells(df: DataFrame, values, bits: int) -> np.ndarray:
-    """Counts of uint64 values by their leading bits, over all rows."""
-    return tally(df, lambda b: [v >> U(64 - bits) for v in values(b)], 1 << bits)
+def cell_bits(shingles: int) -> int:
+    """The sketch's size for so many shingles."""
+    return max(CELL_BITS, min(MOST_BITS, (max(1, shingles // PER_CELL) - 1).bit_length()))
+
+
+def cells(df: DataFrame, values, bits: int, final=None) -> np.ndarray:
+    """Counts of uint64 values by their leading bits, over all rows; as bytes by ``final`` if it is given."""
+    return tally(df, lambda b: [v >> U(64 - bits) for v in values(b)], 1 << bits, final)
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
-    """Quarter-octave levels: coarse, so that equally rare tokens stand in random order."""
-    return np.round(4 * np.log2(counts + 1.0)).astype(np.uint8)
+    """Levels, ``STEPS`` to a doubling: the tokens of one level stand in random order."""
+    return np.minimum(np.round(STEPS * np.log2(counts + 1.0)), 255).astype(np.uint8)
+
+
+def level_of(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    return levels[(h >> U(65 - len(levels).bit_length())).astype(np.int64)]
 
 
 def _signatures(size, num, den):
@@ -188,9 +202,9 @@ def _signatures(size, num, den):
     return run
 
 
-def hot_level(cells: np.ndarray) -> int:
-    """The least level of a cell that is hot."""
-    return int(levels_of(np.array([max(HOT_LEAST, HOT_TIMES * cells.mean())]))[0])
+def hot_level(mean: float) -> int:
+    """The least level of a cell that is hot, by the mean count of a cell."""
+    return int(levels_of(np.array([max(HOT_LEAST, HOT_TIMES * mean)]))[0])
 
 
 def _postings(size, num, den, shared):
@@ -205,8 +219,8 @@ def _postings(size, num, den, shared):
                 number = _number(s.keys())
                 at, row, pos = s.prefixes(0, levels, num, den)
                 token = s.h[at]
-                level = levels[(token >> U(64 - CELL_BITS)).astype(np.int64)].astype(np.int64)
-                salts = np.minimum(SALTS, 2 << np.maximum(0, level - hot) // 4).astype(np.uint64)
+                level = level_of(token, levels).astype(np.int64)
+                salts = np.minimum(SALTS, 2 << np.minimum(16, np.maximum(0, level - hot) // STEPS)).astype(np.uint64)
                 salt = np.where(level > hot, (W.mix(number[row]) % salts).astype(np.int64) + 1, 0)
                 for k in range(0, len(at), 100_000):
                     m = slice(k, k + 100_000)
@@ -219,14 +233,14 @@ def _postings(size, num, den, shared):
 
 POSTING = "token long, salt int, number long, n int, pos int"
 EDGE = "kind int, a long, b long, token long, n int"
-PAIR, STAR, AGAIN = 0, 1, 2
+PAIR, STAR, AGAIN, TIED = 0, 1, 2, 3
 
 
 def _candidates(num: int, den: int):
     """Edges from postings in the order of token, salt, n, number and pos, of which one open run is kept at most.
 
     PAIR: classes of a small run whose sizes and positions fit. STAR: a class of a larger run and the run's first.
-    Under a salt, a run is the classes of one size; it also gives its first class with its token, to be read AGAIN.
+    Under a salt, a run is the classes of one size, each TIED to its first; it also gives this one with its token, to be read AGAIN.
     """
 
     def run(batches):
@@ -258,7 +272,7 @@ def _candidates(num: int, den: int):
             first = start[of]
             m = star[of] & (np.arange(len(token)) != first)
             if m.any():
-                yield edges(STAR, number[m], number[first[m]], token[m], n[m])
+                yield edges(np.where(salt[m] > 0, TIED, STAR), number[m], number[first[m]], token[m], n[m])
             m = start[(salt[start] > 0) & (start >= old)]
             if len(m):
                 yield edges(AGAIN, number[m], number[m], token[m], n[m])
@@ -381,8 +395,8 @@ def _block(num, den, levels):
     return run
 
 
-def links(docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """a, b: keys of classes, enough links to connect what is connected. ``docs``: doc_id, text."""
+def links(docs: DataFrame, classes: DataFrame, shingles: int, size: int, num: int, den: int) -> DataFrame:
+    """a, b: keys of classes, enough links to connect what is connected. ``docs``: doc_id, text, with so many shingles."""
     spark = docs.sparkSession
     sc = spark.sparkContext
 
@@ -391,20 +405,26 @@ def links(docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) ->
         for i, j in W.slices(off):
             yield Sets(data, off, i, j, size).h
 
-    frequencies = cells(docs.select("text"), grams, CELL_BITS)
-    levels = sc.broadcast(levels_of(frequencies))
-    shared = sc.broadcast((levels.value, hot_level(frequencies)))
+    levels = sc.broadcast(cells(docs.select("text"), grams, cell_bits(shingles), levels_of))
+    shared = sc.broadcast((levels.value, hot_level(shingles / len(levels.value))))
     in_order = lambda p: p.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "number", "pos").mapInArrow(_candidates(num, den), EDGE)
     found = written(in_order(docs.select("text").mapInArrow(_postings(size, num, den, shared), POSTING)), "candidates")
     again = found.where(F.col("kind") == AGAIN).select("token", F.lit(0).alias("salt"), F.col("a").alias("number"), "n", F.lit(0).alias("pos"))
     again = written(in_order(again), "candidates")  # position 0 rules nothing out
-    found_ = found.unionByName(again)
+    near = found.where(F.col("kind") == PAIR).select(F.col("a").alias("number_a"), F.col("b").alias("number_b")).distinct()
     named = lambda s, *more: classes.select(F.col("number").alias(f"number_{s}"), F.col("key").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in more])
-    back = lambda kind: found_.where(F.col("kind") == kind).select(F.col("a").alias("number_a"), F.col("b").alias("number_b")).distinct()
-    whole = lambda kind, *more: back(kind).join(named("a", *more), "number_a").join(named("b", *more), "number_b").drop("number_a", "number_b")
-    pairs = written(whole(PAIR, "n", "sketch").mapInArrow(_may_link(num, den), "a binary, b binary"), "pairs")
-    stars = written(whole(STAR), "stars")
-    drop(found, again)
+    whole = lambda edges, *more: edges.join(named("a", *more), "number_a").join(named("b", *more), "number_b").drop("number_a", "number_b")
+    folded = written(classes.select("number", "n", "sketch").mapInArrow(_folded, "number long, n long, folded binary"), "folded")
+    short = lambda s: folded.select(*[F.col(c).alias(f"{c}_{s}") for c in folded.columns])
+    near = near.join(short("a"), "number_a").join(short("b"), "number_b").mapInArrow(_may_be_near(num, den), "number_a long, number_b long")
+    near = written(near.distinct(), "near")  # once, though several classes may have a number
+    pairs = written(whole(near, "n", "sketch").mapInArrow(_may_link(num, den), "a binary, b binary"), "pairs")
+    tied = found.where(F.col("kind") == TIED).unionByName(again)
+    tied = whole(tied.select(F.col("a").alias("number_a"), F.col("b").alias("number_b")).distinct())
+    runs = found.where(F.col("kind") == STAR).select("token", "a", "b")
+    runs = runs.unionByName(runs.select("token", F.col("b").alias("a"), "b")).distinct().join(classes.select(F.col("number").alias("a"), "key", "n", "sketch"), "a")
+    stars = written(tied.unionByName(runs.groupBy("token", "b").applyInArrow(_split(num, den), "a binary, b binary").distinct()), "stars")
+    drop(found, again, folded, near)
     groups = components(pairs.unionByName(stars), "groups")
     sized = groups.withColumnRenamed("node", "key").join(classes.select("key", "tag", "n"), "key")
     sizes = sized.groupBy("label").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("held"))
@@ -441,19 +461,73 @@ def _blocks(sets: str, tokens: str):
     return F.greatest(F.ceil(F.col(sets) / BLOCK_SETS), F.ceil(F.col(tokens) / BLOCK_TOKENS)).cast("int")
 
 
+def _bytes(column, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+
+
+def _bins_fit(one, two, held, num, den):
+    """Whether sets of ``held`` tokens together may be similar by their bins, or by sums of these, modulo 256."""
+    apart = np.minimum(one - two, two - one).sum(1, dtype=np.int64)
+    return (den + num) * apart <= (den - num) * held
+
+
+def _sketches_fit(one, two, held, num, den):
+    met = one[:, BINS:] & two[:, BINS:]
+    return met[:, :BITMAP].any(1) & met[:, BITMAP:].any(1) & _bins_fit(one[:, :BINS], two[:, :BINS], held, num, den)
+
+
+def _folded(batches):
+    """number, n, and ``FOLDED`` sums of the bins, of classes with sketches."""
+    for b in batches:
+        bins = _bytes(b.column(2), BINS + 2 * BITMAP)[:, :BINS].reshape(b.num_rows, FOLDED, BINS // FOLDED).sum(2, dtype=np.uint8)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.FixedSizeBinaryArray.from_buffers(pa.binary(FOLDED), b.num_rows, [None, pa.py_buffer(bins.tobytes())]).cast(pa.binary())], ["number", "n", "folded"])
+
+
+def _may_be_near(num, den):
+    """Of pairs of numbers with sums of bins, those whose sets may be similar by them."""
+
+    def run(batches):
+        for x in batches:
+            cols = dict(zip(x.schema.names, x.columns))
+            held = cols["n_a"].to_numpy().astype(np.int64) + cols["n_b"].to_numpy()
+            keep = pa.array(np.flatnonzero(_bins_fit(_bytes(cols["folded_a"], FOLDED), _bytes(cols["folded_b"], FOLDED), held, num, den)))
+            yield pa.RecordBatch.from_arrays([cols["number_a"].take(keep), cols["number_b"].take(keep)], ["number_a", "number_b"])
+
+    return run
+
+
+def _split(num, den):
+    """The sets of one run, each with the first found of its component by what their sizes and sketches leave of all pairs.
+
+    A run is of a token that is not hot, so it is bounded by the count from which tokens are; a set that has its component is compared no more.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        key, n = group.column("key").to_pylist(), group.column("n").to_numpy().astype(np.int64)
+        sketch = _bytes(group.column("sketch"), BINS + 2 * BITMAP)
+        rest, out = np.argsort(n, kind="stable"), []
+        while len(rest) > 1:
+            first, rest = rest[0], rest[1:]
+            reached = [first]
+            for x in reached:
+                fits = (den * np.minimum(n[x], n[rest]) >= num * np.maximum(n[x], n[rest])) & _sketches_fit(sketch[x : x + 1], sketch[rest], n[x] + n[rest], num, den)
+                reached += rest[fits].tolist()
+                rest = rest[~fits]
+            out += [(key[x], key[first]) for x in reached[1:]]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
+
+    return run
+
+
 def _may_link(num, den):
     """Of pairs with their sets' sizes and sketches, those whose sets may be similar: prefixes that meet under orders 1 and 2, and bins near enough."""
 
     def run(batches):
         for x in batches:
             cols = dict(zip(x.schema.names, x.columns))
-            one, two = (np.frombuffer(b"".join(cols[c].to_pylist()), np.uint8).reshape(-1, BINS + 2 * BITMAP) for c in ("sketch_a", "sketch_b"))
-            met = one[:, BINS:] & two[:, BINS:]
-            ok = met[:, :BITMAP].any(1) & met[:, BITMAP:].any(1)
-            one, two = one[:, :BINS], two[:, :BINS]
-            apart = np.minimum(one - two, two - one).sum(1, dtype=np.int64)
+            one, two = (_bytes(cols[c], BINS + 2 * BITMAP) for c in ("sketch_a", "sketch_b"))
             held = cols["n_a"].to_numpy().astype(np.int64) + cols["n_b"].to_numpy()
-            keep = pa.array(np.flatnonzero(ok & ((den + num) * apart <= (den - num) * held)))
+            keep = pa.array(np.flatnonzero(_sketches_fit(one, two, held, num, den)))
             yield pa.RecordBatch.from_arrays([cols["a"].take(keep), cols["b"].take(keep)], ["a", "b"])
 
     return run
@@ -518,7 +592,8 @@ def similar(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     rows = written(docs.select("*", F.xxhash64("text").alias("hash")).mapInArrow(_signatures(size, num, den), "id long, hash long, key binary, number long, n long, tag long, sketch binary"), "signatures")
     with drop_all_but() as keep:
         classes = written(rows.where("n > 0").groupBy("key").agg(F.min(F.struct("id", "tag", "number", "n", "sketch")).alias("rep")).select("key", "rep.*"), "classes")
-        labels = components(links(docs, classes, size, num, den))
+        shingles = collected(rows.agg(F.coalesce(F.sum("n"), F.lit(0))))[0][0]
+        labels = components(links(docs, classes, shingles, size, num, den))
         labelled = classes.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "id", F.coalesce("label", "key").alias("label"))
         labelled = written(labelled, "labelled")
         least = written(labelled.groupBy("label").agg(F.min("id").alias("component")), "least")
